@@ -6,14 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, simhash, toxicity
-from .common import table
+from . import bpe, packing, quality, secrets, simhash, toxicity, warc
+from .common import Scratch, table
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = Scratch(spark, "archives").path("warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), at)
+    return warc.read_archives(spark, at, with_payload=False)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
@@ -32,7 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op7_toxicity, op8_quality_rules, op9_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_secret_scans, op4_warc, op7_toxicity, op8_quality_rules, op9_simhash, op10_packing)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
