@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, simhash, suffix, toxicity, warc
+from . import bpe, metricjoin, packing, quality, secrets, simhash, suffix, toxicity, warc
 from .common import Scratch, table
 
 
@@ -28,6 +28,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metricjoin.near_classes(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
@@ -46,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_secret_scans, op4_warc, op5_suffix_dedup, op7_toxicity, op8_quality_rules, op9_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_secret_scans, op4_warc, op5_suffix_dedup, op6_metric_join, op7_toxicity, op8_quality_rules, op9_simhash, op10_packing)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
