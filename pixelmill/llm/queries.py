@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, metricjoin, packing, quality, secrets, simhash, suffix, toxicity, warc
+from . import bpe, metricjoin, packing, quality, secrets, sharding, simhash, suffix, toxicity, warc
 from .common import Scratch, table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.ShardStore(spark, Scratch(spark, "store").path("shards"), target_bytes=64 << 20)
+    store.append_arrivals(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    store.compact(keep=1)
+    return store.read().select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -50,7 +57,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_secret_scans, op4_warc, op5_suffix_dedup, op6_metric_join, op7_toxicity, op8_quality_rules, op9_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_secret_scans, op4_warc, op5_suffix_dedup, op6_metric_join, op7_toxicity, op8_quality_rules, op9_simhash, op10_packing)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": "SELECT doc_id, lang, source, strlen(text) AS n_bytes, md5(text) AS text_md5 FROM documents",
+}
