@@ -25,11 +25,12 @@ from .common import map_rows, whole_text
 
 #: A space before a visible character always starts a match of the pattern, so texts may be cut there.
 CUT = re.compile(r" (?=\S)")
-#: Entries of a task's caches; a full cache is replaced by an empty one, after its last generation.
-CACHE = 120_000
+#: Entries of a task's caches.
+CACHE = 300_000
 #: Pieces up to this length share their prefixes through the dictionary.
 SHARED = 48
 NEVER = 1 << 60
+SHORT = (2, 1)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,19 +38,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
-class Generations(dict):
-    """A cache of bounded size: what was used since the last replacement stays."""
+class Bounded(dict):
+    """A cache that is emptied when it is full."""
 
     def __init__(self, make, size: int = CACHE):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size = make, size
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        value = self.make(key)
         if len(self) >= self.size:
-            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -62,10 +60,17 @@ class PrefixEncoder:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
+        by_end: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) >= 3:
+                by_end.setdefault(token[-3:], set()).add(len(token))
+        #: Lengths, from the longest, of the tokens that end in three bytes.
+        self.sizes = {k: (*sorted(v, reverse=True), 2, 1) for k, v in by_end.items()}
         self.spines: dict[bytes, tuple[list, list, bool]] = {}
-        self.last: Generations = Generations(self._last)
-        self.pieces = Generations(self._piece)
-        self.chunks = Generations(lambda rest: self._chunk(" " + rest))
+        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.prefixes = Bounded(self._prefix, CACHE // 2)
+        self.pieces = Bounded(self._piece, CACHE // 8)
+        self.chunks = Bounded(self._chunk)
 
     def _spines(self, token: bytes) -> tuple[list, list, bool]:
         """Parts that held the first and the last byte while the token was merged, each with the rank that ends it."""
@@ -85,7 +90,15 @@ class PrefixEncoder:
         return known
 
     def _fit(self, left: bytes, right: bytes) -> bool:
-        """True if merging would never join the two tokens: at no time does their boundary have the lowest rank."""
+        """True if merging makes the right token and never joins the two: at no time has their boundary the lowest rank."""
+        key = (left, right)
+        if (known := self.fits.get(key)) is None:
+            if len(self.fits) >= CACHE // 2:
+                self.fits.clear()
+            known = self.fits[key] = self._spines(right)[2] and self._stays(left, right)
+        return known
+
+    def _stays(self, left: bytes, right: bytes) -> bool:
         a, b, i, j, ranks = self._spines(left)[1], self._spines(right)[0], 0, 0, self.ranks
         while True:
             (x, x_ends), (y, y_ends) = a[i], b[j]
@@ -99,22 +112,29 @@ class PrefixEncoder:
             else:
                 j += 1
 
-    def _last(self, prefix: bytes) -> bytes:
-        """The only token that can end the encoding of prefix."""
-        n = len(prefix)
-        for size in range(min(n, self.longest), 0, -1):
-            token = prefix[n - size:]
-            if token in self.ranks and self._spines(token)[2] and (size == n or self._fit(self.last[prefix[: n - size]], token)):
-                return token
+    def _prefix(self, prefix: bytes) -> tuple[bytes, str]:
+        """The only token that can end the encoding of prefix, and its ids, joined by commas."""
+        n, ranks = len(prefix), self.ranks
+        for size in self.sizes.get(prefix[-3:], SHORT):
+            if size > n or (rank := ranks.get(prefix[n - size:])) is None:
+                continue
+            token = self.tokens[rank]
+            if size == n:
+                if self._spines(token)[2]:
+                    return token, str(rank)
+            else:
+                last, ids = self.prefixes[prefix[: n - size]]
+                if self._fit(last, token):
+                    return token, f"{ids},{rank}"
         raise ValueError("the table lacks a byte")
 
     def prefix_tokens(self, piece: bytes, known: list[bytes] | None = None) -> list[bytes]:
         """Last token of each prefix, by length from 1; known: those of a shorter prefix, which are kept as they are."""
         ends = list(known or [])
         for n in range(len(ends) + 1, len(piece) + 1):
-            for size in range(min(n, self.longest), 0, -1):
+            for size in self.sizes.get(piece[max(0, n - 3): n], SHORT):
                 token = piece[n - size: n]
-                if token in self.ranks and self._spines(token)[2] and (size == n or self._fit(ends[n - size - 1], token)):
+                if size <= n and token in self.ranks and (self._spines(token)[2] if size == n else self._fit(ends[n - size - 1], token)):
                     ends.append(token)
                     break
             else:
@@ -134,12 +154,7 @@ class PrefixEncoder:
             return [rank]
         if len(piece) > SHARED:
             return self.path(piece, self.prefix_tokens(piece))
-        out, rest = [], piece
-        while rest:
-            token = self.last[rest]
-            out.append(self.ranks[token])
-            rest = rest[: -len(token)]
-        return out[::-1]
+        return list(map(int, self._prefix(piece)[1].split(",")))
 
     def append(self, piece: bytes, ends: list[bytes], more: bytes) -> tuple[bytes, list[bytes]]:
         """The piece with more bytes, and its table; only the new prefixes are computed."""
@@ -167,26 +182,29 @@ class PrefixEncoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def _piece(self, piece: str) -> tuple[int, str, bytes]:
+    def _piece(self, piece: str) -> tuple[str, bytes]:
+        """Ids of one match of the pattern, joined by commas, and what they decode to."""
         ids = self.encode_piece(piece.encode("utf-8", "replace"))
-        return len(ids), ",".join(map(str, ids)), self.decode(ids)
-
-    def _chunk(self, chunk: str) -> tuple[int, str, bytes]:
-        pieces = self.pattern.findall(chunk)
-        if len(pieces) == 1:
-            return self.pieces[pieces[0]]
-        n, ids, raw = zip(*map(self.pieces.__getitem__, pieces))
-        return sum(n), ",".join(ids), b"".join(raw)
+        return ",".join(map(str, ids)), self.decode(ids)
+
+    def _chunk(self, chunk: str) -> tuple[str, bytes]:
+        """The same for a space and what follows it up to the next cut."""
+        if chunk.isalpha():  # one match
+            return self._piece(" " + chunk)
+        parts = [self.chunks[m[1:]] if m[0] == " " and m[1:].isalpha() else self.pieces[m] for m in self.pattern.findall(" " + chunk)]
+        if len(parts) == 1:
+            return parts[0]
+        ids, raw = zip(*parts)
+        return ",".join(ids), b"".join(raw)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and SHA-256 of the decimal ids and of the decoded bytes, for texts of any length."""
         first, *rest = CUT.split(text)
-        found = [self._chunk(x) for x in ([first] if first else [])]
+        found = list(map(self.pieces.__getitem__, self.pattern.findall(first)))
         found += map(self.chunks.__getitem__, rest)
-        if not found:
-            return 0, hashlib.sha256().hexdigest(), hashlib.sha256().hexdigest()
-        n, ids, raw = zip(*found)
-        return sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
+        ids, raw = zip(*found) if found else ((), ())
+        joined = ",".join(ids)
+        return joined.count(",") + bool(joined), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
 
 
 _ENCODERS: dict[tuple[str, str], PrefixEncoder] = {}
