@@ -68,6 +68,13 @@ def whole_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
 
 
+def with_length(df: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """df with the length of its text brought up to date, if it has a column for it."""
+    if length_col not in df.columns:
+        return df
+    return df.withColumn(length_col, F.coalesce(F.length(text_col), F.lit(0)).cast(df.schema[length_col].dataType))
+
+
 #: Rows that a Python operator turns into Python objects at once.
 SLICE = 512
 

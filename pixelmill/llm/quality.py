@@ -17,8 +17,9 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_rows, whole_text
+from .common import map_rows, whole_text, with_length
 
 # Characters that separate words, and that count as symbols.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -130,3 +131,19 @@ def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_rows(whole_text(df, id_col, text_col), run, f"`{id_col}` {kind}, {FIELDS}" + ", cleaned_text string" * with_text)
+
+
+def keep_documents(df: DataFrame, text_col: str = "text", length_col: str = "n_chars", rules: LineRules = LineRules()) -> DataFrame:
+    """Rows of df that are kept, with their cleaned text and its length; other columns stay as they are."""
+    at = df.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        judged = [judge(t or "", rules) for t in batch.column(at).to_pylist()]
+        columns = batch.columns
+        columns[at] = pa.array([x[9] for x in judged], pa.string())
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array([x[6] for x in judged], pa.bool_()))
+
+    places = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # names may need quotes
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema))
+    out = map_rows(places, run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)))
+    return with_length(out, text_col, length_col)
