@@ -30,11 +30,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, slices
+from .common import Scratch, partitions, slices, with_length
 
 LENGTH, GRAM = 50, 16
 #: Bytes parsed at once, bytes whose phrases are held before they are sent, windows in a phrase at most.
 BLOCK, HOLD, LONGEST = 1 << 19, 1 << 24, 255
+#: Verdicts that a task gathers over its parts before it sends them home.
+GATHER = 1 << 19
 #: Distinct phrases of a trigger from which its windows are dealt by their own hashes.
 HOT = 4096
 LAST = (1 << 63) - 1
@@ -188,14 +190,22 @@ def _prime(n: int) -> int:
 
 
 class Parser:
-    """The steps of the operator for given lengths and numbers of parts."""
+    """The steps of the operator for given lengths and numbers of parts (of triggers) and homes (of documents)."""
 
-    def __init__(self, length: int, gram: int, parts: int):
-        self.length, self.gram, self.parts = length, gram, parts
+    def __init__(self, length: int, gram: int, parts: int, homes: int):
+        self.length, self.gram, self.parts, self.homes = length, gram, parts, homes
 
     def home(self, doc: np.ndarray) -> np.ndarray:
-        """Part of a document; equal to that of _home."""
-        return doc % self.parts
+        """Home of a document; equal to that of _home."""
+        return doc % self.homes
+
+    def sent(self, verdicts: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
+        """Gathered verdicts (kind, columns with the phrase and the document first) as rows for their homes."""
+        rows = []
+        for kind in sorted({k for k, _ in verdicts}):
+            columns = [np.concatenate(x) for x in zip(*(c for k, c in verdicts if k == kind))]
+            rows += _dealt(kind, self.home(columns[1]), *columns)
+        return _batch(rows)
 
     def parse(self, batches):
         """Texts to phrases and, for those that a smaller document of the task has, verdicts."""
@@ -227,9 +237,9 @@ class Parser:
     def own(self, batches):
         """Phrases of a part to verdicts; rows of one part come one behind the other."""
         held: list[list[np.ndarray]] = []
-        at = None
+        verdicts, gathered, at = [], 0, None
 
-        def out():
+        def judge() -> int:
             trigger, phrase, doc = (np.concatenate(x) for x in zip(*held))
             trigger = np.pad(trigger.view(np.uint8).reshape(-1, 5), ((0, 0), (0, 3))).view(np.uint64).reshape(-1)
             order, owner = _owners(trigger, phrase, doc)
@@ -238,10 +248,9 @@ class Parser:
             group = np.cumsum(_heads(trigger)) - 1
             n_phrases = np.bincount(group, _heads(trigger, phrase)).astype(np.int64)[group]
             ask, hot = own & (n_phrases > 1), n_phrases > HOT
-            rows = [*_dealt(GONE, self.home(doc[~own]), phrase[~own], doc[~own])]
-            for kind, which in ((ASK, ask & ~hot), (ASK_WINDOWS, ask & hot)):
-                rows += _dealt(kind, self.home(doc[which]), phrase[which], doc[which])
-            return _batch(rows)
+            for kind, which in ((GONE, ~own), (ASK, ask & ~hot), (ASK_WINDOWS, ask & hot)):
+                verdicts.append((kind, [phrase[which], doc[which]]))
+            return int((~own | ask).sum())
 
         for batch in slices(batches, 64):
             rows = []
@@ -250,13 +259,18 @@ class Parser:
                     rows.append((kind, part, blob))
                     continue
                 if part != at and held:
-                    yield out()
+                    gathered += judge()
                     held = []
+                    if gathered >= GATHER:
+                        yield self.sent(verdicts)
+                        verdicts, gathered = [], 0
                 at = part
                 held.append(unpack(blob, "V5", "u8", "i8"))
-            yield _batch(rows)
+            if rows:
+                yield _batch(rows)
         if held:
-            yield out()
+            judge()
+        yield self.sent(verdicts)
 
     def verdicts(self, table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(phrase, first window, behind the last, kind) of each document's verdicts, in the order of phrases."""
@@ -327,9 +341,9 @@ class Parser:
     def sort(self, batches):
         """Phrases of a part to runs of windows that a smaller document has too."""
         held: list[list] = []
-        at = None
+        verdicts, gathered, at = [], 0, None
 
-        def out():
+        def judge() -> int:
             phrase, doc, first, size = (np.concatenate(x) for x in list(zip(*held))[:4])
             text = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
             width = size.astype(np.int64) + self.length - 1
@@ -353,18 +367,23 @@ class Parser:
             o = owner[s]
             a = (k[s] + first[o]).astype(np.uint8)
             b = (k[e] + first[o] + 1).astype(np.uint8)
-            return _batch([*_dealt(RUNS, self.home(doc[o]), phrase[o], doc[o], a, b)])
+            verdicts.append((RUNS, [phrase[o], doc[o], a, b]))
+            return len(o)
 
         for batch in slices(batches, 64):
             for _, part, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if part != at and held:
-                    yield out()
+                    gathered += judge()
                     held = []
+                    if gathered >= GATHER:
+                        yield self.sent(verdicts)
+                        verdicts, gathered = [], 0
                 at = part
                 n = int.from_bytes(blob[:8], "little")
                 held.append([*unpack(blob[8: 8 + n], "u8", "i8", "u1", "u1"), zstandard.ZstdDecompressor().decompress(blob[8 + n:])])
         if held:
-            yield out()
+            judge()
+        yield self.sent(verdicts)
 
     def removed(self, ids: np.ndarray, texts: list[bytes], verdicts: dict) -> Iterator[np.ndarray]:
         """For each text, which bytes go."""
@@ -378,15 +397,15 @@ class Parser:
             yield np.cumsum(edges[i][:-1]) > 0 if i in edges else np.zeros(len(t), bool)
 
 
-def _home(doc: Column, parts: int) -> Column:
-    return F.pmod(doc, F.lit(parts)).cast("int")
+def _home(doc: Column, homes: int) -> Column:
+    return F.pmod(doc, F.lit(homes)).cast("int")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None, with_bytes: bool = False) -> DataFrame:
-    """n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes) of each row; carry: columns kept (the id)."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None, kept: str | None = None) -> DataFrame:
+    """n_bytes, n_removed, n_spans, kept_sha256 of each row. carry: columns that stay (the id); kept: bytes or text, to have the rest too."""
     spark = df.sparkSession
     scratch = Scratch(spark, "suffix")
-    p = Parser(length, gram, _prime(4 * partitions(spark)))
+    p = Parser(length, gram, _prime(4 * partitions(spark)), _prime(partitions(spark)))
     carry = [id_col] if carry is None else carry
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -396,7 +415,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     replies = scratch.table(by_part(parsed).mapInArrow(p.own, ROWS), "dictionary")
 
     carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
-    docs = df.select(_home(doc, p.parts).alias("part"), doc.alias("__id"), text.alias("__text"), *carried)
+    docs = df.select(_home(doc, p.homes).alias("part"), doc.alias("__id"), text.alias("__text"), *carried)
     asked = replies.where(F.col("kind").isin(ASK, ASK_WINDOWS))
     content = docs.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lambda left, right: p.content(left, right), ROWS)
     runs = by_part(content).mapInArrow(p.sort, ROWS)
@@ -406,14 +425,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ids, texts = left.column("__id").to_numpy(), [t.encode("utf-8", "surrogatepass") for t in left.column("__text").to_pylist()]
         rows = []
         for t, out in zip(texts, p.removed(ids, texts, p.verdicts(right))):
-            kept = np.frombuffer(t, np.uint8)[~out].tobytes() if out.any() else t
+            rest = np.frombuffer(t, np.uint8)[~out].tobytes() if out.any() else t
             spans = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum())
-            rows.append((len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept)[: 5 if with_bytes else 4])
-        names = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())][: 5 if with_bytes else 4]
+            rows.append((len(t), len(t) - len(rest), spans, hashlib.sha256(rest).hexdigest(), *([rest.decode("utf-8", "ignore")] if kept == "text" else [rest] if kept else [])))
+        names = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string() if kept == "text" else pa.binary())] if kept else [])]
         made = [pa.array(c, t) for c, (_, t) in zip(list(zip(*rows)) or [()] * len(names), names)]
         return pa.Table.from_arrays([*(left.column(f"c{i}") for i in range(len(carry))), *made], names=[*(f"c{i}" for i in range(len(carry))), *(n for n, _ in names)])
 
     kinds = [f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
-    schema = ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string"] + ["kept binary"] * with_bytes)
+    schema = ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string"] + [f"kept {'string' if kept == 'text' else 'binary'}"] * bool(kept))
     out = docs.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(finish, schema)
     return out.toDF(*carry, *out.columns[len(carry):])
+
+
+def keep_first_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
+    """df with the remaining bytes as text; bytes that no longer make a character go too."""
+    carry = [c for c in df.columns if c != text_col]
+    out = remove_repeats(df, id_col, text_col, length, carry=carry, kept="text")
+    out = out.toDF(*carry, *(f"__{k}" for k in range(4)), f"__{text_col}")  # their names may be those of columns of df
+    found = [F.col(f"`__{text_col}`" if c == text_col else f"`{c}`").alias(c) for c in df.columns]
+    return with_length(out.select(*found), text_col, length_col)

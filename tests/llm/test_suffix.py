@@ -65,7 +65,7 @@ def local(rows, length, gram, hot, monkeypatch):
 
     monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "HOLD", 3000)
-    p = suffix.Parser(length, gram, 7)
+    p = suffix.Parser(length, gram, 7, 3)
     ids, texts = [suffix.LAST if r[0] is None else r[0] for r in rows], [r[1] or "" for r in rows]
     batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["id", "text"])
 
@@ -87,5 +87,5 @@ def local(rows, length, gram, hot, monkeypatch):
 
 def test_empty_table_and_carried_columns(spark, documents, empty):
     assert suffix.remove_repeats(empty).count() == 0
-    got = suffix.remove_repeats(documents, carry=documents.columns, with_bytes=True)
+    got = suffix.remove_repeats(documents, carry=documents.columns, kept="bytes")
     assert got.columns[: len(documents.columns)] == documents.columns and got.count() == documents.count()
