@@ -29,6 +29,8 @@ ACCESS = "AKIA[A-Z0-9]{12,}"  # the same as runs of any length of which shorter
 HEX = "[0-9a-f]{32,}"
 #: Runs of token characters with a letter and a digit in them.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: Found in a text if any kind has a match: one pass decides for most texts.
+ANY = f"{ASSIGN_START}|(?-i:{ACCESS}|{HEX}|{TOKEN})"
 
 REDACTED = "[REDACTED]"
 
@@ -38,16 +40,15 @@ def _key(id_col: str, text: Column) -> Column:
     return F.concat_ws(":", F.col(id_col).cast("string"), F.md5(text.cast("binary")))
 
 
-def _matches(text: Column, kind: int, pattern: str, might: Column, value: int = 0) -> Column:
-    """Array of (kind, i, gap before the match, its length, length and hash of its value), null where there is none."""
+def _matches(text: Column, kind: int, pattern: str, value: int = 0) -> Column:
+    """Array of (kind, i, gap before the match, its length, length and hash of its value)."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     worth = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else whole
     gaps = F.split(text, pattern, -1)
-    rows = F.transform(
+    return F.transform(
         F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("g"), whole.alias("m"), worth.alias("v")),
         lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("len"), F.length(x["v"]).alias("value_len"), F.md5(x["v"].cast("binary")).alias("hash")),
     )
-    return F.when(might, rows)
 
 
 def candidates(df: DataFrame, id_col: str, text_col: str, repo_cols: list[str], owner_col: str) -> DataFrame:
@@ -56,15 +57,8 @@ def candidates(df: DataFrame, id_col: str, text_col: str, repo_cols: list[str],
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(_key(id_col, text).alias("key"), text.alias("t"), F.concat_ws("/", *map(own, repo_cols)).alias("repo"), own(owner_col).alias("owner"))
     t = F.col("t")
-    found = docs.select(
-        "key", "repo", "owner",
-        F.flatten(F.array_compact(F.array(
-            _matches(t, 0, ASSIGN, t.rlike(ASSIGN_START), 2),
-            _matches(t, 1, ACCESS, t.contains("AKIA")),
-            _matches(t, 2, HEX, t.rlike(HEX)),
-            _matches(t, 3, TOKEN, t.rlike(TOKEN)),
-        ))).alias("found"),
-    ).where(F.size("found") > 0)
+    kinds = F.concat(_matches(t, 0, ASSIGN, 2), _matches(t, 1, ACCESS), _matches(t, 2, HEX), _matches(t, 3, TOKEN))
+    found = docs.where(t.rlike(ANY)).select("key", "repo", "owner", kinds.alias("found"))
     once = found.groupBy("key").agg(F.min("repo").alias("repo"), F.min("owner").alias("owner"), F.first("found").alias("found"))  # repeated rows have the same matches
     rows = once.select("key", "repo", "owner", F.inline("found"))
     before = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("key", "kind").orderBy("i")) - F.col("len")
