@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import colour_key, half_up
+from ..functions.numeric import colour_key, half_up, weighted_distance2
 from .pointwise import Colour, nearest, sizes, stride_sample
 
 
@@ -55,25 +55,16 @@ def off_palette_share(pixels: DataFrame, palette: list[Colour], tolerance: float
 def kmeans_refine(pixels: DataFrame, palette: list[Colour], iterations: int = 10, sample: int = 20000) -> DataFrame:
     """Palette centres of each image after rounds of assignment and plain means; empty centres stay. One row a centre.
 
-    The sample's distinct colours with counts go round, of which there are few; the palette goes along as an array.
+    What goes round is the distinct colours of the sample with their counts; an image's centres ride along as an array.
     """
     counted = stride_sample(pixels, sample).groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
-    image = counted.groupBy("image_id").agg(F.collect_list(F.struct("r", "g", "b", "n")).alias("colours"))  # bounded by sample
     start = F.array(*(F.struct(*(F.lit(float(v)).alias(c) for v, c in zip(p, "rgb"))) for p in palette))
-    state = image.withColumn("centres", start)
-    from ..functions.numeric import weighted_distance2
-
+    centres = counted.select("image_id").distinct().withColumn("centres", start)
     for _ in range(iterations):
-        label = lambda x: F.array_min(F.transform("centres", lambda c, j: F.struct(weighted_distance2((x["r"], x["g"], x["b"]), (c["r"], c["g"], c["b"])).alias("d"), j.alias("j"))))["j"]
-        named = F.transform("colours", lambda x: F.struct(label(x).alias("j"), x["r"].alias("r"), x["g"].alias("g"), x["b"].alias("b"), x["n"].alias("n")))
-        state = state.withColumn("named", named)
-
-        def moved(c, j):
-            mine = F.filter("named", lambda x: x["j"] == j)
-            total = F.aggregate(mine, F.lit(0).cast("long"), lambda s, x: s + x["n"])
-            mean = lambda k: F.aggregate(mine, F.lit(0).cast("long"), lambda s, x: s + x["n"] * x[k]) / F.when(total > 0, total)
-            return F.struct(*(F.coalesce(mean(k), c[k]).alias(k) for k in "rgb"))
-
-        state = state.withColumn("centres", F.transform("centres", moved)).drop("named")
-    out = state.select("image_id", F.posexplode("centres").alias("label", "c"))
+        near = F.array_min(F.transform("centres", lambda c, j: F.struct(weighted_distance2(tuple(map(F.col, "rgb")), tuple(c[k] for k in "rgb")).alias("d"), j.alias("j"))))
+        named = counted.join(centres, "image_id").withColumn("label", near["j"])
+        means = named.groupBy("image_id", "label").agg(F.first("centres").alias("centres"), *((F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in "rgb"))
+        found = means.groupBy("image_id").agg(F.first("centres").alias("centres"), F.map_from_entries(F.collect_list(F.struct("label", F.struct("r", "g", "b")))).alias("m"))
+        centres = found.select("image_id", F.transform("centres", lambda c, j: F.coalesce(F.try_element_at("m", j), c)).alias("centres"))
+    out = centres.select("image_id", F.posexplode("centres").alias("label", "c"))
     return out.select("image_id", "label", *(F.col(f"c.{k}").alias(k) for k in "rgb"))

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up
 
-BY = Window.partitionBy("image_id")
-UP_TO = BY.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+
+def by():
+    return Window.partitionBy("image_id")
+
+
+def up_to():
+    return by().orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def histogram256(gray: DataFrame) -> DataFrame:
@@ -19,7 +24,7 @@ def histogram256(gray: DataFrame) -> DataFrame:
 
 def separations(hist: DataFrame) -> DataFrame:
     """For each threshold that splits an image's levels: variance between the classes, and the thresholds up to the next level that split alike."""
-    cum = hist.select("image_id", "v", F.sum("n").over(UP_TO).alias("w0"), F.sum(F.col("n") * F.col("v")).over(UP_TO).alias("s0"), F.sum("n").over(BY).alias("w"), F.sum(F.col("n") * F.col("v")).over(BY).alias("s"), F.lead("v").over(BY.orderBy("v")).alias("up"))
+    cum = hist.select("image_id", "v", F.sum("n").over(up_to()).alias("w0"), F.sum(F.col("n") * F.col("v")).over(up_to()).alias("s0"), F.sum("n").over(by()).alias("w"), F.sum(F.col("n") * F.col("v")).over(by()).alias("s"), F.lead("v").over(by().orderBy("v")).alias("up"))
     w0, s0, w, s = (F.col(c).cast("double") for c in ("w0", "s0", "w", "s"))
     gap = s0 / w0 - (s - s0) / (w - w0)
     return cum.where("up IS NOT NULL").select("image_id", "w0", "w", (F.col("v") + 1).alias("lo"), F.col("up").alias("hi"), (w0 / w * ((w - w0) / w) * gap * gap).alias("between"))
@@ -27,7 +32,7 @@ def separations(hist: DataFrame) -> DataFrame:
 
 def otsu(hist: DataFrame) -> DataFrame:
     """Threshold of the largest variance between classes, the middle of equal ones; 128 for one level."""
-    found = separations(hist).withColumn("top", F.max("between").over(BY)).where("between = top")
+    found = separations(hist).withColumn("top", F.max("between").over(by())).where("between = top")
     best = found.groupBy("image_id").agg(F.floor((F.min("lo") + F.max("hi") + 1) / 2).cast("int").alias("t"), F.max("between").alias("between"))
     return hist.select("image_id").distinct().join(best, "image_id", "left").select("image_id", F.coalesce("t", F.lit(128)).alias("t"), F.coalesce("between", F.lit(0.0)).alias("between"))
 
@@ -35,8 +40,8 @@ def otsu(hist: DataFrame) -> DataFrame:
 def class_percentile(hist: DataFrame, lo: Column | int, hi: Column | int, q: float, from_top: bool = False) -> DataFrame:
     """The level of lo..hi at which the count so far, from below or above, reaches a share q."""
     part = hist.where((F.col("v") >= lo) & (F.col("v") <= hi))
-    order = BY.orderBy(F.desc("v") if from_top else "v").rowsBetween(Window.unboundedPreceding, 0)
-    reached = part.withColumn("c", F.sum("n").over(order)).withColumn("total", F.sum("n").over(BY)).where(F.col("c") >= q * F.col("total"))
+    order = by().orderBy(F.desc("v") if from_top else "v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = part.withColumn("c", F.sum("n").over(order)).withColumn("total", F.sum("n").over(by())).where(F.col("c") >= q * F.col("total"))
     return reached.groupBy("image_id").agg((F.max if from_top else F.min)("v").alias("v"))
 
 
@@ -74,10 +79,10 @@ def two_peaks(hist: DataFrame) -> DataFrame:
     """The level with most counts within 3 of it, and the next such level, a local maximum 8 or more away."""
     spine = hist.sparkSession.range(256).select(F.col("id").cast("int").alias("v"))
     dense = hist.select("image_id").distinct().crossJoin(F.broadcast(spine)).join(hist, ["image_id", "v"], "left").na.fill(0, ["n"])  # 256 rows an image
-    w = BY.orderBy("v")
+    w = by().orderBy("v")
     s = dense.withColumn("c", F.sum("n").over(w.rowsBetween(-3, 3)))
     s = s.withColumn("before", F.coalesce(F.lag("c").over(w), F.lit(-1))).withColumn("after", F.coalesce(F.lead("c").over(w), F.lit(-1)))
-    s = s.withColumn("first", F.max(F.struct("c", (-F.col("v")).alias("m"))).over(BY))
+    s = s.withColumn("first", F.max(F.struct("c", (-F.col("v")).alias("m"))).over(by()))
     peak = -F.col("first.m")
     far = (F.abs(F.col("v") - peak) >= 8) & (F.col("c") >= F.col("before")) & (F.col("c") >= F.col("after")) & (F.col("c") > 0)
     out = s.groupBy("image_id").agg(F.max(peak).alias("p0"), F.max(F.when(far, F.struct("c", (-F.col("v")).alias("m")))).alias("second"))
@@ -89,7 +94,7 @@ def alpha_shares(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg(share(F.col("a") < 8).alias("transparent"), share((F.col("a") >= 8) & (F.col("a") <= 247)).alias("partial"))
 
 
-def quantile_pair(values: DataFrame, lo: float, hi: float, by: str = "image_id", v: str = "v") -> DataFrame:
+def quantile_pair(values: DataFrame, lo: float, hi: float, key: str = "image_id", v: str = "v") -> DataFrame:
     """Quantiles at rank q (n - 1), interpolated."""
     q = F.percentile(v, F.array(F.lit(lo), F.lit(hi)))
-    return values.groupBy(by).agg(q.alias("q")).select(by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    return values.groupBy(key).agg(q.alias("q")).select(key, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from .pointwise import PIXEL
 from .stencil import dilate1, neighbour
 
-BY = Window.partitionBy("image_id")
+
+def by():
+    return Window.partitionBy("image_id")
 
 
 def layer_order(labels: DataFrame) -> DataFrame:
     """image_id, label, n, rank: largest first, the lower label of equal ones."""
     counts = labels.groupBy("image_id", "label").agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(BY.orderBy(F.desc("n"), "label")) - 1)
+    return counts.withColumn("rank", F.row_number().over(by().orderBy(F.desc("n"), "label")) - 1)
 
 
 def ranked(labels: DataFrame, order: DataFrame) -> DataFrame:
@@ -132,5 +134,5 @@ def merge_regions(regions: DataFrame, parents: DataFrame) -> DataFrame:
     """Pixels under the regions that theirs were merged into (image_id, region, into), numbered anew in order of the smallest member."""
     joined = regions.join(parents, ["image_id", "region"], "left").withColumn("into", F.coalesce("into", "region"))
     first = joined.groupBy("image_id", "into").agg(F.min("region").alias("least"))
-    number = first.select("image_id", "into", (F.dense_rank().over(BY.orderBy("least")) - 1).alias("new"))
+    number = first.select("image_id", "into", (F.dense_rank().over(by().orderBy("least")) - 1).alias("new"))
     return joined.join(number, ["image_id", "into"]).select(*PIXEL, F.col("new").alias("region"))

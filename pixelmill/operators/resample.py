@@ -62,13 +62,13 @@ def taps(side: Column, u: int) -> Column:
 def upscale(gray: DataFrame, u: int, store: bool = False) -> DataFrame:
     """Bicubic enlargement; each value stays within its four nearest pixels."""
     s = sizes(gray)
-    tx = s.select("image_id", F.inline(taps(F.col("width"), u))).toDF("image_id", "X", "x", "w", "near")
-    ty = s.select("image_id", F.inline(taps(F.col("height"), u))).toDF("image_id", "Y", "y", "w", "near")
+    tx = s.select("image_id", F.inline(taps(F.col("width"), u))).toDF("image_id", "to_x", "x", "w", "near")
+    ty = s.select("image_id", F.inline(taps(F.col("height"), u))).toDF("image_id", "to_y", "y", "w", "near")
     near = lambda f, c: f(F.when(F.col("near"), F.col(c)))
-    rows = gray.join(tx, ["image_id", "x"]).groupBy("image_id", "y", "X").agg(F.sum(F.col("w") * F.col("v")).alias("v"), near(F.min, "v").alias("lo"), near(F.max, "v").alias("hi"))
-    out = rows.join(ty, ["image_id", "y"]).groupBy("image_id", "Y", "X").agg(F.sum(F.col("w") * F.col("v")).alias("v"), near(F.min, "lo").alias("lo"), near(F.max, "hi").alias("hi"))
+    rows = gray.join(tx, ["image_id", "x"]).groupBy("image_id", "y", "to_x").agg(F.sum(F.col("w") * F.col("v")).alias("v"), near(F.min, "v").alias("lo"), near(F.max, "v").alias("hi"))
+    out = rows.join(ty, ["image_id", "y"]).groupBy("image_id", "to_y", "to_x").agg(F.sum(F.col("w") * F.col("v")).alias("v"), near(F.min, "lo").alias("lo"), near(F.max, "hi").alias("hi"))
     v = F.least("hi", F.greatest("lo", "v"))
-    return out.select("image_id", F.col("Y").alias("y"), F.col("X").alias("x"), (store_u8(v) if store else v).alias("v"))
+    return out.select("image_id", F.col("to_y").alias("y"), F.col("to_x").alias("x"), (store_u8(v) if store else v).alias("v"))
 
 
 def detect_grid(pixels: DataFrame, largest: int = 8) -> DataFrame:

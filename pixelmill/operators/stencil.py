@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from ..functions.numeric import colour_key, luma
 from .pointwise import PIXEL
 
-RASTER = Window.partitionBy("image_id").orderBy("y", "x")
 AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
 
 def _at(v: Column, step: int) -> Column:
-    return F.lag(v, -step).over(RASTER) if step < 0 else F.lead(v, step).over(RASTER)
+    """The value so many pixels later in row order."""
+    raster = Window.partitionBy("image_id").orderBy("y", "x")
+    return F.lag(v, -step).over(raster) if step < 0 else F.lead(v, step).over(raster)
 
 
 def neighbour(v: Column, dy: int, dx: int, width: int, outside: Column | None = None) -> Column:

@@ -334,7 +334,7 @@ def dominant_ink(spark, sf_dir):
     return col_ops.dominant_ink_colour(colour(spark, sf_dir), (255, 255, 255))
 
 
-@query(f"WITH {COLOUR_SQL}, some AS (SELECT * FROM colour WHERE a >= 128), {nearest_sql('some')} SELECT image_id, round(avg(CAST(d2 > 576 AS INTEGER)), 6) AS off_share, round(avg(sqrt(d2)), 6) AS error FROM nearest GROUP BY image_id")
+@query(f"WITH {COLOUR_SQL}, opaque AS (SELECT * FROM colour WHERE a >= 128), {nearest_sql('opaque')} SELECT image_id, round(avg(CAST(d2 > 576 AS INTEGER)), 6) AS off_share, round(avg(sqrt(d2)), 6) AS error FROM nearest GROUP BY image_id")
 def off_palette_share(spark, sf_dir):
     return col_ops.off_palette_share(colour(spark, sf_dir), PALETTE).select("image_id", r("off_share").alias("off_share"), r("error").alias("error"))
 
@@ -543,10 +543,10 @@ def flat_fit(spark, sf_dir):
 
 
 @query(f"""WITH {GRAY_SQL}, {REGIONS_SQL}, c AS (SELECT image_id, region, covar_pop(x, r) AS xr, covar_pop(y, r) AS yr, covar_pop(x, g) AS xg, covar_pop(y, g) AS yg, covar_pop(x, b) AS xb, covar_pop(y, b) AS yb, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS vxy FROM px GROUP BY ALL)
-SELECT image_id, CAST(region AS INTEGER) AS region, {', '.join(f"round((x{c} * vy - y{c} * vxy) / (vx * vy - vxy * vxy), 6) AS gx_{c}, round((y{c} * vx - x{c} * vxy) / (vx * vy - vxy * vxy), 6) AS gy_{c}" for c in 'rgb')} FROM c""")
+SELECT image_id, CAST(region AS INTEGER) AS region, {', '.join(f"round((x{c} * vy - y{c} * vxy) / (vx * vy - vxy * vxy), 10) AS gx_{c}, round((y{c} * vx - x{c} * vxy) / (vx * vy - vxy * vxy), 10) AS gy_{c}" for c in 'rgb')} FROM c""")
 def plane_fit(spark, sf_dir):
     p = masks.plane_fit(masks.moments(regions(spark, sf_dir)))
-    return p.select("image_id", "region", *(r(f"g{d}_{c}").alias(f"g{d}_{c}") for c in "rgb" for d in "xy"))
+    return p.select("image_id", "region", *(r(f"g{d}_{c}", 10).alias(f"g{d}_{c}") for c in "rgb" for d in "xy"))
 
 
 @query(f"""WITH {GRAY_SQL}, {REGIONS_SQL}, c AS (SELECT image_id, region, covar_pop(x, r) / var_pop(x) AS xr, covar_pop(y, r) / var_pop(y) AS yr, covar_pop(x, g) / var_pop(x) AS xg, covar_pop(y, g) / var_pop(y) AS yg, covar_pop(x, b) / var_pop(x) AS xb, covar_pop(y, b) / var_pop(y) AS yb FROM px GROUP BY ALL),
