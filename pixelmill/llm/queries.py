@@ -62,4 +62,16 @@ QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_secret_scans,
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": "SELECT doc_id, lang, source, strlen(text) AS n_bytes, md5(text) AS text_md5 FROM documents",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        g AS (SELECT html, max(page_id) AS last FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+        SELECT page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN page_id < last THEN last END AS refers_to, true AS intact
+        FROM p LEFT JOIN g ON p.html = g.html""",
+    "op6_metric_join": """
+        WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95e0),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least_ AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, component_id = vec_id AS kept FROM least_""",
 }
