@@ -365,7 +365,27 @@ def polygon(path: np.ndarray, tolerance: float = 0.6) -> np.ndarray:
         if away[k] > tolerance:
             keep.add(a + 1 + k)
             todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    return p[sorted(keep)]
+    return _adjusted(q, sorted(keep))
+
+
+def _adjusted(q: np.ndarray, keep: list[int]) -> np.ndarray:
+    """Corners where the lines through the points of neighbouring sides meet, unless that is more than a pixel away."""
+    ends = [*keep[1:], len(q) - 1 + keep[0]]
+    lines = []
+    for a, b in zip(keep, ends):
+        side = q[np.arange(a, b + 1) % (len(q) - 1)]
+        centre = side.mean(0)
+        lines.append((centre, np.linalg.eigh((side - centre).T @ (side - centre))[1][:, 1]))
+    out = q[keep].copy()
+    for i in range(len(keep)):
+        (c, d), (e, f) = lines[i - 1], lines[i]
+        cross = d[0] * f[1] - d[1] * f[0]
+        if abs(cross) > 0.05:
+            t = ((e - c)[0] * f[1] - (e - c)[1] * f[0]) / cross
+            meet = c + t * d
+            if math.hypot(*(meet - out[i])) <= 1:
+                out[i] = meet
+    return out
 
 
 def smooth(points: np.ndarray, alphamax: float = 1.0) -> list[tuple]:

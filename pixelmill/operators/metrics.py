@@ -17,7 +17,8 @@ def paired(a: DataFrame, b: DataFrame, columns: tuple[str, ...] = ("v",)) -> Dat
 
 def same_sizes(a: DataFrame, b: DataFrame) -> DataFrame:
     """Images of different size or in one of the two only; metrics are defined if there are none."""
-    return sizes(a).select("image_id", "width", "height").exceptAll(sizes(b).select("image_id", "width", "height"))
+    sides = lambda d: sizes(d).select("image_id", "width", "height")
+    return sides(a).exceptAll(sides(b)).unionByName(sides(b).exceptAll(sides(a)))
 
 
 def mean_absolute_error(pairs: DataFrame) -> DataFrame:

@@ -208,7 +208,7 @@ def _one_line_image(a: np.ndarray, blur_k: float, alphamax: float, turdsize: flo
     u = u or _upscale(h, w)
     mask, paths = _lines(gray, u, blur_k, alphamax, turdsize, opttolerance)
     cover = _coverage(paths, w, h, u)
-    ink, paper = (gray[mask].mean() if mask.any() else 0.0), (gray[~mask].mean() if (~mask).any() else 255.0)
+    ink, paper = (np.median(gray[mask]) if mask.any() else 0.0), (np.median(gray[~mask]) if (~mask).any() else 255.0)
     any_ink = np.maximum(cover, mask).sum()
     overlap = float(np.minimum(cover, mask).sum() / any_ink) if any_ink else 1.0
     stats = _stats([paths])
@@ -364,7 +364,7 @@ def facts(a: np.ndarray) -> dict:
     palette = _palette(ground, 32)
     n = np.bincount(k.nearest(ground, palette).ravel(), minlength=len(palette)) / gray.size
     near = np.sqrt((((ground[:, :, None] - palette) * k.WEIGHTS) ** 2).sum(-1)).min(-1)
-    main = palette[n >= 0.005]
+    main = _without_blends(palette[n >= 0.005], n[n >= 0.005])
     off = np.sqrt((((ground[:, :, None] - main) * k.WEIGHTS) ** 2).sum(-1)).min(-1) if len(main) else near
     ink = mask.copy()
     core = ink & np.pad(ink, 1)[:-2, 1:-1] & np.pad(ink, 1)[2:, 1:-1] & np.pad(ink, 1)[1:-1, :-2] & np.pad(ink, 1)[1:-1, 2:]
@@ -375,6 +375,21 @@ def facts(a: np.ndarray) -> dict:
     }
 
 
+def _without_blends(palette: np.ndarray, n: np.ndarray, tolerance: float = 12.0) -> np.ndarray:
+    """Colours but those on the way between two commoner ones, which smoothing makes."""
+    order, kept = np.argsort(-n, kind="stable"), []
+    for i in order:
+        c, blend = palette[i], False
+        for a in range(len(kept)):
+            for b in range(a):
+                d = palette[kept[b]] - palette[kept[a]]
+                t = (c - palette[kept[a]]) @ d / max(1e-9, d @ d)
+                blend |= 0.15 <= t <= 0.85 and np.linalg.norm(palette[kept[a]] + t * d - c) < tolerance and n[i] < 0.5 * min(n[kept[a]], n[kept[b]])
+        if not blend:
+            kept.append(i)
+    return palette[sorted(kept)]
+
+
 FACTS = "width int, height int, grid int, hard_edges double, transparent double, colours int, off_palette double, bimodal boolean, thin double, sigma double, explained double, gradient_share double, edge_share double, regions int"
 
 
