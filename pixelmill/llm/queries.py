@@ -69,7 +69,7 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN page_id < last THEN last END AS refers_to, true AS intact
         FROM p LEFT JOIN g ON p.html = g.html""",
     "op6_metric_join": """
-        WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings),
+        WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
         links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95e0),
         reach AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
         least_ AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
