@@ -364,7 +364,8 @@ def facts(a: np.ndarray) -> dict:
     palette = _palette(ground, 32)
     n = np.bincount(k.nearest(ground, palette).ravel(), minlength=len(palette)) / gray.size
     near = np.sqrt((((ground[:, :, None] - palette) * k.WEIGHTS) ** 2).sum(-1)).min(-1)
-    main = _without_blends(palette[n >= 0.005], n[n >= 0.005])
+    seen = n >= 0.0005
+    main = _exact_palette(ground, palette[seen], n[seen])
     off = np.sqrt((((ground[:, :, None] - main) * k.WEIGHTS) ** 2).sum(-1)).min(-1) if len(main) else near
     ink = mask.copy()
     core = ink & np.pad(ink, 1)[:-2, 1:-1] & np.pad(ink, 1)[2:, 1:-1] & np.pad(ink, 1)[1:-1, :-2] & np.pad(ink, 1)[1:-1, 2:]
@@ -375,16 +376,28 @@ def facts(a: np.ndarray) -> dict:
     }
 
 
-def _without_blends(palette: np.ndarray, n: np.ndarray, tolerance: float = 12.0) -> np.ndarray:
-    """Colours but those on the way between two commoner ones, which smoothing makes."""
-    order, kept = np.argsort(-n, kind="stable"), []
-    for i in order:
-        c, blend = palette[i], False
+def _exact_palette(rgb: np.ndarray, palette: np.ndarray, n: np.ndarray, tolerance: float = 12.0) -> np.ndarray:
+    """Colours of coherent areas, and of distinct pieces far from those; not those on the way between two commoner ones,
+    which smoothing makes."""
+    if not len(palette):
+        return palette
+    label = k.nearest(rgb, palette)
+    same = np.logical_and.reduce([a == label for a in k._around(label)])
+    core = np.bincount(label[same], minlength=len(palette))
+    population = np.bincount(label.ravel(), minlength=len(palette))
+    coherent = (core >= max(12, 2e-4 * label.size)) & (core >= 0.05 * population)
+    for i in np.flatnonzero(~coherent):
+        far = all(np.linalg.norm(palette[i] - palette[j]) >= 60 for j in np.flatnonzero(coherent))
+        piece = np.bincount(k.components(label == i, steps=k.EIGHT)[label == i]).max(initial=0)
+        coherent[i] = far and piece >= max(12, 0.5 * population[i])
+    kept: list[int] = []
+    for i in sorted(np.flatnonzero(coherent), key=lambda i: (-n[i], i)):
+        blend = False
         for a in range(len(kept)):
             for b in range(a):
                 d = palette[kept[b]] - palette[kept[a]]
-                t = (c - palette[kept[a]]) @ d / max(1e-9, d @ d)
-                blend |= 0.15 <= t <= 0.85 and np.linalg.norm(palette[kept[a]] + t * d - c) < tolerance and n[i] < 0.5 * min(n[kept[a]], n[kept[b]])
+                t = (palette[i] - palette[kept[a]]) @ d / max(1e-9, d @ d)
+                blend |= bool(0.15 <= t <= 0.85 and np.linalg.norm(palette[kept[a]] + t * d - palette[i]) < tolerance and core[i] < 0.05 * population[i])
         if not blend:
             kept.append(i)
     return palette[sorted(kept)]
