@@ -241,6 +241,72 @@ def _centre(rgb: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray | Non
     return np.linalg.solve(a, b) if trace > 0 and low >= 0.05 * high else None
 
 
+def merge_regions(rgb: np.ndarray, regions: np.ndarray, gain: float = 1.5, jump: float = 3.0) -> np.ndarray:
+    """Regions after merging: tiny ones into the neighbour with the longest border of a similar colour, then pairs whose
+    colours hardly step at their border and whose joint flat error stays near their own, the cheapest first."""
+    n = int(regions.max()) + 1
+    flat, colours = regions.ravel(), rgb.reshape(-1, 3).astype(float)
+    count = np.bincount(flat, minlength=n).astype(float)
+    sums = np.stack([np.bincount(flat, colours[:, c], n) for c in range(3)], 1)
+    squares = np.bincount(flat, (colours**2).sum(1), n)
+    border: dict[tuple[int, int], list[float]] = {}
+    for a, b in _pairs(regions.shape, FOUR):
+        p, q = flat[a], flat[b]
+        differ = p != q
+        step = np.abs(colours[a[differ]] - colours[b[differ]]).max(1)
+        for u, v, d in zip(np.minimum(p, q)[differ].tolist(), np.maximum(p, q)[differ].tolist(), step.tolist()):
+            x = border.setdefault((u, v), [0.0, 0.0])
+            x[0] += 1
+            x[1] += d
+    parent = list(range(n))
+    near: list[dict[int, list[float]]] = [{} for _ in range(n)]
+    for (u, v), x in border.items():
+        near[u][v], near[v][u] = x, x
+
+    def rmse(*ids: int) -> float:
+        c, s, q = (sum(t[i] for i in ids) for t in (count, sums, squares))
+        return math.sqrt(max(0.0, q - (s @ s) / c) / (3 * c))
+
+    def join(a: int, b: int) -> int:
+        """Into the larger, or the smaller number of equal ones."""
+        keep, gone = (a, b) if (count[a], -a) > (count[b], -b) else (b, a)
+        parent[gone] = keep
+        for t in (count, sums, squares):
+            t[keep] += t[gone]
+        for other, x in near[gone].items():
+            near[other].pop(gone, None)
+            if other != keep:
+                y = near[keep].setdefault(other, [0.0, 0.0])
+                near[other][keep] = near[keep][other] = [x[0] + y[0], x[1] + y[1]]
+        near[gone] = {}
+        return keep
+
+    least = max(16.0, 2e-5 * flat.size)
+    for i in sorted(range(n), key=lambda i: (count[i], i)):
+        if parent[i] == i and count[i] < least and near[i]:
+            join(i, max(near[i], key=lambda j: (near[i][j][0] / (1 + np.abs(sums[i] / count[i] - sums[j] / count[j]).max()), -j)))
+    heap = [(rmse(a, b), a, b, count[a], count[b]) for a in range(n) if parent[a] == a for b in near[a] if a < b]
+    heapq.heapify(heap)
+    while heap:
+        cost, a, b, ca, cb = heapq.heappop(heap)
+        if parent[a] != a or parent[b] != b or (count[a], count[b]) != (ca, cb):
+            continue  # one of them has grown since
+        length, step = near[a][b]
+        if step / length > jump or cost > max(rmse(a), rmse(b)) + gain:
+            continue
+        c = join(a, b)
+        for o in near[c]:
+            u, v = min(c, o), max(c, o)
+            heapq.heappush(heap, (rmse(u, v), u, v, count[u], count[v]))
+    root = np.arange(n)
+    for i in range(n):
+        j = i
+        while parent[j] != j:
+            j = parent[j]
+        root[i] = j
+    return np.unique(root[flat], return_inverse=True)[1].reshape(regions.shape)
+
+
 def merge_rects(rgba: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(x, y, w, h, packed colour) that cover the visible pixels once: to the right, then down, in raster order."""
     packed = (rgba.astype(np.int64) * [1 << 24, 1 << 16, 1 << 8, 1]).sum(-1)

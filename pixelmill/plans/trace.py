@@ -66,6 +66,7 @@ def segment_regions(pixels: DataFrame, detail: float = 1.0) -> DataFrame:
 
     def kernel(_, a):
         regions, core, share = k.segment(a, detail)
+        regions = k.merge_regions(a, regions)
         out = _pixels(region=regions.astype(np.int32), core=core)
         out["edge_share"] = share
         return out
@@ -93,6 +94,7 @@ def fit_regions(pixels: DataFrame, detail: float = 1.0) -> DataFrame:
 
     def kernel(_, a):
         regions, core, _ = k.segment(a, detail)
+        regions = k.merge_regions(a, regions)
         rows = []
         for region, m in _models(a, regions, core, k.noise(a)).items():
             colour = dict(zip("rgb", m["color"]))
@@ -277,6 +279,7 @@ def _gradient_image(a: np.ndarray, detail: float, alphamax: float, turdsize: flo
     regions, core, share = k.segment(a, detail)
     if share > 0.6 or regions.max() >= 2000:
         return _flat_image(a, 16, 0.35, alphamax, turdsize, opttolerance)
+    regions = k.merge_regions(a, regions)
     models = _models(a, regions, core, k.noise(a))
     u = 2 if max(h, w) * 2 <= 4096 else 1
     y, x = np.mgrid[:h, :w] + 0.5
@@ -413,6 +416,7 @@ def _probe(a: np.ndarray) -> dict:
     regions, core, share = k.segment(small)
     if share > 0.6:
         return {"explained": 0.0, "gradient_share": 0.0, "edge_share": share, "regions": int(regions.max()) + 1}
+    regions = k.merge_regions(small, regions)
     models = _models(small, regions, core, k.noise(small))
     total = regions.size
     part = lambda test: sum(m["pixels"] for m in models.values() if test(m)) / total
@@ -429,15 +433,53 @@ def analyse(pixels: DataFrame) -> DataFrame:
 CANDIDATE = "seq int, upscale int, blur_k double, alphamax double, turdsize int, opttolerance double"
 
 
+TUNED = "seq int, paths int, nodes int, corner_share double, ssim double, iou double, fidelity double, score double"
+
+
+def _tried(a: np.ndarray, candidates: list[dict]) -> pd.DataFrame:
+    out = []
+    for c in candidates:
+        row = _one_line_image(a, c["blur_k"], c["alphamax"], c["turdsize"], c["opttolerance"], min(c["upscale"], _upscale(*a.shape[:2])))
+        out.append(row.drop(columns=["mode", "svg", "layers"]).assign(seq=c["seq"]))
+    return pd.concat(out)[["seq", "paths", "nodes", "corner_share", "ssim", "iou", "fidelity", "score"]]
+
+
 def tune(raster: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every candidate traced on every image of levels; candidates (of CANDIDATE) are a small fixed list."""
     tried = [r.asDict() for r in candidates.orderBy("seq").collect()]  # tens of rows
+    return by_image(raster, ["v"], lambda _, a: _tried(a, tried), TUNED)
 
-    def kernel(_, a):
-        out = []
-        for c in tried:
-            row = _one_line_image(a, c["blur_k"], c["alphamax"], c["turdsize"], c["opttolerance"], min(c["upscale"], _upscale(*a.shape[:2])))
-            out.append(row.drop(columns=["mode", "svg", "layers"]).assign(seq=c["seq"]))
-        return pd.concat(out)[["seq", "paths", "nodes", "corner_share", "ssim", "iou", "fidelity", "score"]]
 
-    return by_image(raster, ["v"], kernel, "seq int, paths int, nodes int, corner_share double, ssim double, iou double, fidelity double, score double")
+def tune_each(raster: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The same with candidates of each image's own (image_id and CANDIDATE)."""
+    kind = raster.schema["image_id"].dataType.simpleString()
+
+    def run(key, pixels, mine):
+        if not len(mine) or not len(pixels):
+            return pd.DataFrame(columns=["image_id", *(x.split()[0] for x in TUNED.split(", "))])
+        found = _tried(dense(pixels, ["v"]), mine.sort_values("seq").to_dict("records"))
+        found.insert(0, "image_id", key[0])
+        return found
+
+    return raster.select("image_id", "y", "x", "v").groupBy("image_id").cogroup(candidates.groupBy("image_id")).applyInPandas(run, f"image_id {kind}, {TUNED}")
+
+
+def search(raster: DataFrame, first: DataFrame, seeds: int = 3, guard: float = 0.005) -> DataFrame:
+    """The parameters that none outranks: the first stage's list, then a finer grid around its best results.
+
+    The first candidate of the list is the baseline, whose fidelity, less the guard, is the floor for all.
+    """
+    from pyspark.sql import functions as F
+
+    from . import rules
+
+    corners = F.round(F.col("corner_share") * F.col("nodes"))
+    a = tune(raster, first).withColumn("corners", corners).join(F.broadcast(first), "seq")  # a literal list
+    floor = a.where("seq = 0").select("image_id", (F.col("fidelity") - guard).alias("floor"))
+    a = a.join(floor, "image_id").withColumn("eligible", F.col("fidelity") >= F.col("floor")).withColumn("key", rules.evaluation_key())
+    best = rules.pick_seeds(a, seeds).select("image_id", F.col("seq").alias("first"), F.col("place").alias("seq"), "upscale", "blur_k", "alphamax", "turdsize")
+    fine = rules.stage_b(best.withColumn("seq", F.struct("image_id", "seq")))
+    fine = fine.select(F.col("seed.image_id").alias("image_id"), (F.lit(1000) * F.col("seed.seq") + F.col("seq")).cast("int").alias("seq"), "upscale", "blur_k", "alphamax", "turdsize", "opttolerance")
+    b = tune_each(raster, fine).withColumn("corners", corners).join(fine, ["image_id", "seq"]).join(floor, "image_id")
+    columns = ["image_id", "seq", "upscale", "blur_k", "alphamax", "turdsize", "opttolerance", "fidelity", "score", "corners", "nodes", "floor"]
+    return rules.best_result(a.select(columns).unionByName(b.select(columns)), F.col("floor")).drop("floor")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelmill.functions import formats, numeric, params
-from pixelmill.operators import colour, histogram, kernels, masks, metrics, pointwise, resample, stencil, vector
+from pixelmill.operators import checker, colour, histogram, kernels, masks, metrics, pointwise, resample, stencil, vector
 from pixelmill.plans import rules, trace
 from pixelmill.sources import images, svg, synth
 from pixelmill.streaming import requests
@@ -313,3 +313,36 @@ def test_request_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.id for r in spark.sql("SELECT * FROM latest").collect()] == [2]
+
+
+def test_painted_checkerboards(spark):
+    board = synth.chessboard(10, 12)
+    logo = board.copy()
+    logo[40:80, 40:80] = (200, 20, 90, 255)
+    px = pixels(spark, ("board", board), ("logo", logo), ("circle", synth.circle()), ("three", synth.three_shapes()))
+    found = {r.image_id: r for r in checker.detect(px).collect()}
+    assert set(found) == {"board", "logo"}
+    assert all(abs(r.cell - 12) <= 0.25 and r.match > 0.95 and (r.low, r.high) == (204, 255) for r in found.values())
+    left = checker.remove(px.where("image_id = 'logo'"), checker.detect(px)).where("a > 0")
+    assert 1500 <= left.count() <= 1700
+
+
+def test_merging_regions():
+    a = np.full((40, 40, 3), 100.0)
+    a[:, 20:] = 101
+    a[5, 5] = 250
+    a[20:, :] += np.array([60, 0, 0])
+    merged = kernels.merge_regions(a, np.unique(a.reshape(-1, 3), axis=0, return_inverse=True)[1].reshape(40, 40))
+    assert len(np.unique(merged)) == 2 and merged[0, 0] == merged[0, 39] != merged[39, 0]
+
+
+def test_search_ends_no_worse_than_the_first_stage(spark):
+    g = pointwise.to_gray(pixels(spark, ("glyph", synth.glyph(32)), ("square", synth.square(32, 12))))
+    first = rules.stage_a(spark).where("seq < 4")
+    start = {r.image_id: r.score for r in trace.tune(g, first.where("seq = 0")).collect()}
+    found = {r.image_id: r for r in trace.search(g, first, 1).collect()}
+    assert set(found) == set(start) and all(found[i].score >= start[i] - 1e-9 for i in start)
+
+
+def test_segment_counts():
+    assert svg.count_segments("M0 0 1 1h2v3C1 2 3 4 5 6 7 8 9 1 2 3Zq1 1 2 2") == {"M": 1, "L": 3, "C": 2, "Q": 1, "Z": 1}
