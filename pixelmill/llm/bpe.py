@@ -26,7 +26,7 @@ from .common import map_rows, whole_text
 #: A space before a visible character always starts a match of the pattern, so texts may be cut there.
 CUT = re.compile(r" (?=\S)")
 #: Entries of a task's caches.
-CACHE = 300_000
+CACHE = 420_000
 #: Pieces up to this length share their prefixes through the dictionary.
 SHARED = 48
 NEVER = 1 << 60
