@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formats, numeric, params
-from ..operators import masks, pointwise, stencil, vector
-from ..sources import tables
+from ..operators import checker, masks, pointwise, stencil, vector
+from ..sources import images, synth, tables
 from ..sources.tables import COLOUR_SQL, COLOUR_WIDTH, DENSITY_SQL, GRAY_SQL
 from ..streaming import requests
 from . import rules, trace
@@ -285,3 +285,42 @@ def analysed_images(spark, sf_dir):
 def tuned_lines(spark, sf_dir):
     found = trace.tune(_gray(spark, sf_dir), rules.stage_a(spark).where("seq % 6 = 0")).withColumn("corners", F.round(F.col("corner_share") * F.col("nodes")))
     return rules.best_result(found, F.lit(0.0))
+
+
+# Documents and sinks
+
+RECTS_SQL = "q AS (SELECT p_partkey // 20 AS image_id, p_partkey AS seq, p_size % 4 AS colour, p_size AS x, CAST(p_partkey % 20 AS INTEGER) AS y, 1 + p_partkey % 3 AS w, 1 + p_size % 2 AS h FROM part)"
+
+
+def made_up_rects(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    return _part(spark, sf_dir).select(F.floor(k / 20).alias("image_id"), k.alias("seq"), (s % 4).alias("colour"), s.alias("x"), (k % 20).cast("int").alias("y"), (1 + k % 3).alias("w"), (1 + s % 2).alias("h"))
+
+
+MOVES_SQL = "v AS (SELECT *, x - coalesce(lag(x) OVER z, 0) AS dx, y - coalesce(lag(y) OVER z, 0) AS dy FROM q WINDOW z AS (PARTITION BY image_id, colour ORDER BY seq)), d AS (SELECT image_id, colour, count(*) AS rects, string_agg('m' || dx || ' ' || dy || 'h' || w || 'v' || h || 'h-' || w || 'z', '' ORDER BY seq) AS d FROM v GROUP BY image_id, colour)"
+
+
+@query(f"WITH {RECTS_SQL}, {MOVES_SQL} SELECT image_id, colour, rects, d FROM d")
+def rect_path_data(spark, sf_dir):
+    return vector.rect_paths(made_up_rects(spark, sf_dir))
+
+
+@query(f"""WITH {RECTS_SQL}, {MOVES_SQL} SELECT image_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 60 20" width="60" height="20">' || chr(10) ||
+  string_agg('  <path fill="#00000' || colour || '"' || CASE WHEN rects > 1 THEN ' fill-rule="evenodd"' ELSE '' END || ' d="' || d || '"/>', chr(10) ORDER BY colour) || chr(10) || '</svg>' || chr(10) AS svg FROM d GROUP BY image_id""")
+def svg_documents(spark, sf_dir):
+    paths = vector.rect_paths(made_up_rects(spark, sf_dir))
+    return vector.svg_document(paths.select("image_id", F.col("colour").alias("rank"), "d", F.concat(F.lit("#00000"), "colour").alias("fill"), F.lit(60).alias("width"), F.lit(20).alias("height")))
+
+
+@query()
+def painted_checkerboards(spark, sf_dir):
+    board = synth.chessboard(10, 12)
+    marked = board.copy()
+    marked[40:80, 40:80] = (200, 20, 90, 255)
+    px = images.from_array(spark, board, "board").unionByName(images.from_array(spark, marked, "marked")).unionByName(images.from_array(spark, synth.circle(), "circle"))
+    return checker.detect(px)
+
+
+@query()
+def searched_parameters(spark, sf_dir):
+    return trace.search(_gray(spark, sf_dir).where("image_id < 4"), rules.stage_a(spark).where("seq % 12 = 0"), 1)
