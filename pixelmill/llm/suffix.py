@@ -405,7 +405,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """n_bytes, n_removed, n_spans, kept_sha256 of each row. carry: columns that stay (the id); kept: bytes or text, to have the rest too."""
     spark = df.sparkSession
     scratch = Scratch(spark, "suffix")
-    p = Parser(length, gram, _prime(4 * partitions(spark)), _prime(partitions(spark)))
+    p = Parser(length, gram, _prime(4 * partitions(spark)), _prime(2 * partitions(spark)))
     carry = [id_col] if carry is None else carry
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     text = F.coalesce(F.col(text_col), F.lit(""))
