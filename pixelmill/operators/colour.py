@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import colour_key, half_up, weighted_distance2
+from ..functions.numeric import blend_u8, colour_key, half_up
+from .kernels import nearest as nearest_of
 from .pointwise import Colour, nearest, sizes, stride_sample
 
 
@@ -55,16 +58,46 @@ def off_palette_share(pixels: DataFrame, palette: list[Colour], tolerance: float
 def kmeans_refine(pixels: DataFrame, palette: list[Colour], iterations: int = 10, sample: int = 20000) -> DataFrame:
     """Palette centres of each image after rounds of assignment and plain means; empty centres stay. One row a centre.
 
-    What goes round is the distinct colours of the sample with their counts; an image's centres ride along as an array.
+    The sample's distinct colours and their counts are combined first; an image's come to one task, `sample` at most,
+    where all rounds run, so that rounds cost no shuffle.
     """
     counted = stride_sample(pixels, sample).groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
-    start = F.array(*(F.struct(*(F.lit(float(v)).alias(c) for v, c in zip(p, "rgb"))) for p in palette))
-    centres = counted.select("image_id").distinct().withColumn("centres", start)
-    for _ in range(iterations):
-        near = F.array_min(F.transform("centres", lambda c, j: F.struct(weighted_distance2(tuple(map(F.col, "rgb")), tuple(c[k] for k in "rgb")).alias("d"), j.alias("j"))))
-        named = counted.join(centres, "image_id").withColumn("label", near["j"])
-        means = named.groupBy("image_id", "label").agg(F.first("centres").alias("centres"), *((F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in "rgb"))
-        found = means.groupBy("image_id").agg(F.first("centres").alias("centres"), F.map_from_entries(F.collect_list(F.struct("label", F.struct("r", "g", "b")))).alias("m"))
-        centres = found.select("image_id", F.transform("centres", lambda c, j: F.coalesce(F.try_element_at("m", j), c)).alias("centres"))
-    out = centres.select("image_id", F.posexplode("centres").alias("label", "c"))
-    return out.select("image_id", "label", *(F.col(f"c.{k}").alias(k) for k in "rgb"))
+    kind = pixels.schema["image_id"].dataType.simpleString()
+
+    def rounds(key, pdf):
+        colours, n = pdf[["r", "g", "b"]].to_numpy(float), pdf["n"].to_numpy(float)
+        centres = np.array(palette, float)
+        for _ in range(iterations):
+            label = nearest_of(colours, centres)
+            total = np.bincount(label, n, len(centres))
+            sums = np.stack([np.bincount(label, n * colours[:, c], len(centres)) for c in range(3)], 1)
+            centres = np.where(total[:, None] > 0, sums / np.maximum(total, 1)[:, None], centres)
+        return pd.DataFrame(centres, columns=list("rgb")).assign(image_id=key[0], label=np.arange(len(centres)))[["image_id", "label", "r", "g", "b"]]
+
+    return counted.groupBy("image_id").applyInPandas(rounds, f"image_id {kind}, label int, r double, g double, b double")
+
+
+def resolve_background(pixels: DataFrame, setting: str | Colour = "auto") -> DataFrame:
+    """Background of each image: none (nulls) for transparent, white or a given colour; by itself none if more than a
+    twentieth is transparent, else the border's colour, else white."""
+    ids = pixels.select("image_id").distinct()
+    if setting != "auto":
+        fixed = {"transparent": (None,) * 3, "white": (255,) * 3}.get(setting, setting) if isinstance(setting, str) else setting
+        return ids.select("image_id", *(F.lit(v).cast("int").alias(c) for v, c in zip(fixed, "rgb")))
+    open_ = pixels.groupBy("image_id").agg(F.avg((F.col("a") < 8).cast("double")).alias("open"))
+    rows = open_.join(border_mode_colour(pixels), "image_id", "left")
+    return rows.select("image_id", *(F.when(F.col("open") <= 0.05, F.coalesce(c, F.lit(255))).alias(c) for c in "rgb"))
+
+
+def resolve_alpha_mode(pixels: DataFrame, setting: str = "auto") -> DataFrame:
+    """mask or composite; by itself mask if more than a twentieth is transparent."""
+    open_ = pixels.groupBy("image_id").agg(F.avg((F.col("a") < 8).cast("double")).alias("open"))
+    return open_.select("image_id", (F.when(F.col("open") > 0.05, "mask").otherwise("composite") if setting == "auto" else F.lit(setting)).alias("alpha_mode"))
+
+
+def on_background(pixels: DataFrame, backgrounds: DataFrame) -> DataFrame:
+    """Pixels on their image's background; where there is none, on white."""
+    back = backgrounds.select("image_id", *(F.coalesce(c, F.lit(255)).alias(f"back_{c}") for c in "rgb"))
+    rows = pixels.join(back, "image_id")
+    one = lambda c: F.when(F.col("a") == 255, F.col(c)).when(F.col("a") == 0, F.col(f"back_{c}")).otherwise(blend_u8(c, "a", F.col(f"back_{c}"))).cast("int").alias(c)
+    return rows.select("image_id", "y", "x", *map(one, "rgb"), F.lit(255).alias("a"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formats, numeric, params
-from ..operators import checker, masks, pointwise, stencil, vector
+from ..operators import checker, colour, masks, pointwise, stencil, vector
 from ..sources import images, synth, tables
 from ..sources.tables import COLOUR_SQL, COLOUR_WIDTH, DENSITY_SQL, GRAY_SQL
 from ..streaming import requests
@@ -324,3 +324,33 @@ def painted_checkerboards(spark, sf_dir):
 @query()
 def searched_parameters(spark, sf_dir):
     return trace.search(_gray(spark, sf_dir).where("image_id < 4"), rules.stage_a(spark).where("seq % 12 = 0"), 1)
+
+
+# Backgrounds
+
+BACK_SQL = """s AS (SELECT image_id, max(x) AS w, max(y) AS hh, avg(CAST(a < 8 AS INTEGER)) AS open FROM colour GROUP BY image_id),
+h AS (SELECT image_id, (r >> 3) * 1024 + (g >> 3) * 32 + (b >> 3) AS key, count(*) AS n, CAST(sum(r) AS DOUBLE) AS sr, CAST(sum(g) AS DOUBLE) AS sg, CAST(sum(b) AS DOUBLE) AS sb FROM colour JOIN s USING (image_id) WHERE a >= 128 AND (x = 0 OR y = 0 OR x = w OR y = hh) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, key) AS k, sum(n) OVER (PARTITION BY image_id) AS tot FROM h),
+back AS (SELECT s.image_id, open, CASE WHEN open <= 0.05e0 THEN coalesce(CAST(floor(sr / n + 0.5e0) AS INTEGER), 255) END AS r, CASE WHEN open <= 0.05e0 THEN coalesce(CAST(floor(sg / n + 0.5e0) AS INTEGER), 255) END AS g, CASE WHEN open <= 0.05e0 THEN coalesce(CAST(floor(sb / n + 0.5e0) AS INTEGER), 255) END AS b
+  FROM s LEFT JOIN top t ON t.image_id = s.image_id AND k = 1 AND n / tot >= 0.8e0)"""
+
+
+def half_open(spark, sf_dir):
+    """Images of even number made opaque."""
+    return tables.colour(spark, sf_dir).withColumn("a", F.when(F.col("image_id") % 2 == 0, 255).otherwise(F.col("a")))
+
+
+HALF_SQL = COLOUR_SQL.replace("least(255, CAST(round(l_tax * 100) AS INTEGER) * 36) AS a", "CASE WHEN image_id % 2 = 0 THEN 255 ELSE least(255, CAST(round(l_tax * 100) AS INTEGER) * 36) END AS a")
+
+
+@query(f"WITH {HALF_SQL}, {BACK_SQL} SELECT image_id, r, g, b, CASE WHEN open > 0.05e0 THEN 'mask' ELSE 'composite' END AS alpha_mode FROM back")
+def resolved_backgrounds(spark, sf_dir):
+    px = half_open(spark, sf_dir)
+    return colour.resolve_background(px).join(colour.resolve_alpha_mode(px), "image_id")
+
+
+@query(f"""WITH {HALF_SQL}, {BACK_SQL} SELECT image_id, {', '.join(f"CAST(sum(CASE WHEN a = 255 THEN p.{c} WHEN a = 0 THEN coalesce(k.{c}, 255) ELSE (p.{c} * a + coalesce(k.{c}, 255) * (255 - a) + 127) // 255 END) AS BIGINT) AS {c}" for c in 'rgb')} FROM colour p JOIN back k USING (image_id) GROUP BY image_id""")
+def on_background(spark, sf_dir):
+    px = half_open(spark, sf_dir)
+    out = colour.on_background(px, colour.resolve_background(px))
+    return out.groupBy("image_id").agg(*(F.sum(c).cast("long").alias(c) for c in "rgb"))
