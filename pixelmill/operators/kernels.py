@@ -307,6 +307,93 @@ def merge_regions(rgb: np.ndarray, regions: np.ndarray, gain: float = 1.5, jump:
     return np.unique(root[flat], return_inverse=True)[1].reshape(regions.shape)
 
 
+def region_order(regions: np.ndarray) -> list[int]:
+    """Regions from the largest, the smaller number of equal ones; one that a single other surrounds follows that."""
+    n = int(regions.max()) + 1
+    count = np.bincount(regions.ravel(), minlength=n)
+    edge = set(np.concatenate([regions[0], regions[-1], regions[:, 0], regions[:, -1]]).tolist())
+    near: list[set[int]] = [set() for _ in range(n)]
+    for a, b in _pairs(regions.shape, FOUR):
+        p, q = regions.ravel()[a], regions.ravel()[b]
+        for u, v in np.unique(np.stack([p, q], 1)[p != q], axis=0).tolist():
+            near[u].add(v)
+            near[v].add(u)
+    base = [i for i in sorted(range(n), key=lambda i: (-count[i], i)) if count[i]]
+    inside: dict[int, list[int]] = {}
+    roots = []
+    for i in base:
+        if len(near[i]) == 1 and i not in edge:
+            inside.setdefault(next(iter(near[i])), []).append(i)
+        else:
+            roots.append(i)
+    out, seen = [], set()
+
+    def visit(i: int) -> None:
+        stack = [i]
+        while stack:
+            j = stack.pop()
+            if j not in seen:
+                seen.add(j)
+                out.append(j)
+                stack += reversed(inside.get(j, []))
+
+    for i in [*roots, *base]:  # the second round is for regions that surround one another
+        visit(i)
+    return out
+
+
+def smooth_parts(parts: np.ndarray, within: np.ndarray, passes: int = 4) -> np.ndarray:
+    """Each pixel of a region takes the part that most of its neighbours in the region have, or keeps its own of equal ones."""
+    ids = np.unique(parts[within])
+    for _ in range(passes):
+        votes = np.stack([np.sum([a * b for k, (a, b) in enumerate(zip(_around(parts == i), _around(within))) if k != 4], axis=0) + 0.5 * (parts == i) for i in ids])
+        parts = np.where(within, ids[votes.argmax(0)], parts)
+    return parts
+
+
+def split_region(rgb: np.ndarray, ys: np.ndarray, xs: np.ndarray, sigma: float = 0.0, depth: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pixels of a region that no model explains, in the parts that two means of the residuals give, as long as the error
+    of the parts is at most 0.8 of the whole's and 1.5 lower."""
+    whole = fit_region(rgb, ys, xs, sigma)
+    if depth == 0 or not whole["complex"] or len(ys) < 128:
+        return [(ys, xs)]
+    residual = rgb[ys, xs].astype(float) - whole["color"]
+    axis = np.linalg.eigh(np.cov(residual.T))[1][:, -1]
+    centres = np.stack([residual[residual @ axis < 0].mean(0), residual[residual @ axis >= 0].mean(0)]) if (residual @ axis < 0).any() and (residual @ axis >= 0).any() else None
+    if centres is None:
+        return [(ys, xs)]
+    for _ in range(12):
+        label = ((residual[:, None] - centres) ** 2).sum(-1).argmin(1)
+        if label.min() == label.max():
+            return [(ys, xs)]
+        centres = np.stack([residual[label == k].mean(0) for k in (0, 1)])
+    parts = np.zeros(rgb.shape[:2], int)
+    within = np.zeros(rgb.shape[:2], bool)
+    parts[ys, xs], within[ys, xs] = label, True
+    label = smooth_parts(parts, within)[ys, xs]
+    if min((label == 0).sum(), (label == 1).sum()) < 64:
+        return [(ys, xs)]
+    halves = [(ys[label == k], xs[label == k]) for k in (0, 1)]
+    errors = [fit_region(rgb, *h, sigma)["rmse"] for h in halves]
+    joint = math.sqrt(sum(e * e * len(h[0]) for e, h in zip(errors, halves)) / len(ys))
+    if joint > 0.8 * whole["rmse"] or joint > whole["rmse"] - 1.5:
+        return [(ys, xs)]
+    return [p for h in halves for p in split_region(rgb, *h, sigma, depth - 1)]
+
+
+def split_regions(rgb: np.ndarray, regions: np.ndarray, sigma: float = 0.0, share: float = 0.25) -> np.ndarray:
+    """Regions with the complex ones split, at most a share of their number (3 or more) of new ones; the largest first."""
+    out, n = regions.copy(), int(regions.max()) + 1
+    left = max(3, math.ceil(share * n))
+    for i in region_order(regions):
+        parts = split_region(rgb, *np.nonzero(regions == i), sigma)
+        for ys, xs in parts[1: 1 + left]:
+            out[ys, xs] = n
+            n += 1
+        left -= min(left, len(parts) - 1)
+    return out
+
+
 def merge_rects(rgba: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(x, y, w, h, packed colour) that cover the visible pixels once: to the right, then down, in raster order."""
     packed = (rgba.astype(np.int64) * [1 << 24, 1 << 16, 1 << 8, 1]).sum(-1)

@@ -279,12 +279,12 @@ def _gradient_image(a: np.ndarray, detail: float, alphamax: float, turdsize: flo
     regions, core, share = k.segment(a, detail)
     if share > 0.6 or regions.max() >= 2000:
         return _flat_image(a, 16, 0.35, alphamax, turdsize, opttolerance)
-    regions = k.merge_regions(a, regions)
+    regions = k.split_regions(a, k.merge_regions(a, regions), k.noise(a))
     models = _models(a, regions, core, k.noise(a))
     u = 2 if max(h, w) * 2 <= 4096 else 1
     y, x = np.mgrid[:h, :w] + 0.5
     drawn, layers, out, defs = np.zeros((h, w, 3)), [], [], []
-    for j, region in enumerate(sorted(models, key=lambda r: (-models[r]["pixels"], r))):
+    for j, region in enumerate(k.region_order(regions)):
         m = models[region]
         mask = regions == region
         grown = mask.copy()  # under its later neighbours, so that no gap shows

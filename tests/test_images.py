@@ -346,3 +346,21 @@ def test_search_ends_no_worse_than_the_first_stage(spark):
 
 def test_segment_counts():
     assert svg.count_segments("M0 0 1 1h2v3C1 2 3 4 5 6 7 8 9 1 2 3Zq1 1 2 2") == {"M": 1, "L": 3, "C": 2, "Q": 1, "Z": 1}
+
+
+def test_order_of_regions():
+    r = np.zeros((20, 20), int)
+    r[:, 12:] = 1
+    r[4:9, 2:9] = 2
+    r[5:8, 4:7] = 3
+    order = kernels.region_order(r)
+    assert sorted(order) == [0, 1, 2, 3] and order.index(0) < order.index(2) < order.index(3) and order[0] == 0
+
+
+def test_complex_regions_are_split():
+    a = np.full((40, 40, 3), 60.0)
+    y, x = np.mgrid[:40, :40]
+    a[(x - 20) ** 2 + (y - 20) ** 2 < 120] = (200, 40, 90)
+    parts = kernels.split_regions(a, np.zeros((40, 40), int))
+    assert len(np.unique(parts)) == 2 and parts[20, 20] != parts[0, 0]
+    assert len(np.unique(kernels.split_regions(np.full((20, 20, 3), 9.0), np.zeros((20, 20), int)))) == 1
