@@ -2,7 +2,7 @@
 
 Each stage reads what its predecessor kept, as written to the folder that driver and executors share. The first four
 return the columns of documents: the first drops rejected documents and failing lines, the second all but one document
-of each class of near copies, the third repeated passages, the fourth puts marks in place of live-looking secrets. The
+of each class of near copies (five-word shingles, similarity 0.8 or more), the third repeated passages, the fourth puts marks in place of live-looking secrets. The
 last returns the pieces with their places.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelmill.llm import packing, quality, secrets, simhash, suffix
+from pixelmill.llm import nearcopies, packing, quality, secrets, suffix
 from pixelmill.llm.common import Scratch, table, with_length
 
 
@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_representatives(docs)
+    return nearcopies.keep_representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +37,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_copies),
+    ("MinHash near-dedup", near_copies),
     ("suffix-array dedup", repeated_passages),
     ("secret scans", secret_scans),
     ("best-fit packing", best_fit_packing),
 ]
 
-#: SQL has neither the fingerprints nor the tokenizer; tests hold the pipeline against a brute-force version.
+#: SQL has neither the signatures nor the tokenizer; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
