@@ -382,11 +382,20 @@ wide AS (SELECT p.image_id, p.y, p.x, any_value(p.sobel) AS sobel, min(q.sobel)
 SELECT image_id, count(*) FILTER (WHERE seed) AS seeds, count(*) FILTER (WHERE gone) AS gone FROM (
   SELECT image_id, weak AND sobel - low > 40 AND near_s <= 160 AND near_l <= 90 AS seed, weak AND sobel - low <= 40 AND active <= 60 AS gone FROM (SELECT *, sobel > 40 AND sobel <= 160 AS weak FROM wide)) GROUP BY image_id""")
 def gated_sobel(spark, sf_dir):
-    maps = stencil.edge_maps(colour(spark, sf_dir).where("image_id % 10 = 0"), COLOUR_WIDTH)
+    return _gated(colour(spark, sf_dir).where("image_id % 10 = 0"))
+
+
+def _gated(px: DataFrame) -> DataFrame:
+    maps = stencil.edge_maps(px, COLOUR_WIDTH)
     g = stencil.gate_sobel(maps, LIMITS).withColumnRenamed("sobel", "gated").join(maps.select("image_id", "y", "x", "sobel"), ["image_id", "y", "x"])
     return g.groupBy("image_id").agg(F.count_if(F.col("gated") == float("inf")).alias("seeds"), F.count_if((F.col("gated") == 0) & (F.col("sobel") != 0)).alias("gone"))
 
 
+@query(SQL["gated_sobel"].replace("WHERE p.image_id % 10 = 0 ", ""))
+def gated_sobel_all(spark, sf_dir):
+    return _gated(colour(spark, sf_dir))
+
+
 @query(f"""WITH {GRAY_SQL}, {around_sql('gray', ['v'])}, f AS (SELECT image_id, y, x, {magnitude_sql('v')} AS mag, CAST(v - least({', '.join(f'v_{i}' for i in range(9))}) > 12 AND greatest({', '.join(f'v_{i}' for i in range(9))}) - v > 12 AS INTEGER) AS blended FROM around),
 {around_sql('f', ['blended'], 'none', 'soft')} SELECT image_id, round(avg(CAST(coalesce({', '.join(f'nullif(blended_{i}, 0)' for i in range(9))}, 0) = 0 AS INTEGER)), 6) AS hard, count(*) AS edges FROM soft WHERE mag > 64 GROUP BY image_id""")
 def hard_edge_share(spark, sf_dir):
