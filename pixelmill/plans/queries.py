@@ -455,6 +455,11 @@ def gaussian_blur(spark, sf_dir):
     return resample.gaussian_blur(gray(spark, sf_dir).where("image_id < 2"), 1.0).withColumn("v", r("v"))
 
 
+@query(SQL["gaussian_blur"].replace(" WHERE p.image_id < 2", ""))
+def gaussian_blur_all(spark, sf_dir):
+    return resample.gaussian_blur(gray(spark, sf_dir), 1.0).withColumn("v", r("v"))
+
+
 def _taps_sql(side: str, d: str, i: str) -> str:
     return f"""(SELECT image_id, {d}, n, least({side}, greatest(0, b - 1 + n)) AS {i}, n IN (1, 2) AS near,
       CASE n WHEN 0 THEN ((-0.5e0 * t + 1e0) * t - 0.5e0) * t WHEN 1 THEN (1.5e0 * t - 2.5e0) * t * t + 1e0 WHEN 2 THEN ((-1.5e0 * t + 2e0) * t + 0.5e0) * t ELSE (0.5e0 * t - 0.5e0) * t * t END AS wt
@@ -469,6 +474,11 @@ def bicubic_upscale_2x(spark, sf_dir):
     return resample.upscale(gray(spark, sf_dir).where("image_id < 2"), 2).withColumn("v", r("v"))
 
 
+@query(SQL["bicubic_upscale_2x"].replace(" WHERE image_id < 2", ""))
+def bicubic_upscale_2x_all(spark, sf_dir):
+    return resample.upscale(gray(spark, sf_dir), 2).withColumn("v", r("v"))
+
+
 @query(f"""WITH {GRAY_SQL} SELECT DISTINCT image_id, CASE WHEN image_id % 2 = 0 THEN 3 ELSE 1 END AS grid FROM gray WHERE image_id < 4""")
 def detect_grid(spark, sf_dir):
     g = gray(spark, sf_dir).where("image_id < 4").select("image_id", "y", "x", *(F.col("v").alias(c) for c in "rgb"), F.lit(255).alias("a"))

@@ -18,3 +18,10 @@ def ids(df):
 def test_gated_sobel_all_takes_every_image(spark):
     every = ids(tables.colour(spark, SF_DIR))
     assert ids(QUERIES["gated_sobel_all"](spark, SF_DIR)) == every and len(every) > 1
+
+
+def test_blur_and_upscale_all_take_every_image(spark):
+    every = ids(tables.gray(spark, SF_DIR))
+    assert len(every) > 2
+    for name in ("gaussian_blur_all", "bicubic_upscale_2x_all"):
+        assert ids(QUERIES[name](spark, SF_DIR)) == every, name
