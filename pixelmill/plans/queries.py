@@ -284,6 +284,11 @@ def upscale_nearest(spark, sf_dir):
     return pointwise.upscale_nearest(gray(spark, sf_dir).where("image_id = 0"), 3)
 
 
+@query(SQL["upscale_nearest"].replace(" WHERE image_id = 0", ""))
+def upscale_nearest_all(spark, sf_dir):
+    return pointwise.upscale_nearest(gray(spark, sf_dir), 3)
+
+
 @query(f"WITH {COLOUR_SQL}, {nearest_sql('colour')} SELECT image_id, CASE WHEN a < 128 THEN 0 ELSE label END AS label, count(*) AS n FROM nearest GROUP BY ALL")
 def assign_labels(spark, sf_dir):
     return pointwise.assign_labels(colour(spark, sf_dir), PALETTE).groupBy("image_id", "label").agg(F.count("*").alias("n"))
@@ -481,10 +486,19 @@ def bicubic_upscale_2x_all(spark, sf_dir):
 
 @query(f"""WITH {GRAY_SQL} SELECT DISTINCT image_id, CASE WHEN image_id % 2 = 0 THEN 3 ELSE 1 END AS grid FROM gray WHERE image_id < 4""")
 def detect_grid(spark, sf_dir):
-    g = gray(spark, sf_dir).where("image_id < 4").select("image_id", "y", "x", *(F.col("v").alias(c) for c in "rgb"), F.lit(255).alias("a"))
+    return _grids(gray(spark, sf_dir).where("image_id < 4"))
+
+
+def _grids(g: DataFrame) -> DataFrame:
+    g = g.select("image_id", "y", "x", *(F.col("v").alias(c) for c in "rgb"), F.lit(255).alias("a"))
     return resample.detect_grid(pointwise.upscale_nearest(g.where("image_id % 2 = 0"), 3).unionByName(g.where("image_id % 2 = 1")))
 
 
+@query(SQL["detect_grid"].replace(" WHERE image_id < 4", ""))
+def detect_grid_all(spark, sf_dir):
+    return _grids(gray(spark, sf_dir))
+
+
 @query(f"""WITH {GRAY_SQL}, l AS (SELECT image_id, y, x, CASE WHEN v < 110 THEN 0 WHEN v > 145 THEN 1 END AS level FROM gray), k AS (SELECT * FROM l WHERE level IS NOT NULL),
 t AS (SELECT *, lag(x) OVER w AS px, lag(level) OVER w AS pl FROM k WINDOW w AS (PARTITION BY image_id, y ORDER BY x)), c AS (SELECT image_id, y, (x + px + 1) / 2e0 AS crossing FROM t WHERE level <> pl AND x - px <= 4)
 SELECT image_id, cell, round(sqrt(sum(cos(2 * pi() * crossing / cell)) ** 2 + sum(sin(2 * pi() * crossing / cell)) ** 2) / count(*), 6) AS coherence, count(*) AS n FROM c, (VALUES (6e0), (8e0), (10e0)) p(cell) GROUP BY ALL""")

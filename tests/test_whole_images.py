@@ -25,3 +25,10 @@ def test_blur_and_upscale_all_take_every_image(spark):
     assert len(every) > 2
     for name in ("gaussian_blur_all", "bicubic_upscale_2x_all"):
         assert ids(QUERIES[name](spark, SF_DIR)) == every, name
+
+
+def test_nearest_and_grid_all_take_every_image(spark):
+    every = ids(tables.gray(spark, SF_DIR))
+    assert len(every) > 4
+    for name in ("upscale_nearest_all", "detect_grid_all"):
+        assert ids(QUERIES[name](spark, SF_DIR)) == every, name
