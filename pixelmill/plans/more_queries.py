@@ -283,7 +283,7 @@ def analysed_images(spark, sf_dir):
 
 @query()
 def tuned_lines(spark, sf_dir):
-    found = trace.tune(_gray(spark, sf_dir), rules.stage_a(spark).where("seq % 6 = 0")).withColumn("corners", F.round(F.col("corner_share") * F.col("nodes")))
+    found = trace.tune(_gray(spark, sf_dir), rules.stage_a(spark)).withColumn("corners", F.round(F.col("corner_share") * F.col("nodes")))
     return rules.best_result(found, F.lit(0.0))
 
 
@@ -323,7 +323,7 @@ def painted_checkerboards(spark, sf_dir):
 
 @query()
 def searched_parameters(spark, sf_dir):
-    return trace.search(_gray(spark, sf_dir).where("image_id < 4"), rules.stage_a(spark).where("seq % 12 = 0"), 1)
+    return trace.search(_gray(spark, sf_dir), rules.stage_a(spark))
 
 
 # Backgrounds

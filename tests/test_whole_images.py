@@ -32,3 +32,23 @@ def test_nearest_and_grid_all_take_every_image(spark):
     assert len(every) > 4
     for name in ("upscale_nearest_all", "detect_grid_all"):
         assert ids(QUERIES[name](spark, SF_DIR)) == every, name
+
+
+def test_searches_are_given_every_image_the_whole_grid_and_three_seeds(spark, monkeypatch):
+    given = []
+    tune = trace.tune
+
+    def noted(raster, candidates):
+        given.append((ids(raster), candidates.count()))
+        return tune(raster.limit(0), candidates)
+
+    def searched(raster, first, seeds=3, guard=0.005):
+        given.append((ids(raster), first.count(), seeds))
+        return raster
+
+    monkeypatch.setattr(trace, "tune", noted)
+    monkeypatch.setattr(trace, "search", searched)
+    QUERIES["tuned_lines"](spark, SF_DIR)
+    QUERIES["searched_parameters"](spark, SF_DIR)
+    every, grid = ids(tables.gray(spark, SF_DIR)), rules.stage_a(spark).count()
+    assert given == [(every, grid), (every, grid, 3)] and grid == 36
