@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formats, numeric, params
-from ..operators import checker, colour, masks, pointwise, stencil, vector
+from ..operators import checker, colour, masks, stencil, vector
 from ..sources import images, synth, tables
 from ..sources.tables import COLOUR_SQL, COLOUR_WIDTH, DENSITY_SQL, GRAY_SQL
 from ..streaming import requests
@@ -263,7 +263,7 @@ def trace_lines(spark, sf_dir):
 
 @query()
 def trace_flat(spark, sf_dir):
-    return trace.trace_flat(pointwise.downscale_nearest(tables.colour(spark, sf_dir), 2), 4)
+    return trace.trace_flat(tables.colour(spark, sf_dir), 4)
 
 
 @query()

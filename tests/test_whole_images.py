@@ -52,3 +52,8 @@ def test_searches_are_given_every_image_the_whole_grid_and_three_seeds(spark, mo
     QUERIES["searched_parameters"](spark, SF_DIR)
     every, grid = ids(tables.gray(spark, SF_DIR)), rules.stage_a(spark).count()
     assert given == [(every, grid), (every, grid, 3)] and grid == 36
+
+
+def test_trace_flat_is_given_whole_rasters(spark, monkeypatch):
+    monkeypatch.setattr(trace, "trace_flat", lambda pixels, colours: pixels)
+    assert QUERIES["trace_flat"](spark, SF_DIR).count() == tables.colour(spark, SF_DIR).count()
