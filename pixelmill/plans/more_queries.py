@@ -202,12 +202,21 @@ reach AS (SELECT image_id, y, x, y AS ry, x AS rx FROM ink UNION SELECT i.image_
 root AS (SELECT image_id, y, x, min(ry * 100 + rx) AS root FROM reach GROUP BY ALL)
 SELECT image_id, count(DISTINCT root) AS pieces, count(*) AS ink FROM root GROUP BY image_id""")
 def components_small(spark, sf_dir):
-    d = tables.density(spark, sf_dir)
+    return _ink_pieces(tables.density(spark, sf_dir), "y < 16")
+
+
+def _ink_pieces(d, rows: str = "true"):
     middle = d.agg(F.median("v").alias("middle"))  # one row
-    ink = d.crossJoin(F.broadcast(middle)).where("v >= middle + 1 AND y < 16").select("image_id", "y", "x", F.lit(1).alias("m"))
+    ink = d.crossJoin(F.broadcast(middle)).where("v >= middle + 1").where(rows).select("image_id", "y", "x", F.lit(1).alias("m"))
     return trace.connected_components(ink).groupBy("image_id").agg(F.count_distinct("region").alias("pieces"), F.count("*").alias("ink"))
 
 
+@query()
+def components_all(spark, sf_dir):
+    """Pieces of ink of whole density images; tests hold it against a brute-force labelling."""
+    return _ink_pieces(tables.density(spark, sf_dir))
+
+
 # Streams of requests
 
 

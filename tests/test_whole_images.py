@@ -57,3 +57,27 @@ def test_searches_are_given_every_image_the_whole_grid_and_three_seeds(spark, mo
 def test_trace_flat_is_given_whole_rasters(spark, monkeypatch):
     monkeypatch.setattr(trace, "trace_flat", lambda pixels, colours: pixels)
     assert QUERIES["trace_flat"](spark, SF_DIR).count() == tables.colour(spark, SF_DIR).count()
+
+
+def test_components_all_label_whole_images(spark, tmp_path):
+    rows = [(f"t{k % 2}", k * k % 64, k * 7 % 24) for k in range(4000) if k % 3] + [("t0", y, 3) for y in range(12, 40)] * 90
+    events = spark.createDataFrame(rows, "event_type string, user_id long, h int").selectExpr("event_type", "user_id", "make_timestamp(2024, 1, 1, h, 0, 0) AS ts")
+    events.write.parquet(f"file://{tmp_path}/events.parquet")
+    d = tables.density(spark, f"file://{tmp_path}")
+    middle = d.agg(F.median("v")).first()[0]
+    ink = {(r.image_id, r.y, r.x) for r in d.collect() if r.v >= middle + 1}
+    want, left = {}, set(ink)
+    while left:
+        todo = [left.pop()]
+        name = todo[0][0]
+        pieces, n = want.get(name, (0, 0))
+        while todo:
+            i, y, x = todo.pop()
+            n += 1
+            for p in ((i, y - 1, x), (i, y + 1, x), (i, y, x - 1), (i, y, x + 1)):
+                if p in left:
+                    left.remove(p)
+                    todo.append(p)
+        want[name] = (pieces + 1, n)
+    assert any(y >= 16 for _, y, _ in ink) and max(p for p, _ in want.values()) > 1
+    assert {r.image_id: (r.pieces, r.ink) for r in QUERIES["components_all"](spark, f"file://{tmp_path}").collect()} == want
