@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -188,7 +189,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         copies = [x for x in parts if x[1] == 1]
         first, n = by_number.get(1), max(by_number)
         total = by_number[n][2]
-        if first is None:
+        if first is None:  # a row for each copy, with the page that the origin names
+            for _ in range(max(Counter(x[1] for x in parts).values())):
+                yield parts[0][0], 1, total, _page(parts[0][0]), "response", None, None, None, False, None
             return
         if total is None or len(by_number) != n:
             result = (None, None, False, None)
