@@ -7,8 +7,10 @@ patterns with multiplicities. Pieces then take the places of their length by ran
 so a length that a third of all pieces have is spread over many tasks.
 
 Defined results: a null text counts as empty, and a document without ids is one piece with the end id alone;
-repeated rows and equal ids are packed separately; an empty table gives an empty table; further columns of the
-input don't matter. Strings of special tokens in a text are ordinary text.
+repeated rows and equal ids are packed separately; pieces of equal length are dealt in order of id and piece; a very
+long text is many pieces; rows without an id are packed like any other; an empty table gives an empty table; further
+columns of the input don't matter. A text that holds the string of an added token of the tokenizer's file, such as
+<|endoftext|>, gets that token's id there, as the library does by default.
 """
 
 from __future__ import annotations
@@ -40,14 +42,15 @@ _ENCODERS: dict[str, object] = {}
 def encode_batch_of(path: str):
     """Function from texts to arrays of ids by a tokenizer file.
 
-    A byte-level BPE file whose ids are its merge order is read as a rank table, which encodes the same ids faster;
-    any other file is used as it is.
+    A byte-level BPE file whose ids are its merge order is read as a rank table, which encodes the same ids faster.
+    Texts that hold an added token's string, and all texts under any other file, go through the file's own library.
     """
     if path in _ENCODERS:
         return _ENCODERS[path]
     spec = json.loads(Path(path).read_text(encoding="utf-8"))
     model, split = spec["model"], spec.get("pre_tokenizer") or {}
-    special = {x["id"] for x in spec.get("added_tokens", [])}
+    added = spec.get("added_tokens", [])
+    special = {x["id"] for x in added}
     ranks = None
     if model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not spec.get("normalizer"):
         vocab = {bytes(BYTE_OF[c] for c in k): v for k, v in model["vocab"].items() if v not in special}
@@ -55,15 +58,16 @@ def encode_batch_of(path: str):
         order = [model["vocab"][a + b] for a, b in pairs]
         if order == list(range(256, 256 + len(order))) and len(vocab) == 256 + len(order):
             ranks = vocab
+    slow = Tokenizer.from_file(path)
+    library = lambda t: np.array(slow.encode(t, add_special_tokens=False).ids, np.uint32)
     if ranks:
         import public_tokenizers
 
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        found = lambda texts: [np.array(fast.encode_ordinary(t), np.uint32) for t in texts]
+        strings = [x["content"] for x in added]
+        found = lambda texts: [library(t) if any(x in t for x in strings) else np.array(fast.encode_ordinary(t), np.uint32) for t in texts]
     else:
-        slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
-        found = lambda texts: [np.array(x.ids, np.uint32) for x in slow.encode_batch(texts, add_special_tokens=False)]
+        found = lambda texts: [library(t) for t in texts]
     _ENCODERS[path] = found
     return found
 
@@ -197,7 +201,7 @@ def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col
     spark = df.sparkSession
     scratch = Scratch(spark, "packing")
     cut = scratch.table(pieces(df, path, capacity, end_id, id_col, text_col), "pieces")
-    salts = max(64, partitions(spark))
+    salts = max(64, partitions(spark), cut.count() >> 20)  # about a million pieces of one length in a window
     salted = cut.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)))
     by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
