@@ -1,25 +1,30 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash candidates, verified on the shingles themselves.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash candidates, verified on the shingles.
 
-Texts of one set of shingles are one entry. Each entry is posted under BANDS keys of ROWS minima, so that a pair of
-similarity 0.8 shares no key with a probability of 5e-8. Candidates of a posting list are pairs that are not in one
-component yet; lists are gone through in blocks of pivots, so a large group of copies is linked by its first pivots
-and not expanded into its pairs. Only an exact comparison links.
+Texts of one set of shingles are one entry. The byte-position index of `simhash` proposes first: fingerprints over the
+same shingles that differ in a few bits are copies with little changed, and large groups of them become one component
+at once. At similarity 0.8 fingerprints differ in ten bits on average, more than the index can guarantee to find, so
+entries that are not in one component yet are posted under BANDS keys of ROWS minima; a pair of similarity 0.8 shares
+no key with a probability of 5e-8. Lists are gone through in blocks of pivots, so a large group of copies is linked
+by its first pivots and not expanded into its pairs. Only an exact comparison links.
 
 Defined results: a null text counts as empty, and texts without words are copies of one another; fewer words than a
-shingle make one shingle of them all; null ids keep their rows.
+shingle make one shingle of them all; the minima of a very long text are taken in blocks; rows without an id stay.
+Of a class one row stays: that of the smallest id and, among rows of equal id, of the smallest hash of the text;
+rows of equal id whose texts are no near copies are different documents. Of rows equal in id and text the least by
+its other columns stays. An empty table gives an empty table; columns of any name stay as they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import Scratch, map_rows, partitions, whole_text
 from .components import components
-from .simhash import FOLD, SEED
+from .simhash import SEED, bits, hashes, links
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -36,16 +41,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text, lower-cased in A-Z."""
-    words = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends.tolist()]
-    return np.unique(np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, (ends[width - 1:] - 1).tolist())], np.uint64))
+    """Sorted distinct hashes of the word shingles of a text."""
+    return np.unique(hashes(text, width))
 
 
 def set_key(h: np.ndarray) -> int:
@@ -67,19 +64,26 @@ def signature(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, node: the number of the set of shingles, keys, s0, s1: its signature."""
+    """id, digest of the text, node: the number of the set of shingles, keys, s0, s1: its signature, fp: its fingerprint."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in batch.column(1).to_pylist()]
+        whole = [hashes(t, WIDTH) for t in batch.column(2).to_pylist()]
+        sets = [np.unique(h) for h in whole]
         signs = [signature(h) for h in sets]
+        prints = np.array([bits(h) for h in whole], np.uint64).view(np.int64)
         keys = [k if len(h) else [] for h, (k, _) in zip(sets, signs)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([set_key(h) for h in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array([int(s[i]) for _, s in signs], pa.int64()) for i in (0, 1))],
-            names=["id", "node", "keys", "s0", "s1"],
+            [batch.column(0), batch.column(1), pa.array([set_key(h) for h in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array([int(s[i]) for _, s in signs], pa.int64()) for i in (0, 1)), pa.array(prints)],
+            names=["id", "digest", "node", "keys", "s0", "s1", "fp"],
         )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_rows(whole_text(df, id_col, text_col), run, f"id {kind}, node long, keys array<long>, s0 long, s1 long")
+    rows = df.select(F.col(id_col), _digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    return map_rows(rows, run, f"id {kind}, digest string, node long, keys array<long>, s0 long, s1 long, fp long")
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -146,31 +150,53 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_rows(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def near_classes(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """node, id, component: each set of shingles with its smallest id, and the node that stands for its class."""
+def near_classes(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """node, first (id, digest), component: each set of shingles with its least row, and the node that stands for its class.
+
+    With it, id and digest of the rows that equal another one in both.
+    """
     prints = scratch.table(_prints(df.where(F.col(id_col).isNotNull()), id_col, text_col), "prints")
-    nodes = prints.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
+    nodes = prints.groupBy("node").agg(F.min(F.struct("id", "digest")).alias("first"), *(F.first(c).alias(c) for c in ("keys", "s0", "s1")), F.min("fp").alias("fp"))
     nodes = scratch.table(nodes, "nodes")
+    again = scratch.table(prints.groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("id", "digest"), "again")
     scratch.drop(prints)
     classes, edges = nodes.withColumn("component", F.col("node")), None
-    for lo, hi in PIVOTS:
-        pairs = scratch.table(_candidates(scratch.spark, classes, lo, hi), "pairs")
+
+    def propose():
+        alike = nodes.groupBy("fp").agg(F.min("node").alias("id"))  # an entry of the index for each fingerprint
+        alike = scratch.table(alike, "alike")
+        same = nodes.join(alike, "fp").where("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+        yield links(scratch, alike).unionByName(same)
+        for lo, hi in PIVOTS:
+            yield _candidates(scratch.spark, classes, lo, hi)
+
+    for candidates in propose():
+        pairs = scratch.table(candidates, "pairs")
         if pairs.isEmpty():
             continue
         active = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        ids = nodes.join(active, "node", "left_semi").select(F.col("id").alias(id_col))
-        found = _sets(df.join(ids, id_col, "left_semi"), id_col, text_col).dropDuplicates(["node"])
-        sets = scratch.table(found, "sets")
+        wanted = nodes.join(active, "node", "left_semi").select("first.id", "first.digest")
+        rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("digest", _digest(F.col("text")))
+        sets = scratch.table(_sets(rows.join(wanted, ["id", "digest"], "left_semi"), "id", "text").dropDuplicates(["node"]), "sets")
         new = scratch.table(_similar(pairs, sets), "edges")
         scratch.drop(sets)
         edges = new if edges is None else edges.unionByName(new)
         moved = scratch.table(components(scratch, edges).withColumnRenamed("component", "to"), "moved")
         classes = scratch.table(nodes.join(moved, "node", "left").withColumn("component", F.coalesce("to", "node")).drop("to"), "classes")
-    return classes.select("node", "id", "component")
+    return classes.select("node", "first", "component"), again
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of the smallest id of each class; rows without an id stay, and of rows of equal id one does."""
-    classes = near_classes(Scratch(df.sparkSession, "nearcopies"), df, id_col, text_col)
-    first = classes.groupBy("component").agg(F.min("id").alias(id_col)).select(id_col).distinct()
-    return df.join(first, id_col, "left_semi").dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))
+    """One row of each class, by the rule in the module's text; rows without an id stay."""
+    places = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # no name of df meets one made here
+    id_at, text_at = (f"c{df.columns.index(c)}" for c in (id_col, text_col))
+    scratch = Scratch(df.sparkSession, "nearcopies")
+    classes, again = near_classes(scratch, places, id_at, text_at)
+    first = scratch.table(classes.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.digest"), "first")
+    rows = places.withColumn("digest", _digest(F.col(text_at)))
+    same = lambda t: (rows[id_at] == t.id) & (rows.digest == t.digest)
+    kept = rows.join(first, same(first), "left_semi")
+    if not again.isEmpty():
+        least = kept.join(again, same(again), "left_semi").groupBy(id_at, "digest").agg(F.min_by(F.struct(*places.columns), F.to_json(F.struct(*places.columns))).alias("row"))
+        kept = kept.join(again, same(again), "left_anti").select(places.columns).unionByName(least.select("row.*"))
+    return kept.select(places.columns).unionByName(places.where(F.col(id_at).isNull())).toDF(*df.columns)
