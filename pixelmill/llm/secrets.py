@@ -1,14 +1,15 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions alone.
 
 Each kind's matches are cut out with their gaps, so that positions are sums of lengths. Hashes of the candidate
-values are aggregated over the corpus by document, repository and owner: a value that many owners have is a widely
-copied example, one that few owners have is live-looking. Live-looking tokens that no base kind covers become spans
+values are aggregated over the corpus by document, repository and owner: a value that many owners have in many
+repositories is a widely copied example; one of few owners, or of one repository, is live-looking. Live-looking tokens that no base kind covers become spans
 of the kind `live`; the values of base spans get a verdict, which decides what is redacted.
 
 Aggregations combine before they shuffle; the verdicts are written out before they are joined, so that a value that
 a third of all documents hold can be split.
 
-Defined results: a null text counts as empty and has no spans; null repositories and owners are one repository and
+Defined results: a null text counts as empty and has no spans; a very long text is searched whole; rows without an id
+are told apart by their texts; null repositories and owners are one repository and
 one owner; repeated rows (equal id and text) count once in frequencies and each get their result; equal starts are
 ordered by kind; an empty table gives an empty table; further columns of the input don't matter.
 """
@@ -67,22 +68,22 @@ def candidates(df: DataFrame, id_col: str, text_col: str, repo_cols: list[str],
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_docs, n_repos, n_owners of each candidate value."""
+    """hash, n_docs, n_repos, n_owners of each candidate value: the distinct documents, repositories and owners that have it."""
     by_doc = found.groupBy("hash", "owner", "repo", "key").agg(F.lit(1).alias("one"))
-    by_repo = by_doc.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n_docs"))
-    by_owner = by_repo.groupBy("hash", "owner").agg(F.sum("n_docs").alias("n_docs"), F.count("*").alias("n_repos"))
-    return by_owner.groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners"))
+    by_place = by_doc.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n_docs"))  # few rows a value, however many documents have it
+    return by_place.groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_cols: list[str] = ("source", "lang"), owner_col: str = "source", example_owners: int = 3) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_cols: list[str] = ("source", "lang"), owner_col: str = "source", example_owners: int = 3, example_repos: int = 3) -> DataFrame:
     """key and spans: array of (start, kind, stop, example), in order, of each distinct (id, text) that has any.
 
-    example: at least example_owners owners have the value. Spans of the kind `live` are never examples and never
-    meet a base span.
+    example: at least example_owners owners have the value, in at least example_repos repositories. A value in many
+    repositories of one owner is that owner's, and one that many owners have in a single shared repository leaked once.
+    Spans of the kind `live` are never examples and never meet a base span.
     """
     scratch = Scratch(df.sparkSession, "secrets")
     found = scratch.table(candidates(df, id_col, text_col, list(repo_cols), owner_col), "candidates")
-    wide = scratch.table(ownership(found).where(F.col("n_owners") >= example_owners).select("hash"), "examples")
+    wide = scratch.table(ownership(found).where((F.col("n_owners") >= example_owners) & (F.col("n_repos") >= example_repos)).select("hash"), "examples")
     judged = found.join(wide.withColumn("example", F.lit(True)), "hash", "left").withColumn("example", F.coalesce("example", F.lit(False)))
     spans = judged.where((F.col("kind") < 3) | ~F.col("example")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "example"))).alias("s"))
     base = F.filter("s", lambda x: x["kind"] < 3)
@@ -111,17 +112,19 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df with each run of spans that are no examples replaced by a mark; other rows and columns stay as they are."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = scan(df, id_col, text_col, **options).select("key", F.filter("spans", lambda x: ~x["example"]).alias("__spans")).where(F.size("__spans") > 0)
+    """df with each run of spans that are no examples replaced by a mark; other rows and columns, whatever their names, stay as they are."""
+    found = scan(df, id_col, text_col, **options).select("key", F.filter("spans", lambda x: ~x["example"]).alias("spans")).where(F.size("spans") > 0)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    t = F.col(text_col)
+    places = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # no name of df meets one made here
+    id_at, text_at = (f"c{df.columns.index(c)}" for c in (id_col, text_col))
+    t = F.col(text_at)
 
     def cut(state: Column, x: Column) -> Column:
         fresh = x["start"] >= state["at"]
         gap = F.substring(t, (state["at"] + 1).cast("int"), (x["start"] - state["at"]).cast("int"))
         return F.struct(F.when(fresh, F.concat(state["out"], gap, F.lit(REDACTED))).otherwise(state["out"]).alias("out"), F.greatest(state["at"], x["stop"]).alias("at"))
 
-    done = F.aggregate("__spans", start, cut, lambda s: F.concat(s["out"], F.substring(t, (s["at"] + 1).cast("int"), F.length(t))))
-    joined = df.withColumn("__key", _key(id_col, text)).join(found.withColumnRenamed("key", "__key"), "__key", "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), t).otherwise(done)).select(*[F.col(f"`{c}`") for c in df.columns])
+    done = F.aggregate("spans", start, cut, lambda s: F.concat(s["out"], F.substring(t, (s["at"] + 1).cast("int"), F.length(t))))
+    joined = places.withColumn("key", _key(id_at, F.coalesce(t, F.lit("")))).join(found, "key", "left")
+    joined = joined.withColumn(text_at, F.when(F.col("spans").isNull(), t).otherwise(done))
+    return joined.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)))
