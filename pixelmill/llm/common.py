@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,21 +17,33 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of this machine only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, or set on the context; one of this machine only for a local master."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        app = spark.sparkContext.applicationId
-        found = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="pixelmill-"))
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            made = tempfile.mkdtemp(prefix="pixelmill-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            _OWN[context.applicationId] = f"file://{made}"
+        found = _OWN[context.applicationId]
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written under the shared folder, which cut lineage and survive lost executors."""
+    """Tables written under the shared folder, which cut lineage and survive lost executors.
+
+    What is not dropped earlier goes when the driver's JVM ends, as results are lazy and may read it until then.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        fs, at = hadoop(spark, self.root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
 
     def path(self, tag: str) -> str:
         self.n += 1

@@ -82,7 +82,8 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
     links = scratch.table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links")
     before = None
     while True:
-        state = links.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % 1000003).cast("decimal(38,0)")).alias("s")).first()
+        whole = [F.sum(F.xxhash64(F.lit(seed), "u", "v").cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]  # sums of 64 bits, twice
+        state = links.agg(F.count("*").alias("n"), *whole).first()
         if state == before or not state["n"]:
             break
         before, old = state, links

@@ -440,8 +440,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
     """df with the remaining bytes as text; bytes that no longer make a character go too."""
-    carry = [c for c in df.columns if c != text_col]
-    out = remove_repeats(df, id_col, text_col, length, carry=carry, kept="text")
-    out = out.toDF(*carry, *(f"__{k}" for k in range(4)), f"__{text_col}")  # their names may be those of columns of df
-    found = [F.col(f"`__{text_col}`" if c == text_col else f"`{c}`").alias(c) for c in df.columns]
+    places = df.toDF(*(f"p{i}" for i in range(len(df.columns))))  # no name of df meets one made here
+    id_at, text_at = (f"p{df.columns.index(c)}" for c in (id_col, text_col))
+    out = remove_repeats(places, id_at, text_at, length, carry=[c for c in places.columns if c != text_at], kept="text")
+    found = [F.col("kept" if f"p{i}" == text_at else f"p{i}").alias(c) for i, c in enumerate(df.columns)]
     return with_length(out.select(*found), text_col, length_col)
