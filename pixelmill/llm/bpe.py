@@ -128,17 +128,21 @@ class PrefixEncoder:
                     return token, f"{ids},{rank}"
         raise ValueError("the table lacks a byte")
 
+    def _grow(self, piece: bytes, ends: list[bytes]) -> None:
+        """Add the last token of the next prefix to those of all shorter ones."""
+        n = len(ends) + 1
+        for size in self.sizes.get(piece[max(0, n - 3): n], SHORT):
+            token = piece[n - size: n]
+            if size <= n and token in self.ranks and (self._spines(token)[2] if size == n else self._fit(ends[n - size - 1], token)):
+                ends.append(token)
+                return
+        raise ValueError("the table lacks a byte")
+
     def prefix_tokens(self, piece: bytes, known: list[bytes] | None = None) -> list[bytes]:
         """Last token of each prefix, by length from 1; known: those of a shorter prefix, which are kept as they are."""
         ends = list(known or [])
-        for n in range(len(ends) + 1, len(piece) + 1):
-            for size in self.sizes.get(piece[max(0, n - 3): n], SHORT):
-                token = piece[n - size: n]
-                if size <= n and token in self.ranks and (self._spines(token)[2] if size == n else self._fit(ends[n - size - 1], token)):
-                    ends.append(token)
-                    break
-            else:
-                raise ValueError("the table lacks a byte")
+        while len(ends) < len(piece):
+            self._grow(piece, ends)
         return ends
 
     def path(self, piece: bytes, ends: list[bytes]) -> list[int]:
@@ -169,7 +173,7 @@ class PrefixEncoder:
         out = piece[:start] + new + piece[end:]
         table, shift, same = ends[:start], len(new) - (end - start), 0
         for n in range(start + 1, len(out) + 1):
-            table = self.prefix_tokens(out[:n], table)
+            self._grow(out, table)
             old = n - shift
             same = same + 1 if n > start + len(new) and 0 < old <= len(ends) and ends[old - 1] == table[-1] and len(table[-1]) <= n - start - len(new) else 0
             if same >= self.longest:

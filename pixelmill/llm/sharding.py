@@ -5,9 +5,12 @@ enough of them is merged into one run of target-sized files. Readers see what a
 new version beside its place and renames it there, which fails if the version exists, so a writer that lost a race
 starts again from the newest one. Files that no kept version lists are removed by vacuum.
 
+The rename is exclusive on HDFS and local disks. Object stores without one need a store that gives it (a committer or a
+lock); a plain copy-and-delete rename would let two writers commit one version.
+
 Merging concatenates scan partitions without a shuffle. The driver holds file names and sizes, never rows.
 
-Defined results: an arrival without rows is committed as a run without files' rows; nulls, repeated rows and extra
+Defined results: texts of any length are stored as they are, and rows that tie in every column are all kept; an arrival without rows is committed as a run without files' rows; nulls, repeated rows and extra
 columns are stored as they are; all arrivals have the schema of the first; reading a store without runs gives an
 empty table; a failed append leaves the manifest as it was.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -182,11 +186,27 @@ class ShardStore:
             if keep:
                 self.vacuum(keep)
 
-    def vacuum(self, keep: int = 2) -> None:
-        """Remove all versions but the last `keep`, and the runs that only they list."""
+    def vacuum(self, keep: int = 2, orphan_seconds: float = 86400) -> None:
+        """Remove all versions but the last `keep`, the runs that only they list, and what writers left behind.
+
+        Left behind is what no kept version lists and nothing has touched for `orphan_seconds`: the files of an append
+        or a merge that failed before its commit. The age has to exceed the longest write.
+        """
         versions = self.versions()
         kept = {r.path for v in versions[-keep:] for r in self.manifest(v).runs}
         gone = {r.path for v in versions[:-keep] for r in self.manifest(v).runs} - kept
         for path in [*gone, *(self._file(v) for v in versions[:-keep])]:
             fs, p = hadoop(self.spark, path)
             fs.delete(p, True)
+        fs, p = hadoop(self.spark, f"{self.root}/shards")
+        names = {x.split("/shards/", 1)[1].split("/", 1)[0] for x in kept}
+        before = time.time() * 1000 - 1000 * orphan_seconds
+        for x in fs.listStatus(p) if fs.exists(p) else []:
+            if x.getPath().getName() not in names and self._touched(fs, x) < before:
+                fs.delete(x.getPath(), True)
+
+    def _touched(self, fs, status) -> int:
+        """When a folder or anything in it changed last, in milliseconds."""
+        if not status.isDirectory():
+            return status.getModificationTime()
+        return max([status.getModificationTime(), *(self._touched(fs, x) for x in fs.listStatus(status.getPath()))])

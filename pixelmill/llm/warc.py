@@ -5,6 +5,8 @@ and the others revisit it. Bodies are framed in chunks; a block longer than `seg
 and continuation records. Each record is a gzip member of its own. Spark's text writer stores the bytes, so any store
 that Spark writes to will do: a member of a record under 16 MB ends in a zero byte, which is given as the separator.
 
+Files are closed at `FILE` bytes of blocks, so that none outgrows a task. Very long payloads are many segments.
+
 Reading: files are parsed record by record; continuation records are grouped by the identifier of their origin,
 ordered by segment number, checked against the total length, and the chunked framing is decoded.
 
@@ -34,6 +36,8 @@ DATE = "2024-01-01T00:00:00Z"
 CHUNK = 4096
 #: Compressed bytes given to the decompressor at once.
 FEED = 1 << 16
+#: Bytes of blocks in a file at most, as a file is read as one row.
+FILE = 256 << 20
 
 
 def chunked(body: bytes, size: int = CHUNK) -> bytes:
@@ -102,11 +106,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     joined = rows.join(groups, "digest", "left").select("page_id", "url", "body", "digest", refers.alias("refers"))
-    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
+    most = max(1, FILE // segment_bytes)  # records of a file
+    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", most).text(path)
     scratch.close()
 
 
-def members(data: bytes) -> Iterator[bytes]:
+def members(data: bytes | pa.Buffer) -> Iterator[bytes]:
     """Contents of the gzip members of a file."""
     view, at = memoryview(data), 0
     while at < len(view):
@@ -175,7 +180,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, held = [], 0
-                for raw in members(batch.column(0)[i].as_py()):
+                for raw in members(batch.column(0)[i].as_buffer()):  # not copied
                     rows.append(row(raw))
                     held += len(rows[-1][-1] or b"")
                     if held > 1 << 22 or len(rows) >= 4096:
