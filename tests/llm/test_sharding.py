@@ -11,7 +11,7 @@ def rows(df):
 def test_arrivals_are_merged_and_versions_stay_readable(spark, documents, tmp_path):
     store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20)
     assert store.read().count() == 0 and store.compact().version == 0
-    parts = [documents.where(F.pmod("doc_id", F.lit(6)) == k) for k in range(6)]
+    parts = [documents.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(6)) == k) for k in range(6)]
     for p in parts:
         store.append(p)
     assert store.versions() == [1, 2, 3, 4, 5, 6] and rows(store.read()) == rows(documents)
@@ -24,10 +24,22 @@ def test_arrivals_are_merged_and_versions_stay_readable(spark, documents, tmp_pa
     assert {p.name for p in (tmp_path / "s" / "shards").iterdir()} == live
 
 
+def test_vacuum_removes_what_failed_writers_left(spark, documents, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s")
+    store.append_arrivals(documents, F.pmod("rank", F.lit(3)))
+    with pytest.raises(ValueError):
+        store.append(documents.select("doc_id"))  # its files are in no version
+    before = {p.name for p in (tmp_path / "s" / "shards").iterdir()}
+    store.vacuum(keep=1)
+    assert {p.name for p in (tmp_path / "s" / "shards").iterdir()} == before and len(before) == 2
+    store.vacuum(keep=1, orphan_seconds=-1)
+    assert len(list((tmp_path / "s" / "shards").iterdir())) == 1 and rows(store.read()) == rows(documents)
+
+
 def test_many_arrivals_in_one_pass(spark, documents, tmp_path):
     store = ShardStore(spark, f"file://{tmp_path}/s")
     m = store.append_arrivals(documents, F.pmod("rank", F.lit(5)))
-    assert m.version == 1 and len(m.runs) == 5
+    assert m.version == 1 and len(m.runs) == 6  # rows without a rank are an arrival too
     assert store.compact(keep=1).version == 2 and rows(store.read()) == rows(documents)
     store.append(documents.limit(0))
     assert store.read().count() == documents.count()

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def test_bpe_digests_equal_the_library(documents, pairs, empty):
 def test_bpe_round_trip_over_tables(documents, pairs):
     ids = bpe.encode(documents, MULTI, public_tokenizers.PATTERN)
     back = bpe.decode(ids, MULTI, public_tokenizers.PATTERN)
-    assert sorted((r.doc_id, bytes(r.bytes)) for r in back.collect()) == sorted((i, t.encode()) for i, t in pairs)
+    assert sorted(((r.doc_id, bytes(r.bytes)) for r in back.collect()), key=repr) == sorted(((i, t.encode()) for i, t in pairs), key=repr)
 
 
 def test_bpe_random_texts_equal_the_library():
@@ -78,13 +79,13 @@ def base_spans(text):
 
 
 def test_secret_base_spans_equal_brute_force(documents, pairs, empty):
-    got = sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.report(documents).collect())
+    got = sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.report(documents).collect()), key=repr)
     want = []
     for i, t in pairs:
         s = base_spans(t)
         n = Counter(x[2] for x in s)
         want.append((i, n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in s))))
-    assert got == sorted(want)
+    assert got == sorted(want, key=repr)
     assert secrets.report(empty).count() == 0
 
 
@@ -97,9 +98,25 @@ def test_secret_frequency_separates_examples(spark):
     assert got[0].n_live == 0 and got[0].n_example == 1 and got[10].n_live == 1 and got[10].n_example == 0
     assert "live:4:26" in got[10].spans and got[11].spans == ""
     text = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert secrets.redact(df.limit(0)).count() == 0
     assert text[0] == wide[0][1] and text[10] == "own [REDACTED] x [REDACTED]" and text[11] is None
 
 
+def test_secret_examples_need_owners_and_repositories(spark):
+    """Against a brute-force verdict: values of many owners in one repository, of one owner in many, and of many in many."""
+    rng = random.Random(9)
+    values = ["ab12cd34ef56ab12cd34EF", "one1owner2many3repos4X", "many1owners2one3repoX", "two1owners2many3repos4"]
+    places = {0: [(f"o{k}", f"r{k}") for k in range(4)], 1: [("o1", f"r{k}") for k in range(6)], 2: [(f"o{k}", "shared") for k in range(6)], 3: [(f"o{k % 2}", f"r{k}") for k in range(6)]}
+    rows_ = [(len(values) * k + v, f"see {values[v]} " + "x" * rng.randint(0, 5), repo, owner) for v in places for k, (owner, repo) in enumerate(places[v])]
+    rows_ += [(r[0], r[1], r[2], r[3]) for r in rows_[:5]]  # repeated rows count once
+    df = spark.createDataFrame(rows_, "doc_id long, text string, repo string, owner string")
+    got = {r.doc_id: r.spans for r in secrets.report(df, repo_cols=["repo"], owner_col="owner").collect()}
+    for i, t, _, _ in rows_:
+        v = next(k for k, x in enumerate(values) if x in t)
+        live = len({o for o, _ in places[v]}) < 3 or len({r for _, r in places[v]}) < 3
+        assert got[i] == ("live:4:26" if live else "").replace("26", str(4 + len(values[v]))), v
+
+
 # 4: WARC
 
 
@@ -238,17 +255,20 @@ def brute_components(nodes, linked):
 
 
 def test_simhash_equals_brute_force(documents, pairs, empty):
-    fps = {i: brute_fingerprint(t) for i, t in pairs}
-    comp = brute_components(fps, lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
-    got = simhash.simhash_classes(documents)
-    assert sorted((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in got.collect()) == sorted((i, fps[i], comp[i]) for i, _ in pairs)
+    fps = {i: brute_fingerprint(t) for i, t in pairs if i is not None}
+    comp = {**brute_components(fps, lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4), None: None}
+    found = sorted(((i, brute_fingerprint(t), comp[i]) for i, t in pairs), key=repr)
+    assert sorted(((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.simhash_classes(documents).collect()), key=repr) == found
     assert simhash.simhash_classes(empty).count() == 0
 
 
-def test_simhash_links_of_chains_and_balls(spark):
+@pytest.mark.parametrize(("most", "hot"), [(2048, 1 << 16), (8, 1 << 16), (0, 4), (8, 3)])
+def test_simhash_links_of_chains_and_balls(spark, monkeypatch, most, hot):
     from pixelmill.llm.common import Scratch
     from pixelmill.llm.components import components
 
+    monkeypatch.setattr(simhash, "LIST", most)
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng, fps = random.Random(8), {}
     for c in range(40):
         at = rng.getrandbits(64)
@@ -262,6 +282,8 @@ def test_simhash_links_of_chains_and_balls(spark):
     df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in by_id.items()], "id long, fp long").repartition(3)
     got = {r.node: r.component for r in components(scratch, simhash.links(scratch, df)).collect()}
     assert {i: got.get(i, i) for i in by_id} == comp
+    if most:
+        return
     path = spark.createDataFrame([((i * 7919) % 3001, ((i + 1) * 7919) % 3001) for i in range(3000)], "a long, b long")
     assert {(r.component) for r in components(scratch, path).collect()} == {0}
 
@@ -271,7 +293,6 @@ def test_simhash_links_of_chains_and_balls(spark):
 
 def test_packing_places_every_piece(documents, pairs, empty):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     got = packing.pack(documents, JSON, capacity=64)
     want = []
     for i, t in pairs:
@@ -280,7 +301,7 @@ def test_packing_places_every_piece(documents, pairs, empty):
         cuts = [0, *range(first, len(ids), 64), len(ids)]
         want += [(i, k, s, e - s, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[s:e]))) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
     found = got.collect()
-    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == sorted(want)
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found), key=repr) == sorted(want, key=repr)
     by = {}
     for r in found:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -290,6 +311,7 @@ def test_packing_places_every_piece(documents, pairs, empty):
             assert offset == at
             at += length
         assert at <= 64
+    assert len({(r.sequence_id, r.offset) for r in found}) == len(found)
     assert len(by) <= 1.01 * sum(w[3] for w in want) / 64 + 1
     assert packing.pack(empty, JSON).count() == 0
 
@@ -331,5 +353,14 @@ def test_reduction_keeps_the_optimum():
 def test_other_tokenizer_files_are_used_as_they_are():
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    assert list(packing.encode_batch_of(path)(["Hello there"])[0]) == tok.encode("Hello there", add_special_tokens=False).ids
+    for t in ("Hello there", "a <|startoftext|> b<|endoftext|>"):
+        assert list(packing.encode_batch_of(path)([t])[0]) == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_added_tokens_are_cut_as_the_library_does():
+    end, tok, rng = "<|endoftext|>", Tokenizer.from_file(JSON), random.Random(7)
+    texts = [end, end + end, f"{end} start", f"end {end}", f"hello {end} world", f"in{end}side", f"<|endoftext{end}|>", "<|endoftext|", f"a\n{end}\n b", f"{end[:-2]}"]
+    texts += ["".join(rng.choice([end, "ab ", " the", "\n", "é", "12", "<|", "|>"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    got = packing.encode_batch_of(JSON)(texts)
+    assert [x.tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[4].tolist() == [31373, 220, 50256, 995]
