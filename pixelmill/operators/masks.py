@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pointwise import PIXEL
-from .stencil import dilate1, neighbour
+from .stencil import neighbour
 
 
 def by():
@@ -29,11 +29,10 @@ def nested_masks(ranks: DataFrame) -> DataFrame:
     return ranks.select(*PIXEL, F.explode(F.sequence(F.lit(0), "rank")).alias("layer"))
 
 
-def cutout_masks(ranks: DataFrame, width: int, layers: int) -> DataFrame:
-    """Ink of each layer, cut out and grown by one pixel."""
-    each = ranks.sparkSession.range(layers).select(F.col("id").cast("int").alias("layer"))
-    dense = ranks.crossJoin(F.broadcast(each)).select(F.concat_ws(":", "image_id", "layer").alias("image_id"), F.col("image_id").alias("image"), "layer", "y", "x", (F.col("rank") == F.col("layer")).cast("int").alias("m"))  # layers is a small number
-    return dilate1(dense, width).where("m = 1").select(F.col("image").alias("image_id"), "y", "x", "layer")
+def cutout_masks(ranks: DataFrame) -> DataFrame:
+    """Ink of each layer, cut out and grown by one pixel: a pixel is of the layers of its own rank and of its four neighbours'."""
+    cross = F.array(*(neighbour(F.col("rank"), *at, F.lit(None)) for at in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))))
+    return ranks.select(*PIXEL, cross.alias("cross")).select(*PIXEL, F.explode(F.array_distinct(F.array_compact("cross"))).alias("layer"))
 
 
 def region_mask(ranks: DataFrame, layer: int, cutout: bool, dilate: int = 1) -> DataFrame:
@@ -76,10 +75,10 @@ def ink_box(gray: DataFrame, background: Column | float, tolerance: float = 24.0
     return s.select("image_id", lo("x").alias("x0"), lo("y").alias("y0"), hi("x", "w").alias("x1"), hi("y", "h").alias("y1"))
 
 
-def region_adjacency(regions: DataFrame, width: int) -> DataFrame:
+def region_adjacency(regions: DataFrame) -> DataFrame:
     """Pairs a < b of regions with pixels side by side, and the length of their border."""
     region = F.col("region")
-    pairs = F.array(*(F.struct(F.least(region, n).alias("a"), F.greatest(region, n).alias("b")) for n in (neighbour(region, 0, 1, width, F.lit(None)), neighbour(region, 1, 0, width, F.lit(None)))))
+    pairs = F.array(*(F.struct(F.least(region, n).alias("a"), F.greatest(region, n).alias("b")) for n in (neighbour(region, 0, 1, F.lit(None)), neighbour(region, 1, 0, F.lit(None)))))
     rows = regions.select("image_id", "region", pairs.alias("pairs")).select("image_id", "region", F.explode("pairs").alias("p")).where("p.a <> p.b AND region IS NOT NULL")
     both = rows.where("p.a = region OR p.b = region")
     return both.groupBy("image_id", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("length"))

@@ -1,7 +1,8 @@
-"""Neighbourhood operators on dense rasters of one width.
+"""Neighbourhood operators on rasters of any size, images of different sizes side by side.
 
-A raster in row order needs one shuffle, by image: the pixel above is `width` rows before, so all eight neighbours are
-lags and leads of a single window. Wider neighbourhoods are separable minima and maxima over rows, then columns.
+A raster needs one shuffle, by image: in row order every neighbour is a frame of one row at a fixed distance of the
+place's number, so all eight come from a single window. A place without a pixel counts as outside the image. Wider
+neighbourhoods are separable minima and maxima over rows, then columns.
 """
 
 from __future__ import annotations
@@ -17,49 +18,49 @@ from .pointwise import PIXEL
 AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
 
-def _at(v: Column, step: int) -> Column:
-    """The value so many pixels later in row order."""
-    raster = Window.partitionBy("image_id").orderBy("y", "x")
-    return F.lag(v, -step).over(raster) if step < 0 else F.lead(v, step).over(raster)
+#: More than an image has columns.
+ROW = 1 << 20
 
 
-def neighbour(v: Column, dy: int, dx: int, width: int, outside: Column | None = None) -> Column:
-    """The value dy rows below and dx columns to the right; outside the image this, or else the nearest pixel's."""
-    if dy == dx == 0:
-        return v
-    beyond_x = F.col("x") == (0 if dx < 0 else width - 1) if dx else F.lit(False)
+def _at(v: Column, dy: int, dx: int) -> Column:
+    """The value dy rows below and dx columns to the right; null where there is no pixel."""
+    step = dy * ROW + dx
+    raster = Window.partitionBy("image_id").orderBy(F.col("y").cast("long") * ROW + F.col("x"))
+    return F.max(v).over(raster.rangeBetween(step, step)) if step else v
 
-    def row(d: int) -> Column:
-        """In the row dy below, or null beyond the first or last."""
-        step = dy * width + d
-        value = _at(v, step) if step else v
-        return F.when(F.col("y") > 0, value) if dy < 0 else value
 
+def neighbour(v: Column, dy: int, dx: int, outside: Column | None = None) -> Column:
+    """The value dy rows below and dx columns to the right; outside the image this, or else the nearest pixel's."""
     if outside is not None:
-        return F.coalesce(F.when(~beyond_x, row(dx)), outside)
-    inside = F.when(beyond_x, row(0)).otherwise(row(dx)) if dx else row(0)
-    if not dy:
-        return F.when(beyond_x, v).otherwise(_at(v, dx))
-    own = F.when(beyond_x, v).otherwise(_at(v, dx)) if dx else v
-    return F.coalesce(inside, own)
+        return F.coalesce(_at(v, dy, dx), outside)
+    return F.coalesce(*(_at(v, *at) for at in dict.fromkeys([(dy, dx), (dy, 0), (0, dx), (0, 0)])))
 
 
-def with_around(raster: DataFrame, width: int, columns: list[str], outside: Column | None = None) -> DataFrame:
+def with_around(raster: DataFrame, columns: list[str], outside: Column | None = None) -> DataFrame:
     """raster with columns c_0 .. c_8 of the 3 x 3 pixels around each, in row order."""
-    return raster.select("*", *(neighbour(F.col(c), dy, dx, width, outside).alias(f"{c}_{i}") for c in columns for i, (dy, dx) in enumerate(AROUND)))
-
-
-def erode1(mask: DataFrame, width: int) -> DataFrame:
+    whole = F.struct(*columns)
+    rows = raster.select("*", *(_at(whole, dy, dx).alias(f"__{i}") for i, (dy, dx) in enumerate(AROUND)))
+    of = lambda i, c: F.col(f"__{i}")[c]
+    picked = []
+    for c in columns:
+        for i, (dy, dx) in enumerate(AROUND):
+            near = [AROUND.index(at) for at in dict.fromkeys([(dy, dx), (dy, 0), (0, dx), (0, 0)])]
+            found = F.coalesce(*(of(k, c) for k in near)) if outside is None else F.when(F.col(f"__{i}").isNotNull(), of(i, c)).otherwise(outside)
+            picked.append(found.alias(f"{c}_{i}"))
+    return rows.select(*raster.columns, *picked)
+
+
+def erode1(mask: DataFrame) -> DataFrame:
     """Ink whose four neighbours are ink; outside is none."""
     zero = F.lit(0)
     m = F.col("m")
-    return mask.withColumn("m", F.least(m, *(neighbour(m, dy, dx, width, zero) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)))))
+    return mask.withColumn("m", F.least(m, *(neighbour(m, dy, dx, zero) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)))))
 
 
-def dilate1(mask: DataFrame, width: int) -> DataFrame:
+def dilate1(mask: DataFrame) -> DataFrame:
     zero = F.lit(0)
     m = F.col("m")
-    return mask.withColumn("m", F.greatest(m, *(neighbour(m, dy, dx, width, zero) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)))))
+    return mask.withColumn("m", F.greatest(m, *(neighbour(m, dy, dx, zero) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)))))
 
 
 def sobel_of(c: str) -> tuple[Column, Column]:
@@ -78,14 +79,14 @@ def laplacian_of(c: str) -> Column:
     return F.abs(sum(p[1:], p[0]) - 9 * p[4]) / 8
 
 
-def sobel(gray: DataFrame, width: int) -> DataFrame:
-    return with_around(gray, width, ["v"]).select(*gray.columns, *(g.alias(n) for g, n in zip(sobel_of("v"), ("gx", "gy"))), magnitude("v").alias("magnitude"))
+def sobel(gray: DataFrame) -> DataFrame:
+    return with_around(gray, ["v"]).select(*gray.columns, *(g.alias(n) for g, n in zip(sobel_of("v"), ("gx", "gy"))), magnitude("v").alias("magnitude"))
 
 
-def edge_maps(pixels: DataFrame, width: int, with_alpha: bool = False) -> DataFrame:
+def edge_maps(pixels: DataFrame, with_alpha: bool = False) -> DataFrame:
     """The largest gradient and the largest Laplacian over the channels."""
     channels = [*"rgb", *["a"] * with_alpha]
-    rows = with_around(pixels, width, channels)
+    rows = with_around(pixels, channels)
     return rows.select(*PIXEL, F.greatest(*(magnitude(c) for c in channels)).alias("sobel"), F.greatest(*(laplacian_of(c) for c in channels)).alias("laplacian"))
 
 
@@ -132,62 +133,63 @@ def deep_band(regions: DataFrame, depth: int) -> DataFrame:
     return rows.where("lo = hi").select(regions.columns)
 
 
-def thin_stroke_share(mask: DataFrame, width: int) -> DataFrame:
+def thin_stroke_share(mask: DataFrame) -> DataFrame:
     """Share of the ink that an erosion removes."""
-    both = erode1(mask.withColumn("ink", F.col("m")), width)
+    both = erode1(mask.withColumn("ink", F.col("m")))
     s = both.groupBy("image_id").agg(F.sum("ink").alias("ink"), F.sum("m").alias("core"))
     return s.select("image_id", "ink", "core", F.when(F.col("ink") > 0, 1 - F.col("core") / F.col("ink")).otherwise(0.0).alias("thin"))
 
 
-def perimeter(mask: DataFrame, width: int) -> DataFrame:
+def perimeter(mask: DataFrame) -> DataFrame:
     """Changes between neighbours, times pi / 4."""
     m = F.col("m")
-    right = F.when(F.col("x") < width - 1, (_at(m, 1) != m).cast("int"))
-    down = (_at(m, width) != m).cast("int")
+    right, down = ((_at(m, *at) != m).cast("int") for at in ((0, 1), (1, 0)))
     n = F.coalesce(right, F.lit(0)) + F.coalesce(down, F.lit(0))
     return mask.select("image_id", n.alias("n")).groupBy("image_id").agg((F.sum("n") * F.pi() / 4).alias("perimeter"))
 
 
-def hard_edge_share(gray: DataFrame, width: int, tolerance: float = 12.0, edge: float = 64.0) -> DataFrame:
+def hard_edge_share(gray: DataFrame, tolerance: float = 12.0, edge: float = 64.0) -> DataFrame:
     """Of pixels on strong edges, the share without a blended pixel in their 3 x 3.
 
     A pixel is blended if its level lies between the darkest and lightest of its 3 x 3, farther than tolerance from both.
     """
     p = [F.col(f"v_{i}") for i in range(9)]
-    rows = with_around(gray, width, ["v"])
+    rows = with_around(gray, ["v"])
     lo, hi = F.least(*p), F.greatest(*p)
     blended = ((F.col("v") - lo > tolerance) & (hi - F.col("v") > tolerance)).cast("int")
     rows = rows.select("image_id", "y", "x", magnitude("v").alias("magnitude"), blended.alias("blended"))
-    soft = F.greatest(*(neighbour(F.col("blended"), dy, dx, width, F.lit(0)) for dy, dx in AROUND))
+    soft = F.greatest(*(neighbour(F.col("blended"), dy, dx, F.lit(0)) for dy, dx in AROUND))
     rows = rows.withColumn("soft", soft).where(F.col("magnitude") > edge)
     return rows.groupBy("image_id").agg(F.avg((F.col("soft") == 0).cast("double")).alias("hard"), F.count("*").alias("edges"))
 
 
-def noise_sigma(pixels: DataFrame, width: int) -> DataFrame:
+def noise_sigma(pixels: DataFrame) -> DataFrame:
     """Noise from the mean response of a kernel that ignores ramps, over opaque inner pixels: all, and those without a strong edge in their 3 x 3."""
-    around = with_around(pixels.select(*PIXEL, luma().cast("double").alias("v"), "a"), width, ["v", "a"])
+    around = with_around(pixels.select(*PIXEL, luma().cast("double").alias("v"), "a"), ["v", "a"])
     p = [F.col(f"v_{i}") for i in range(9)]
     response = F.abs(p[0] + p[2] + p[6] + p[8] - 2 * (p[1] + p[3] + p[5] + p[7]) + 4 * p[4])
     opaque = F.least(*(F.col(f"a_{i}") for i in range(9))) >= 250
     rows = around.select(*PIXEL, response.alias("response"), magnitude("v").alias("magnitude"), opaque.alias("opaque"))
-    rows = square_max(rows, "magnitude", 1, "near").withColumn("last", F.max("y").over(Window.partitionBy("image_id")))
-    inner = rows.where((F.col("x") > 0) & (F.col("x") < width - 1) & (F.col("y") > 0) & (F.col("y") < F.col("last")) & F.col("opaque"))
+    rows = square_max(rows, "magnitude", 1, "near")
+    image = Window.partitionBy("image_id")
+    rows = rows.withColumn("bottom", F.max("y").over(image)).withColumn("right", F.max("x").over(image))
+    inner = rows.where("x > 0 AND x < right AND y > 0 AND y < bottom AND opaque")
     factor = F.sqrt(F.pi() / 2) / 6
     inner = inner.withColumn("sigma_all", F.avg("response").over(Window.partitionBy("image_id")) * factor)
     calm = F.when(F.col("near") <= F.greatest(F.lit(24.0), 3 * F.col("sigma_all")), F.col("response"))
     return inner.groupBy("image_id").agg(F.max("sigma_all").alias("sigma_all"), F.coalesce(F.avg(calm) * factor, F.max("sigma_all")).alias("sigma"))
 
 
-def edge_pixels_per_bin(pixels: DataFrame, width: int, step: int = 32) -> DataFrame:
+def edge_pixels_per_bin(pixels: DataFrame, step: int = 32) -> DataFrame:
     """Pixels of each five-bit colour that differ in a channel from one of their four neighbours."""
-    differs = F.greatest(*(F.abs(F.col(c) - neighbour(F.col(c), dy, dx, width)) for c in "rgb" for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))))
+    differs = F.greatest(*(F.abs(F.col(c) - neighbour(F.col(c), dy, dx)) for c in "rgb" for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))))
     rows = pixels.select("image_id", colour_key().alias("key"), (differs > step).cast("long").alias("edge"), "a").where("a >= 128")
     return rows.groupBy("image_id", "key").agg(F.count("*").alias("n"), F.sum("edge").alias("edges"))
 
 
-def ramp_pixels_per_bin(pixels: DataFrame, width: int, span: int = 24, off: float = 12.0, margin: float = 4.0) -> DataFrame:
+def ramp_pixels_per_bin(pixels: DataFrame, span: int = 24, off: float = 12.0, margin: float = 4.0) -> DataFrame:
     """Pixels of each five-bit colour that lie on the line between two opposite neighbours, away from both."""
-    rows = with_around(pixels, width, list("rgb"), F.lit(None))
+    rows = with_around(pixels, list("rgb"), F.lit(None))
     tests = []
     for i, j in ((3, 5), (1, 7), (0, 8), (2, 6)):
         d = [F.col(f"{c}_{j}") - F.col(f"{c}_{i}") for c in "rgb"]
@@ -201,11 +203,11 @@ def ramp_pixels_per_bin(pixels: DataFrame, width: int, span: int = 24, off: floa
     return rows.groupBy("image_id", "key").agg(F.count("*").alias("n"), F.sum("ramp").alias("ramps"))
 
 
-def core_counts(labels: DataFrame, width: int) -> DataFrame:
+def core_counts(labels: DataFrame) -> DataFrame:
     """Population of each label and how many of its pixels are surrounded by it."""
     same = F.lit(True)
     for dy, dx in AROUND:
-        same = same & (neighbour(F.col("label"), dy, dx, width) == F.col("label"))
+        same = same & (neighbour(F.col("label"), dy, dx) == F.col("label"))
     rows = labels.select("image_id", "label", same.cast("long").alias("core"))
     return rows.groupBy("image_id", "label").agg(F.count("*").alias("n"), F.sum("core").alias("core"))
 

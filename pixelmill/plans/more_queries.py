@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import formats, numeric, params
 from ..operators import checker, colour, masks, stencil, vector
 from ..sources import images, synth, tables
-from ..sources.tables import COLOUR_SQL, COLOUR_WIDTH, DENSITY_SQL, GRAY_SQL
+from ..sources.tables import COLOUR_SQL, DENSITY_SQL, GRAY_SQL
 from ..streaming import requests
 from . import rules, trace
 from .queries import LABELS_SQL, labels, query, r
@@ -197,26 +197,17 @@ def mask_algebra(spark, sf_dir):
     return all_.select("image_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("both", "any_", "none")))
 
 
-@query(f"""WITH RECURSIVE {DENSITY_SQL}, ink AS (SELECT image_id, y, x FROM density WHERE v >= (SELECT median(v) FROM density) + 1 AND y < 16),
+@query(f"""WITH RECURSIVE {DENSITY_SQL}, ink AS (SELECT image_id, y, x FROM density WHERE v >= (SELECT median(v) FROM density) + 1),
 reach AS (SELECT image_id, y, x, y AS ry, x AS rx FROM ink UNION SELECT i.image_id, i.y, i.x, r.ry, r.rx FROM reach r JOIN ink i ON i.image_id = r.image_id AND abs(i.y - r.y) + abs(i.x - r.x) = 1),
 root AS (SELECT image_id, y, x, min(ry * 100 + rx) AS root FROM reach GROUP BY ALL)
 SELECT image_id, count(DISTINCT root) AS pieces, count(*) AS ink FROM root GROUP BY image_id""")
 def components_small(spark, sf_dir):
-    return _ink_pieces(tables.density(spark, sf_dir), "y < 16")
-
-
-def _ink_pieces(d, rows: str = "true"):
+    d = tables.density(spark, sf_dir)
     middle = d.agg(F.median("v").alias("middle"))  # one row
-    ink = d.crossJoin(F.broadcast(middle)).where("v >= middle + 1").where(rows).select("image_id", "y", "x", F.lit(1).alias("m"))
+    ink = d.crossJoin(F.broadcast(middle)).where("v >= middle + 1").select("image_id", "y", "x", F.lit(1).alias("m"))
     return trace.connected_components(ink).groupBy("image_id").agg(F.count_distinct("region").alias("pieces"), F.count("*").alias("ink"))
 
 
-@query()
-def components_all(spark, sf_dir):
-    """Pieces of ink of whole density images; tests hold it against a brute-force labelling."""
-    return _ink_pieces(tables.density(spark, sf_dir))
-
-
 # Streams of requests
 
 
@@ -241,7 +232,7 @@ def connected_components(spark, sf_dir):
 
 @query()
 def hysteresis_edges(spark, sf_dir):
-    s = stencil.sobel(_gray(spark, sf_dir), 64).select("image_id", "y", "x", F.col("magnitude").alias("v"))
+    s = stencil.sobel(_gray(spark, sf_dir)).select("image_id", "y", "x", F.col("magnitude").alias("v"))
     return trace.hysteresis(s, 40, 120).groupBy("image_id").agg(F.sum("m").alias("edges"))
 
 
@@ -349,7 +340,7 @@ def half_open(spark, sf_dir):
     return tables.colour(spark, sf_dir).withColumn("a", F.when(F.col("image_id") % 2 == 0, 255).otherwise(F.col("a")))
 
 
-HALF_SQL = COLOUR_SQL.replace("least(255, CAST(round(l_tax * 100) AS INTEGER) * 36) AS a", "CASE WHEN image_id % 2 = 0 THEN 255 ELSE least(255, CAST(round(l_tax * 100) AS INTEGER) * 36) END AS a")
+HALF_SQL = COLOUR_SQL.replace("least(255, CAST(round(l_tax * 100) AS INTEGER) * 36) AS a", "CASE WHEN image_id % 2 = 0 THEN 255 ELSE least(255, CAST(round(l_tax * 100) AS INTEGER) * 36) END AS a").replace("0 AS a", "CASE WHEN image_id % 2 = 0 THEN 255 ELSE 0 END AS a")
 
 
 @query(f"WITH {HALF_SQL}, {BACK_SQL} SELECT image_id, r, g, b, CASE WHEN open > 0.05e0 THEN 'mask' ELSE 'composite' END AS alpha_mode FROM back")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
@@ -15,7 +15,7 @@ from ..operators import colour as col_ops
 from ..operators import histogram as hist_ops
 from ..operators import masks, metrics, pointwise, resample, stencil, vector
 from ..sources import tables
-from ..sources.tables import COLOUR_SQL, COLOUR_WIDTH, DENSITY_SQL, GRAY_SQL, GRAY_WIDTH
+from ..sources.tables import COLOUR_SQL, DENSITY_SQL, GRAY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,12 +48,8 @@ def colour(spark, sf_dir):
 
 def shifted(g: DataFrame) -> DataFrame:
     """Each image moved up by a row, its first row again below."""
-    return g.withColumn("y", F.pmod(F.col("y") + F.lit(-1), F.lit(64)))
-
-
-def full(g: DataFrame) -> DataFrame:
-    """Images of all 64 rows."""
-    return g.join(g.groupBy("image_id").agg(F.max("y").alias("last")).where("last = 63").select("image_id"), "image_id", "left_semi")
+    height = F.max("y").over(Window.partitionBy("image_id")) + 1
+    return g.withColumn("height", height).withColumn("y", F.pmod(F.col("y") - 1, F.col("height"))).drop("height")
 
 
 # SQL of shared parts
@@ -192,7 +188,7 @@ def binarised_ink(spark, sf_dir):
     g = gray(spark, sf_dir)
     t = hist_ops.otsu(hist_ops.histogram256(g)).select("image_id", "t")
     mask = pointwise.binarise(g.join(t, "image_id"), F.col("t") / F.lit(255.0)).select("image_id", "y", "x", "m")
-    thin = stencil.thin_stroke_share(mask, GRAY_WIDTH)
+    thin = stencil.thin_stroke_share(mask)
     return thin.join(t, "image_id").select("image_id", "t", F.col("ink").cast("long"), F.col("core").cast("long"), r("thin").alias("thin"))
 
 
@@ -204,14 +200,14 @@ def ink_count(spark, sf_dir):
 @query(f"""{HIST}, {SPLIT}, {INK}, grown AS (SELECT DISTINCT i.image_id, i.y + dy AS y, i.x + dx AS x FROM ink i, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(dy, dx) WHERE m = 1)
 SELECT g.image_id, count(*) AS grown FROM grown g JOIN ink i ON i.image_id = g.image_id AND i.y = g.y AND i.x = g.x GROUP BY g.image_id""")
 def dilated_ink(spark, sf_dir):
-    d = stencil.dilate1(ink(spark, sf_dir), GRAY_WIDTH).groupBy("image_id").agg(F.sum("m").cast("long").alias("grown"))
+    d = stencil.dilate1(ink(spark, sf_dir)).groupBy("image_id").agg(F.sum("m").cast("long").alias("grown"))
     return d.where("grown > 0")
 
 
 @query(f"""{HIST}, {SPLIT}, {INK} SELECT a.image_id, round(count(*) FILTER (WHERE a.m <> b.m) * pi() / 4, 6) AS perimeter
 FROM ink a JOIN ink b ON a.image_id = b.image_id AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.y = a.y + 1 AND b.x = a.x)) GROUP BY a.image_id""")
 def perimeter(spark, sf_dir):
-    return stencil.perimeter(ink(spark, sf_dir), GRAY_WIDTH).withColumn("perimeter", r("perimeter"))
+    return stencil.perimeter(ink(spark, sf_dir)).withColumn("perimeter", r("perimeter"))
 
 
 @query(f"""WITH {GRAY_SQL}, s AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h, min(x) FILTER (WHERE abs(v - 127) > 100) AS ax, max(x) FILTER (WHERE abs(v - 127) > 100) AS bx, min(y) FILTER (WHERE abs(v - 127) > 100) AS ay, max(y) FILTER (WHERE abs(v - 127) > 100) AS by_ FROM gray GROUP BY image_id),
@@ -240,9 +236,9 @@ def premultiply_roundtrip(spark, sf_dir):
     return pointwise.unpremultiply(pointwise.premultiply(colour(spark, sf_dir)))
 
 
-@query(f"WITH {COLOUR_SQL} SELECT image_id, round(avg(CAST(a < 8 AS INTEGER)), 6) AS transparent, round(avg(CAST(a BETWEEN 8 AND 247 AS INTEGER)), 6) AS partial FROM colour GROUP BY image_id")
+@query(f"WITH {COLOUR_SQL} SELECT image_id, round(avg(CAST(a < 8 AS INTEGER)), 9) AS transparent, round(avg(CAST(a BETWEEN 8 AND 247 AS INTEGER)), 9) AS partial FROM colour GROUP BY image_id")
 def alpha_shares(spark, sf_dir):
-    return hist_ops.alpha_shares(colour(spark, sf_dir)).select("image_id", r("transparent").alias("transparent"), r("partial").alias("partial"))
+    return hist_ops.alpha_shares(colour(spark, sf_dir)).select("image_id", r("transparent", 9).alias("transparent"), r("partial", 9).alias("partial"))
 
 
 @query(f"WITH {COLOUR_SQL} SELECT image_id, CAST(sum(CAST(a >= 127.5e0 AS INTEGER)) AS BIGINT) AS ink FROM colour GROUP BY image_id")
@@ -279,13 +275,8 @@ def downscale_nearest(spark, sf_dir):
     return pointwise.downscale_nearest(gray(spark, sf_dir), 4)
 
 
-@query(f"WITH {GRAY_SQL} SELECT image_id, CAST(y * 3 + dy AS INTEGER) AS y, CAST(x * 3 + dx AS INTEGER) AS x, v FROM gray, generate_series(0, 2) a(dy), generate_series(0, 2) b(dx) WHERE image_id = 0")
+@query(f"WITH {GRAY_SQL} SELECT image_id, CAST(y * 3 + dy AS INTEGER) AS y, CAST(x * 3 + dx AS INTEGER) AS x, v FROM gray, generate_series(0, 2) a(dy), generate_series(0, 2) b(dx)")
 def upscale_nearest(spark, sf_dir):
-    return pointwise.upscale_nearest(gray(spark, sf_dir).where("image_id = 0"), 3)
-
-
-@query(SQL["upscale_nearest"].replace(" WHERE image_id = 0", ""))
-def upscale_nearest_all(spark, sf_dir):
     return pointwise.upscale_nearest(gray(spark, sf_dir), 3)
 
 
@@ -366,7 +357,7 @@ def kmeans_3_rounds(spark, sf_dir):
 
 @query(f"WITH {GRAY_SQL}, {around_sql('gray', ['v'])} SELECT image_id, count(*) FILTER (WHERE {magnitude_sql('v')} > 64) AS edges, round(sum(abs({sobel_sql('v')[0]})), 6) AS gx, round(sum(abs({sobel_sql('v')[1]})), 6) AS gy, round(max({magnitude_sql('v')}), 6) AS strongest FROM around GROUP BY image_id")
 def sobel_stats(spark, sf_dir):
-    s = stencil.sobel(gray(spark, sf_dir), GRAY_WIDTH)
+    s = stencil.sobel(gray(spark, sf_dir))
     return s.groupBy("image_id").agg(F.count_if(F.col("magnitude") > 64).alias("edges"), r(F.sum(F.abs("gx"))).alias("gx"), r(F.sum(F.abs("gy"))).alias("gy"), r(F.max("magnitude")).alias("strongest"))
 
 
@@ -375,7 +366,7 @@ MAPS_SQL = f"greatest({', '.join(magnitude_sql(c) for c in 'rgb')}) AS sobel, gr
 
 @query(f"WITH {COLOUR_SQL}, {around_sql('colour', list('rgb'))}, maps AS (SELECT image_id, y, x, {MAPS_SQL} FROM around) SELECT image_id, round(sum(sobel), 4) AS sobel, round(sum(laplacian), 4) AS laplacian FROM maps GROUP BY image_id")
 def edge_maps(spark, sf_dir):
-    return stencil.edge_maps(colour(spark, sf_dir), COLOUR_WIDTH).groupBy("image_id").agg(r(F.sum("sobel"), 4).alias("sobel"), r(F.sum("laplacian"), 4).alias("laplacian"))
+    return stencil.edge_maps(colour(spark, sf_dir)).groupBy("image_id").agg(r(F.sum("sobel"), 4).alias("sobel"), r(F.sum("laplacian"), 4).alias("laplacian"))
 
 
 LIMITS = {"lap_hi": 90.0, "lap_lo": 60.0, "sob_hi": 160.0, "sob_lo": 40.0}
@@ -383,28 +374,23 @@ LIMITS = {"lap_hi": 90.0, "lap_lo": 60.0, "sob_hi": 160.0, "sob_lo": 40.0}
 
 @query(f"""WITH {COLOUR_SQL}, {around_sql('colour', list('rgb'))}, maps AS (SELECT image_id, y, x, {MAPS_SQL} FROM around),
 wide AS (SELECT p.image_id, p.y, p.x, any_value(p.sobel) AS sobel, min(q.sobel) FILTER (WHERE abs(q.y - p.y) <= 2 AND abs(q.x - p.x) <= 2) AS low, max(q.sobel) AS near_s, max(q.laplacian) AS near_l, max(q.laplacian) FILTER (WHERE abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1) AS active
-  FROM maps p JOIN maps q ON q.image_id = p.image_id AND q.y BETWEEN p.y - 3 AND p.y + 3 AND q.x BETWEEN p.x - 3 AND p.x + 3 WHERE p.image_id % 10 = 0 GROUP BY p.image_id, p.y, p.x)
+  FROM maps p JOIN maps q ON q.image_id = p.image_id AND q.y BETWEEN p.y - 3 AND p.y + 3 AND q.x BETWEEN p.x - 3 AND p.x + 3 GROUP BY p.image_id, p.y, p.x)
 SELECT image_id, count(*) FILTER (WHERE seed) AS seeds, count(*) FILTER (WHERE gone) AS gone FROM (
   SELECT image_id, weak AND sobel - low > 40 AND near_s <= 160 AND near_l <= 90 AS seed, weak AND sobel - low <= 40 AND active <= 60 AS gone FROM (SELECT *, sobel > 40 AND sobel <= 160 AS weak FROM wide)) GROUP BY image_id""")
 def gated_sobel(spark, sf_dir):
-    return _gated(colour(spark, sf_dir).where("image_id % 10 = 0"))
+    return _gated(colour(spark, sf_dir))
 
 
 def _gated(px: DataFrame) -> DataFrame:
-    maps = stencil.edge_maps(px, COLOUR_WIDTH)
+    maps = stencil.edge_maps(px)
     g = stencil.gate_sobel(maps, LIMITS).withColumnRenamed("sobel", "gated").join(maps.select("image_id", "y", "x", "sobel"), ["image_id", "y", "x"])
     return g.groupBy("image_id").agg(F.count_if(F.col("gated") == float("inf")).alias("seeds"), F.count_if((F.col("gated") == 0) & (F.col("sobel") != 0)).alias("gone"))
 
 
-@query(SQL["gated_sobel"].replace("WHERE p.image_id % 10 = 0 ", ""))
-def gated_sobel_all(spark, sf_dir):
-    return _gated(colour(spark, sf_dir))
-
-
 @query(f"""WITH {GRAY_SQL}, {around_sql('gray', ['v'])}, f AS (SELECT image_id, y, x, {magnitude_sql('v')} AS mag, CAST(v - least({', '.join(f'v_{i}' for i in range(9))}) > 12 AND greatest({', '.join(f'v_{i}' for i in range(9))}) - v > 12 AS INTEGER) AS blended FROM around),
 {around_sql('f', ['blended'], 'none', 'soft')} SELECT image_id, round(avg(CAST(coalesce({', '.join(f'nullif(blended_{i}, 0)' for i in range(9))}, 0) = 0 AS INTEGER)), 6) AS hard, count(*) AS edges FROM soft WHERE mag > 64 GROUP BY image_id""")
 def hard_edge_share(spark, sf_dir):
-    return stencil.hard_edge_share(gray(spark, sf_dir), GRAY_WIDTH).withColumn("hard", r("hard"))
+    return stencil.hard_edge_share(gray(spark, sf_dir)).withColumn("hard", r("hard"))
 
 
 @query(f"""WITH {COLOUR_SQL}, l AS (SELECT image_id, y, x, CAST(CAST(0.299e0 * r + 0.587e0 * g + 0.114e0 * b AS REAL) AS DOUBLE) AS v, 255 AS a FROM colour), {around_sql('l', ['v'])},
@@ -412,14 +398,14 @@ p AS (SELECT image_id, y, x, w, h, {magnitude_sql('v')} AS mag, abs(v_0 + v_2 +
 inn AS (SELECT *, avg(resp) OVER (PARTITION BY image_id) * sqrt(pi() / 2) / 6 AS sigma_all FROM near WHERE x > 0 AND y > 0 AND x < w AND y < h)
 SELECT image_id, round(max(sigma_all), 5) AS sigma_all, round(coalesce(avg(resp) FILTER (WHERE greatest({', '.join(f'mag_{i}' for i in range(9))}) <= greatest(24, 3 * sigma_all)) * sqrt(pi() / 2) / 6, max(sigma_all)), 5) AS sigma FROM inn GROUP BY image_id""")
 def noise_sigma(spark, sf_dir):
-    out = stencil.noise_sigma(colour(spark, sf_dir).withColumn("a", F.lit(255)), COLOUR_WIDTH)
+    out = stencil.noise_sigma(colour(spark, sf_dir).withColumn("a", F.lit(255)))
     return out.select("image_id", r("sigma_all", 5).alias("sigma_all"), r("sigma", 5).alias("sigma"))
 
 
 @query(f"""WITH {COLOUR_SQL}, {around_sql('colour', list('rgb'))} SELECT image_id, {KEY_SQL} AS key, count(*) AS n,
   CAST(sum(CAST(greatest({', '.join(f'abs({c} - {c}_{i})' for c in 'rgb' for i in (1, 3, 5, 7))}) > 150 AS INTEGER)) AS BIGINT) AS edges FROM around WHERE a >= 128 GROUP BY ALL""")
 def edge_pixels_per_bin(spark, sf_dir):
-    return stencil.edge_pixels_per_bin(colour(spark, sf_dir), COLOUR_WIDTH, 150)
+    return stencil.edge_pixels_per_bin(colour(spark, sf_dir), 150)
 
 
 def _ramp_sql(i: int, j: int) -> str:
@@ -432,7 +418,7 @@ def _ramp_sql(i: int, j: int) -> str:
 
 @query(f"WITH {COLOUR_SQL}, {around_sql('colour', list('rgb'), 'none')} SELECT image_id, {KEY_SQL} AS key, count(*) AS n, CAST(sum(CAST({' OR '.join(_ramp_sql(*p) for p in ((3, 5), (1, 7), (0, 8), (2, 6)))} AS INTEGER)) AS BIGINT) AS ramps FROM around WHERE a >= 128 GROUP BY ALL")
 def ramp_pixels_per_bin(spark, sf_dir):
-    return stencil.ramp_pixels_per_bin(colour(spark, sf_dir), COLOUR_WIDTH)
+    return stencil.ramp_pixels_per_bin(colour(spark, sf_dir))
 
 
 LABELS_SQL = f"{nearest_sql('colour')}, labels AS (SELECT image_id, y, x, label FROM nearest)"
@@ -444,7 +430,7 @@ def labels(spark, sf_dir):
 
 @query(f"WITH {COLOUR_SQL}, {LABELS_SQL}, {around_sql('labels', ['label'])} SELECT image_id, label, count(*) AS n, CAST(sum(CAST({' AND '.join(f'label_{i} = label' for i in range(9))} AS INTEGER)) AS BIGINT) AS core FROM around GROUP BY ALL")
 def core_counts(spark, sf_dir):
-    return stencil.core_counts(labels(spark, sf_dir), COLOUR_WIDTH)
+    return stencil.core_counts(labels(spark, sf_dir))
 
 
 @query(f"WITH {GRAY_SQL} SELECT image_id, CAST(y // 8 AS INTEGER) AS y, CAST(x // 8 AS INTEGER) AS x, CAST(round_even(avg(v), 0) AS INTEGER) AS v FROM gray GROUP BY image_id, y // 8, x // 8")
@@ -453,15 +439,10 @@ def box_downscale(spark, sf_dir):
 
 
 @query(f"""WITH {GRAY_SQL}, d AS (SELECT image_id, max(x) AS w, max(y) AS h FROM gray GROUP BY image_id), k AS (SELECT unnest(generate_series(-3, 3)) AS k, exp(-(k * k) / 2e0) AS e), kw AS (SELECT k, e / (SELECT sum(e) FROM k) AS wt FROM k),
-hx AS (SELECT p.image_id, p.y, p.x, sum(wt * q.v) AS v FROM gray p JOIN d USING (image_id), kw JOIN gray q ON q.image_id = p.image_id AND q.y = p.y AND q.x = least(greatest(p.x + k, 0), d.w) WHERE p.image_id < 2 GROUP BY ALL),
+hx AS (SELECT p.image_id, p.y, p.x, sum(wt * q.v) AS v FROM gray p JOIN d USING (image_id), kw JOIN gray q ON q.image_id = p.image_id AND q.y = p.y AND q.x = least(greatest(p.x + k, 0), d.w) GROUP BY ALL),
 hy AS (SELECT p.image_id, p.y, p.x, sum(wt * q.v) AS v FROM hx p JOIN d USING (image_id), kw JOIN hx q ON q.image_id = p.image_id AND q.x = p.x AND q.y = least(greatest(p.y + k, 0), d.h) GROUP BY ALL)
 SELECT image_id, y, x, round(v, 6) AS v FROM hy""")
 def gaussian_blur(spark, sf_dir):
-    return resample.gaussian_blur(gray(spark, sf_dir).where("image_id < 2"), 1.0).withColumn("v", r("v"))
-
-
-@query(SQL["gaussian_blur"].replace(" WHERE p.image_id < 2", ""))
-def gaussian_blur_all(spark, sf_dir):
     return resample.gaussian_blur(gray(spark, sf_dir), 1.0).withColumn("v", r("v"))
 
 
@@ -471,22 +452,17 @@ def _taps_sql(side: str, d: str, i: str) -> str:
     FROM (SELECT image_id, {side}, u AS {d}, CAST(floor((u + 0.5e0) / 2 - 0.5e0) AS INTEGER) AS b, (u + 0.5e0) / 2 - 0.5e0 - floor((u + 0.5e0) / 2 - 0.5e0) AS t FROM d, LATERAL (SELECT unnest(generate_series(0, 2 * {side} + 1)) AS u)), generate_series(0, 3) z(n))"""
 
 
-@query(f"""WITH {GRAY_SQL}, d AS (SELECT image_id, max(x) AS w, max(y) AS h FROM gray WHERE image_id < 2 GROUP BY image_id), tx AS {_taps_sql('w', 'xx', 'x')}, ty AS {_taps_sql('h', 'yy', 'y')},
+@query(f"""WITH {GRAY_SQL}, d AS (SELECT image_id, max(x) AS w, max(y) AS h FROM gray GROUP BY image_id), tx AS {_taps_sql('w', 'xx', 'x')}, ty AS {_taps_sql('h', 'yy', 'y')},
 hx AS (SELECT g.image_id, g.y, xx, sum(wt * v) AS v, min(v) FILTER (WHERE near) AS lo, max(v) FILTER (WHERE near) AS hi FROM gray g JOIN tx USING (image_id, x) GROUP BY ALL),
 hy AS (SELECT image_id, yy, xx, sum(wt * v) AS v, min(lo) FILTER (WHERE near) AS lo, max(hi) FILTER (WHERE near) AS hi FROM hx JOIN ty USING (image_id, y) GROUP BY ALL)
 SELECT image_id, CAST(yy AS INTEGER) AS y, CAST(xx AS INTEGER) AS x, round(least(hi, greatest(lo, v)), 6) AS v FROM hy""")
 def bicubic_upscale_2x(spark, sf_dir):
-    return resample.upscale(gray(spark, sf_dir).where("image_id < 2"), 2).withColumn("v", r("v"))
-
-
-@query(SQL["bicubic_upscale_2x"].replace(" WHERE image_id < 2", ""))
-def bicubic_upscale_2x_all(spark, sf_dir):
     return resample.upscale(gray(spark, sf_dir), 2).withColumn("v", r("v"))
 
 
-@query(f"""WITH {GRAY_SQL} SELECT DISTINCT image_id, CASE WHEN image_id % 2 = 0 THEN 3 ELSE 1 END AS grid FROM gray WHERE image_id < 4""")
+@query(f"""WITH {GRAY_SQL} SELECT DISTINCT image_id, CASE WHEN image_id % 2 = 0 THEN 3 ELSE 1 END AS grid FROM gray""")
 def detect_grid(spark, sf_dir):
-    return _grids(gray(spark, sf_dir).where("image_id < 4"))
+    return _grids(gray(spark, sf_dir))
 
 
 def _grids(g: DataFrame) -> DataFrame:
@@ -494,11 +470,6 @@ def _grids(g: DataFrame) -> DataFrame:
     return resample.detect_grid(pointwise.upscale_nearest(g.where("image_id % 2 = 0"), 3).unionByName(g.where("image_id % 2 = 1")))
 
 
-@query(SQL["detect_grid"].replace(" WHERE image_id < 4", ""))
-def detect_grid_all(spark, sf_dir):
-    return _grids(gray(spark, sf_dir))
-
-
 @query(f"""WITH {GRAY_SQL}, l AS (SELECT image_id, y, x, CASE WHEN v < 110 THEN 0 WHEN v > 145 THEN 1 END AS level FROM gray), k AS (SELECT * FROM l WHERE level IS NOT NULL),
 t AS (SELECT *, lag(x) OVER w AS px, lag(level) OVER w AS pl FROM k WINDOW w AS (PARTITION BY image_id, y ORDER BY x)), c AS (SELECT image_id, y, (x + px + 1) / 2e0 AS crossing FROM t WHERE level <> pl AND x - px <= 4)
 SELECT image_id, cell, round(sqrt(sum(cos(2 * pi() * crossing / cell)) ** 2 + sum(sin(2 * pi() * crossing / cell)) ** 2) / count(*), 6) AS coherence, count(*) AS n FROM c, (VALUES (6e0), (8e0), (10e0)) p(cell) GROUP BY ALL""")
@@ -540,7 +511,7 @@ CROSS = "(VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o5(dy, dx)"
 
 @query(f"WITH {COLOUR_SQL}, {LABELS_SQL}, {RANKS_SQL}, c AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x, rank AS layer FROM ranks, {CROSS}) SELECT c.image_id, CAST(c.layer AS INTEGER) AS layer, count(*) AS n FROM c JOIN ranks r ON r.image_id = c.image_id AND r.y = c.y AND r.x = c.x GROUP BY ALL")
 def cutout_masks_area(spark, sf_dir):
-    return masks.cutout_masks(ranks(spark, sf_dir), COLOUR_WIDTH, 4).groupBy("image_id", "layer").agg(F.count("*").alias("n"))
+    return masks.cutout_masks(ranks(spark, sf_dir)).groupBy("image_id", "layer").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {COLOUR_SQL}, {LABELS_SQL}, {RANKS_SQL}, c AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM ranks, {CROSS} WHERE rank = 1) SELECT r.image_id, count(*) AS n FROM ranks r JOIN c USING (image_id, y, x) WHERE rank >= 1 GROUP BY ALL")
@@ -592,7 +563,7 @@ def plane_axis(spark, sf_dir):
 @query(f"""WITH {COLOUR_SQL}, {LABELS_SQL} SELECT image_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, count(*) AS length FROM (
   SELECT p.image_id, least(p.label, q.label) AS a, greatest(p.label, q.label) AS b FROM labels p JOIN labels q ON q.image_id = p.image_id AND ((q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1)) WHERE p.label <> q.label) GROUP BY ALL""")
 def region_adjacency(spark, sf_dir):
-    return masks.region_adjacency(labels(spark, sf_dir).withColumnRenamed("label", "region"), COLOUR_WIDTH)
+    return masks.region_adjacency(labels(spark, sf_dir).withColumnRenamed("label", "region"))
 
 
 @query(f"WITH {COLOUR_SQL}, {LABELS_SQL} SELECT image_id, label AS region, count(*) AS area FROM labels GROUP BY ALL")
@@ -607,11 +578,11 @@ def deep_band(spark, sf_dir):
 
 # Similarity
 
-SHIFT_SQL = "ok AS (SELECT image_id FROM gray GROUP BY image_id HAVING max(y) = 63), pairs AS (SELECT p.image_id, p.y, p.x, p.v, q.v AS v2 FROM gray p JOIN ok USING (image_id) JOIN gray q ON q.image_id = p.image_id AND q.x = p.x AND q.y = (p.y + 1) % 64)"
+SHIFT_SQL = "side AS (SELECT image_id, max(y) + 1 AS h FROM gray GROUP BY image_id), pairs AS (SELECT p.image_id, p.y, p.x, p.v, q.v AS v2, h FROM gray p JOIN side USING (image_id) JOIN gray q ON q.image_id = p.image_id AND q.x = p.x AND q.y = (p.y + 1) % h)"
 
 
 def pairs(spark, sf_dir):
-    g = full(gray(spark, sf_dir))
+    g = gray(spark, sf_dir)
     return metrics.paired(g, shifted(g))
 
 
@@ -634,7 +605,7 @@ def share_different(spark, sf_dir):
 
 
 SSIM_SQL = """win AS (SELECT image_id, wy, wx, avg(CAST(v AS DOUBLE)) AS a, avg(CAST(v2 AS DOUBLE)) AS b, var_pop(v) AS va, var_pop(v2) AS vb, covar_pop(v, v2) AS cov
-  FROM pairs JOIN (SELECT unnest(generate_series(0, 14)) AS wy) ON y BETWEEN 4 * wy AND 4 * wy + 7 JOIN (SELECT unnest(generate_series(0, 14)) AS wx) ON x BETWEEN 4 * wx AND 4 * wx + 7 GROUP BY ALL),
+  FROM pairs JOIN (SELECT unnest(generate_series(0, 14)) AS wy) ON y BETWEEN 4 * wy AND 4 * wy + 7 AND (wy = 0 OR 4 * wy + 8 <= h) JOIN (SELECT unnest(generate_series(0, 14)) AS wx) ON x BETWEEN 4 * wx AND 4 * wx + 7 GROUP BY ALL),
 s AS (SELECT image_id, avg((2 * a * b + 6.5025e0) * (2 * cov + 58.5225e0) / ((a * a + b * b + 6.5025e0) * (va + vb + 58.5225e0))) AS ssim, count(*) AS windows FROM win GROUP BY image_id)"""
 
 

@@ -114,10 +114,10 @@ def test_facts_of_fixtures(spark):
     assert {r.image_id: r.grid for r in resample.detect_grid(px).collect()} == {"three": 1, "circle": 1}
     bimodal = {r.image_id: r.bimodal for r in histogram.bimodality(histogram.histogram256(pointwise.to_gray(px))).collect()}
     assert bimodal["circle"]
-    hard = one(stencil.hard_edge_share(pointwise.to_gray(px.where("image_id = 'circle'")), 64)).hard
+    hard = one(stencil.hard_edge_share(pointwise.to_gray(px.where("image_id = 'circle'")))).hard
     assert hard < 0.5
     mask = pointwise.binarise(pointwise.to_gray(px.where("image_id = 'circle'")), 0.5).select("image_id", "y", "x", "m")
-    assert 0.05 < one(stencil.thin_stroke_share(mask, 64)).thin < 0.2
+    assert 0.05 < one(stencil.thin_stroke_share(mask)).thin < 0.2
 
 
 def numeric_hex(r):
@@ -156,7 +156,7 @@ def test_relational_blur_and_enlargement_equal_the_kernels(spark):
     for df, want in ((resample.gaussian_blur(g, 0.8), kernels.blur(gray, 0.8)), (resample.upscale(g, 2), kernels.enlarge(gray, 2))):
         rows = df.collect()
         assert len(rows) == want.size and max(abs(r.v - want[r.y, r.x]) for r in rows) < 1e-4
-    sob = {(r.y, r.x): r.magnitude for r in stencil.sobel(g, 24).collect()}
+    sob = {(r.y, r.x): r.magnitude for r in stencil.sobel(g).collect()}
     assert max(abs(sob[y, x] - v) for (y, x), v in np.ndenumerate(kernels.sobel(gray))) < 1e-4
 
 
