@@ -436,8 +436,14 @@ WEIGHTS = np.array([0.5054, 0.9925, 0.4342])
 
 
 def nearest(rgb: np.ndarray, palette: np.ndarray) -> np.ndarray:
-    d = ((rgb[..., None, :].astype(float) - palette) * WEIGHTS) ** 2
-    return d.sum(-1).argmin(-1)
+    """Number of the nearest palette colour, the first of equal ones; one colour at a time, so that memory stays that of the image."""
+    c = [rgb[..., i].astype(float) for i in range(3)]
+    best, label = np.full(rgb.shape[:-1], np.inf), np.zeros(rgb.shape[:-1], int)
+    for j, p in enumerate(palette):
+        d = sum((w * (x - v)) ** 2 for w, x, v in zip(WEIGHTS, c, p))
+        closer = d < best
+        label[closer], best[closer] = j, d[closer]
+    return label
 
 
 def kmeans(colours: np.ndarray, counts: np.ndarray, palette: np.ndarray, rounds: int = 10) -> np.ndarray:
@@ -459,34 +465,27 @@ def kmeans(colours: np.ndarray, counts: np.ndarray, palette: np.ndarray, rounds:
 def contours(mask: np.ndarray) -> list[np.ndarray]:
     """Closed borders of the ink as corner points (x, y), ink to the right; where two inks touch at a corner they part."""
     m = np.pad(mask.astype(bool), 1)
-    follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
-
-    def add(y, x, start, end):
-        for a, b in zip(y.tolist(), x.tolist()):
-            follow.setdefault((b + start[0], a + start[1]), []).append((b + end[0], a + end[1]))
-
-    ink = m[1:-1, 1:-1]
-    add(*np.nonzero(ink & ~m[:-2, 1:-1]), (0, 0), (1, 0))
-    add(*np.nonzero(ink & ~m[1:-1, 2:]), (1, 0), (1, 1))
-    add(*np.nonzero(ink & ~m[2:, 1:-1]), (1, 1), (0, 1))
-    add(*np.nonzero(ink & ~m[1:-1, :-2]), (0, 1), (0, 0))
-    out = []
-    for start in sorted(follow, key=lambda p: (p[1], p[0])):
-        while follow.get(start):
-            path, at, came = [start], start, None
-            while True:
-                nexts = follow[at]
-                if len(nexts) > 1 and came is not None:  # keep to the same pixel: turn right
-                    right = (-came[1], came[0])
-                    pick = next((i for i, q in enumerate(nexts) if (q[0] - at[0], q[1] - at[1]) == right), 0)
-                else:
-                    pick = 0
-                q = nexts.pop(pick)
-                came, at = (q[0] - at[0], q[1] - at[1]), q
-                if at == start:
-                    break
-                path.append(at)
-            out.append(np.array(path, float))
+    ink, w = m[1:-1, 1:-1], mask.shape[1] + 1
+    # a border's step starts at a corner and goes right (0), down (1), left (2) or up (3)
+    starts = [np.nonzero(ink & ~m[:-2, 1:-1]), np.nonzero(ink & ~m[1:-1, 2:]), np.nonzero(ink & ~m[2:, 1:-1]), np.nonzero(ink & ~m[1:-1, :-2])]
+    corner = np.concatenate([(y + dy) * w + x + dx for (y, x), (dy, dx) in zip(starts, ((0, 0), (0, 1), (1, 1), (1, 0)))])
+    way = np.repeat(np.arange(4), [len(y) for y, _ in starts])
+    step = np.full((4, (mask.shape[0] + 1) * w), -1)
+    step[way, corner] = np.arange(len(corner))
+    end = corner + np.array([1, w, -1, -w])[way]
+    follow = step[(way + 1) % 4, end]  # a turn to the right keeps to the same pixel
+    for turn in (0, 3):
+        follow = np.where(follow < 0, step[(way + turn) % 4, end], follow)
+    follow, out, done = follow.tolist(), [], bytearray(len(corner))
+    for start in np.argsort(corner, kind="stable").tolist():
+        path, at = [], start
+        while not done[at]:
+            done[at] = 1
+            path.append(at)
+            at = follow[at]
+        if path:
+            y, x = np.divmod(corner[path], w)
+            out.append(np.stack([x, y], 1).astype(float))
     return out
 
 
@@ -523,43 +522,47 @@ def polygon(path: np.ndarray, tolerance: float = 0.6) -> np.ndarray:
 
 def _adjusted(q: np.ndarray, keep: list[int]) -> np.ndarray:
     """Corners where the lines through the points of neighbouring sides meet, unless that is more than a pixel away."""
-    ends = [*keep[1:], len(q) - 1 + keep[0]]
-    lines = []
-    for a, b in zip(keep, ends):
-        side = q[np.arange(a, b + 1) % (len(q) - 1)]
-        centre = side.mean(0)
-        lines.append((centre, np.linalg.eigh((side - centre).T @ (side - centre))[1][:, 1]))
-    out = q[keep].copy()
-    for i in range(len(keep)):
-        (c, d), (e, f) = lines[i - 1], lines[i]
-        cross = d[0] * f[1] - d[1] * f[0]
-        if abs(cross) > 0.05:
-            t = ((e - c)[0] * f[1] - (e - c)[1] * f[0]) / cross
-            meet = c + t * d
-            if math.hypot(*(meet - out[i])) <= 1:
-                out[i] = meet
+    n = len(q) - 1
+    points = np.concatenate([q[:n], q[:n]])
+    sums = np.concatenate([np.zeros((1, 5)), np.cumsum(np.column_stack([points, points[:, 0] ** 2, points[:, 1] ** 2, points[:, 0] * points[:, 1]]), 0)])
+    first = np.array(keep)
+    last = np.append(first[1:], n + first[0]) + 1
+    count = (last - first).astype(float)
+    part = (sums[last] - sums[first]) / count[:, None]
+    centre = part[:, :2]
+    xx, yy, xy = part[:, 2] - centre[:, 0] ** 2, part[:, 3] - centre[:, 1] ** 2, part[:, 4] - centre[:, 0] * centre[:, 1]
+    angle = np.arctan2(2 * xy, xx - yy) / 2  # of the longer axis of a side's points
+    d = np.column_stack([np.cos(angle), np.sin(angle)])
+    c0, d0 = np.roll(centre, 1, 0), np.roll(d, 1, 0)
+    cross = d0[:, 0] * d[:, 1] - d0[:, 1] * d[:, 0]
+    away = centre - c0
+    steep = np.abs(cross) > 0.05
+    t = np.where(steep, away[:, 0] * d[:, 1] - away[:, 1] * d[:, 0], 0) / np.where(steep, cross, 1)
+    meet, out = c0 + t[:, None] * d0, q[keep].copy()
+    near = steep & (np.hypot(*(meet - out).T) <= 1)
+    out[near] = meet[near]
     return out
 
 
 def smooth(points: np.ndarray, alphamax: float = 1.0) -> list[tuple]:
     """Segments (kind, x1, y1, x2, y2, x, y) through the midpoints of a polygon's sides: at each corner a curve, or a
     sharp corner if the curve would have to come too near to it."""
-    n = len(points)
-    if n < 3:
+    if len(points) < 3:
         return []
-    mid = (points + np.roll(points, -1, 0)) / 2
-    out: list[tuple] = [("M", None, None, None, None, *mid[-1])]
-    for i in range(n):
-        a, b, v = mid[i - 1], mid[i], points[i]
-        chord = b - a
-        size = math.hypot(*chord)
-        height = abs(chord[0] * (v - a)[1] - chord[1] * (v - a)[0]) / size if size > 0 else 0.0
-        alpha = 4 / 3 * (height - 0.5) / height if height > 0.5 else 0.0  # the curve passes half a pixel from the corner
-        if alpha > alphamax:
-            out += [("L", None, None, None, None, *v), ("L", None, None, None, None, *b)]
+    b = (points + np.roll(points, -1, 0)) / 2
+    a = np.roll(b, 1, 0)
+    chord, rel = b - a, points - a
+    size = np.hypot(*chord.T)
+    height = np.abs(chord[:, 0] * rel[:, 1] - chord[:, 1] * rel[:, 0]) / np.where(size > 0, size, np.inf)
+    alpha = np.where(height > 0.5, 4 / 3 * (height - 0.5) / np.maximum(height, 0.5), 0.0)  # the curve passes half a pixel from the corner
+    t = np.clip(alpha, 0.55, 1.0)[:, None]
+    p, q = a + t * (points - a), b + t * (points - b)
+    out: list[tuple] = [("M", None, None, None, None, *a[0].tolist())]
+    for sharp, corner, c1, c2, e in zip((alpha > alphamax).tolist(), points.tolist(), p.tolist(), q.tolist(), b.tolist()):
+        if sharp:
+            out += [("L", None, None, None, None, *corner), ("L", None, None, None, None, *e)]
         else:
-            t = max(0.55, min(1.0, alpha))
-            out.append(("C", *(a + t * (v - a)), *(b + t * (v - b)), *b))
+            out.append(("C", *c1, *c2, *e))
     out.append(("Z", None, None, None, None, None, None))
     return out
 
@@ -590,33 +593,32 @@ def flatten(path: list[tuple], tolerance: float = 0.1) -> np.ndarray:
 
 def rasterise(paths: list[np.ndarray], w: int, h: int, ss: int = 4) -> np.ndarray:
     """Coverage of pixels under the nonzero rule: ss sample rows a pixel, exact along x."""
-    out = np.zeros((h, w + 1))
-    rows: dict[int, list[tuple[float, int]]] = {}
-    for p in paths:
-        for (x1, y1), (x2, y2) in zip(p, np.roll(p, -1, 0)):
-            if y1 == y2:
-                continue
-            turn, top, bottom = (1, y1, y2) if y2 > y1 else (-1, y2, y1)
-            for j in range(max(0, math.ceil(top * ss - 0.5)), min(h * ss, math.ceil(bottom * ss - 0.5))):
-                y = (j + 0.5) / ss
-                rows.setdefault(j, []).append((x1 + (y - y1) * (x2 - x1) / (y2 - y1), turn))
-    for j, hits in rows.items():
-        winding, start = 0, 0.0
-        for x, turn in sorted(hits):
-            if winding == 0:
-                start = x
-            winding += turn
-            if winding == 0 and x > start:
-                a, b = min(max(start, 0.0), w), min(max(x, 0.0), w)
-                i, k = int(a), int(b)
-                line = out[j // ss]
-                if i == k:
-                    line[i] += b - a
-                else:
-                    line[i] += i + 1 - a
-                    line[i + 1: k] += 1
-                    line[k] += b - k
-    return out[:, :w] / ss
+    paths = [p for p in paths if len(p)]
+    if not paths:
+        return np.zeros((h, w))
+    a, b = np.concatenate(paths), np.concatenate([np.roll(p, -1, 0) for p in paths])
+    slope = a[:, 1] != b[:, 1]
+    a, b = a[slope], b[slope]
+    falls = b[:, 1] > a[:, 1]
+    top, bottom = np.where(falls, a[:, 1], b[:, 1]), np.where(falls, b[:, 1], a[:, 1])
+    lo = np.clip(np.ceil(top * ss - 0.5), 0, h * ss).astype(int)
+    n = np.maximum(0, np.clip(np.ceil(bottom * ss - 0.5), 0, h * ss).astype(int) - lo)
+    edge = np.repeat(np.arange(len(n)), n)
+    row = lo[edge] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    y = (row + 0.5) / ss
+    x = a[edge, 0] + (y - a[edge, 1]) * (b[edge, 0] - a[edge, 0]) / (b[edge, 1] - a[edge, 1])
+    order = np.lexsort((x, row))
+    row, x, turn = row[order], x[order], np.where(falls, 1, -1)[edge[order]]
+    winding = np.cumsum(turn)  # ends at zero in each row, as paths are closed
+    before = winding - turn
+    start, stop = np.clip(x[before == 0], 0, w), np.clip(x[winding == 0], 0, w)
+    line = row[before == 0] // ss * (w + 1)
+    i, k = np.minimum(start.astype(int), w), np.minimum(stop.astype(int), w)
+    single = i == k
+    out = np.bincount(line + i, np.where(single, stop - start, i + 1 - start), h * (w + 1)) + np.bincount(line + k, np.where(single, 0, stop - k), h * (w + 1))
+    step = np.bincount((line + i)[~single] + 1, minlength=h * (w + 1) + 1) - np.bincount((line + k)[~single], minlength=h * (w + 1) + 1)
+    out += np.cumsum(step.reshape(-1)[:-1].reshape(h, w + 1), 1).ravel()
+    return np.minimum(out.reshape(h, w + 1)[:, :w] / ss, 1.0)
 
 
 def ssim(a: np.ndarray, b: np.ndarray) -> float:
@@ -632,21 +634,73 @@ def ssim(a: np.ndarray, b: np.ndarray) -> float:
     return float(((2 * mx * my + 6.5025) * (2 * cov + 58.5225) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225))).mean())
 
 
-def threshold(gray: np.ndarray) -> float:
-    """As operators.histogram.iso_threshold, as a level."""
-    hist = np.bincount(np.clip(np.floor(gray + 0.5), 0, 255).astype(int).ravel(), minlength=256).astype(float)
+def otsu(hist: np.ndarray) -> tuple[int, float]:
+    """(split, variance between its classes) of a histogram of levels; the middle of equally good splits, 128 without one."""
     v = np.arange(256)
     w0, s0 = np.cumsum(hist)[:-1], np.cumsum(hist * v)[:-1]
     w, s = hist.sum(), (hist * v).sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         between = np.nan_to_num(w0 / w * ((w - w0) / w) * (s0 / w0 - (s - s0) / (w - w0)) ** 2)
     best = np.flatnonzero(between == between.max()) + 1
-    t = (best[0] + best[-1] + 1) // 2 if between.max() > 0 else 128
+    return (int(best[0] + best[-1] + 1) // 2, float(between.max())) if between.max() > 0 else (128, 0.0)
 
-    def percentile(lo, hi, q):
-        part = hist[lo:hi]
-        return lo + int(np.searchsorted(np.cumsum(part), q * part.sum())) if part.sum() else None
 
-    ink, paper = percentile(0, t, 0.05), percentile(t, 256, 0.5)
-    level = (ink + paper) / 510 if ink is not None and paper is not None and paper - ink >= 24 else min(0.65, max(0.35, t / 255))
-    return 255 * min(0.98, max(0.02, level))
+def levels(gray: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(gray + 0.5), 0, 255).astype(int).ravel()
+
+
+def threshold(gray: np.ndarray, offset: float = 0.0, invert: bool = False) -> float:
+    """As operators.histogram.iso_threshold, as a level."""
+    hist = np.bincount(levels(gray), minlength=256).astype(float)
+    t, _ = otsu(hist)
+
+    def percentile(lo, hi, q, from_top=False):
+        part = hist[lo:hi][::-1] if from_top else hist[lo:hi]
+        if not part.sum():
+            return None
+        at = int(np.searchsorted(np.cumsum(part), q * part.sum()))
+        return hi - 1 - at if from_top else lo + at
+
+    ink, paper = (percentile(t, 256, 0.05, True), percentile(0, t, 0.5)) if invert else (percentile(0, t, 0.05), percentile(t, 256, 0.5))
+    level = (ink + paper) / 510 if ink is not None and paper is not None and abs(paper - ink) >= 24 else min(0.65, max(0.35, t / 255))
+    return 255 * min(0.98, max(0.02, level + offset))
+
+
+def flatten_all(paths: list[list[tuple]], tolerance: float = 0.1) -> list[np.ndarray]:
+    """The points of closed paths' curves, all at once, no farther from the curves than tolerance."""
+    rows, owner, at = [], [], (0.0, 0.0)
+    for i, path in enumerate(paths):
+        for kind, x1, y1, x2, y2, x, y in path:
+            if kind == "Z":
+                continue
+            if kind in "ML":
+                rows.append((*at, x, y, x, y, x, y, 0.0))
+            elif kind == "C":
+                rows.append((*at, x1, y1, x2, y2, x, y, 1.0))
+            else:
+                rows.append((*at, at[0] + 2 / 3 * (x1 - at[0]), at[1] + 2 / 3 * (y1 - at[1]), x + 2 / 3 * (x1 - x), y + 2 / 3 * (y1 - y), x, y, 1.0))
+            owner.append(i)
+            at = (x, y)
+    if not rows:
+        return []
+    s, owner = np.array(rows, float), np.array(owner)
+    p = s[:, :8].reshape(-1, 4, 2)
+    bend = np.abs(p[:, :2] - 2 * p[:, 1:3] + p[:, 2:]).max((1, 2))
+    n = np.where(s[:, 8] > 0, np.maximum(1, np.ceil(np.sqrt(0.75 * bend * math.sqrt(2) / tolerance))), 1).astype(int)
+    seg = np.repeat(np.arange(len(n)), n)
+    t = ((np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1) / n[seg])[:, None]
+    q = p[seg]
+    points = (1 - t) ** 3 * q[:, 0] + 3 * (1 - t) ** 2 * t * q[:, 1] + 3 * (1 - t) * t * t * q[:, 2] + t**3 * q[:, 3]
+    straight = s[seg, 8] == 0
+    points[straight] = q[straight, 3]
+    return np.split(points, np.flatnonzero(np.diff(owner[seg])) + 1)
+
+
+def ink_box(gray: np.ndarray, background: float, tolerance: float = 24.0, grow: float = 0.05) -> tuple[slice, slice]:
+    """Rows and columns of the levels off the background, grown by a share of the longer side; all of them if there are none."""
+    y, x = np.nonzero(np.abs(gray - background) > tolerance)
+    h, w = gray.shape
+    if not len(y):
+        return slice(0, h), slice(0, w)
+    pad = math.floor(grow * max(h, w) + 0.5)
+    return slice(max(0, int(y.min()) - pad), min(h, int(y.max()) + 1 + pad)), slice(max(0, int(x.min()) - pad), min(w, int(x.max()) + 1 + pad))

@@ -72,24 +72,25 @@ def sniffed_kinds(spark, sf_dir):
 # Rules and search
 
 FACTS_SQL = """f AS (SELECT user_id AS image_id, CAST(count(*) AS INTEGER) AS n, CAST(min(event_id) % 9 AS INTEGER) AS grid, round(avg(value) / 100, 3) AS share, CAST(max(event_id) % 40 AS INTEGER) AS colours, min(event_id) % 2 = 0 AS bimodal FROM events GROUP BY user_id),
-g AS (SELECT image_id, 100 + n * 9 AS width, 60 + n * 9 AS height, CASE WHEN grid < 7 THEN 1 ELSE grid END AS grid, share * 1.2e0 AS hard_edges, share / 6 AS transparent, CASE WHEN colours < 33 THEN colours END AS colours, share / 3 AS off_palette, bimodal, share AS thin, 1 - share / 4 AS explained, share / 5 AS gradient_share, share AS edge_share, n * 12 AS regions FROM f)"""
+g AS (SELECT image_id, (100 + n * 9) * CASE WHEN image_id % 16 = 0 THEN 100 ELSE 1 END AS width, (60 + n * 9) * CASE WHEN image_id % 16 = 0 THEN 100 ELSE 1 END AS height, CASE WHEN grid < 7 THEN 1 ELSE grid END AS grid, share * 1.2e0 AS hard_edges, share / 6 AS transparent, CASE WHEN colours < 33 THEN colours END AS colours, share / 3 AS off_palette, bimodal, share AS thin, 1 - share / 4 AS explained, share / 5 AS gradient_share, share AS edge_share, n * 12 AS regions, share * 0.8e0 AS two_tone_off FROM f)"""
 
 
 def made_up_facts(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     f = e.groupBy(F.col("user_id").alias("image_id")).agg(F.count("*").cast("int").alias("n"), (F.min("event_id") % 9).cast("int").alias("grid"), F.round(F.avg("value") / 100, 3).alias("share"), (F.max("event_id") % 40).cast("int").alias("c"), (F.min("event_id") % 2 == 0).alias("bimodal"))
     s = F.col("share")
-    return f.select("image_id", (100 + F.col("n") * 9).alias("width"), (60 + F.col("n") * 9).alias("height"), F.when(F.col("grid") < 7, 1).otherwise(F.col("grid")).alias("grid"), (s * 1.2).alias("hard_edges"), (s / 6).alias("transparent"), F.when(F.col("c") < 33, F.col("c")).alias("colours"), (s / 3).alias("off_palette"), "bimodal", s.alias("thin"), (1 - s / 4).alias("explained"), (s / 5).alias("gradient_share"), s.alias("edge_share"), (F.col("n") * 12).alias("regions"))
+    scale = F.when(F.col("image_id") % 16 == 0, 100).otherwise(1)
+    return f.select("image_id", ((100 + F.col("n") * 9) * scale).alias("width"), ((60 + F.col("n") * 9) * scale).alias("height"), (s * 0.8).alias("two_tone_off"), F.when(F.col("grid") < 7, 1).otherwise(F.col("grid")).alias("grid"), (s * 1.2).alias("hard_edges"), (s / 6).alias("transparent"), F.when(F.col("c") < 33, F.col("c")).alias("colours"), (s / 3).alias("off_palette"), "bimodal", s.alias("thin"), (1 - s / 4).alias("explained"), (s / 5).alias("gradient_share"), s.alias("edge_share"), (F.col("n") * 12).alias("regions"))
 
 
 FLAT_SQL = "(colours IS NOT NULL AND off_palette * (1 - transparent) <= 0.15e0)"
 
 
-@query(f"""WITH {FACTS_SQL}, d AS (SELECT image_id, thin, width, height, CASE WHEN grid >= 2 THEN 'grid' WHEN hard_edges > 0.9e0 AND least(width, height) <= 128 AND width * height <= 1000000 THEN 'hard edges'
-  WHEN colours <= CASE WHEN transparent > 0.05e0 THEN 1 ELSE 2 END AND off_palette <= 0.5e0 THEN 'few colours' WHEN transparent <= 0.05e0 AND colours IS NULL AND bimodal THEN 'two tones'
+@query(f"""WITH {FACTS_SQL}, d AS (SELECT image_id, thin, width, height, CASE WHEN grid >= 2 THEN 'grid' WHEN hard_edges > 0.9e0 AND least(width, height) <= 128 AND CAST(width AS BIGINT) * height <= 1000000 THEN 'hard edges'
+  WHEN colours <= CASE WHEN transparent > 0.05e0 THEN 1 ELSE 2 END AND off_palette <= 0.5e0 THEN 'few colours' WHEN transparent <= 0.05e0 AND colours IS NULL AND bimodal AND two_tone_off <= 0.5e0 THEN 'two tones'
   WHEN edge_share <= 0.6e0 AND regions <= 400 AND explained >= 0.85e0 AND (NOT {FLAT_SQL} OR gradient_share >= 0.05e0) THEN 'gradients' WHEN {FLAT_SQL} THEN 'flat palette' ELSE 'photo' END AS reason FROM g),
 e AS (SELECT *, CASE reason WHEN 'grid' THEN 'pixel' WHEN 'hard edges' THEN 'pixel' WHEN 'few colours' THEN 'lines' WHEN 'two tones' THEN 'lines' WHEN 'gradients' THEN 'gradient' ELSE 'flat' END AS mode FROM d)
-SELECT image_id, mode, reason, CASE WHEN reason = 'photo' THEN 16 END AS photo_colours, concat_ws(',', CASE WHEN mode = 'lines' AND thin > 0.5e0 THEN 'thin-strokes' END, CASE WHEN reason = 'photo' THEN 'photo' END, CASE WHEN mode = 'pixel' AND width * height > 1000000 THEN 'large-pixel-art' END, CASE WHEN least(width, height) < 64 THEN 'low-resolution' END) AS codes FROM e""")
+SELECT image_id, mode, reason, CASE WHEN reason = 'photo' THEN 16 END AS photo_colours, concat_ws(',', CASE WHEN mode = 'lines' AND thin > 0.5e0 THEN 'thin-strokes' END, CASE WHEN reason = 'photo' THEN 'photo' END, CASE WHEN CAST(width AS BIGINT) * height > 16000000 THEN 'large-input' END) AS codes FROM e""")
 def classify_rules(spark, sf_dir):
     return rules.warnings(rules.decide_mode(made_up_facts(spark, sf_dir))).select("image_id", "mode", "reason", "photo_colours", F.array_join("warnings", ",").alias("codes"))
 
@@ -251,6 +252,17 @@ def merged_rects(spark, sf_dir):
     return trace.merge_rects(tables.colour(spark, sf_dir)).groupBy("image_id").agg(F.count("*").alias("rects"), F.sum(F.col("w") * F.col("h")).alias("area"))
 
 
+@query()
+def exact_palettes(spark, sf_dir):
+    return trace.exact_palettes(tables.colour(spark, sf_dir).withColumn("a", F.lit(255)).withColumns({c: (F.floor(F.col(c) / 64) * 64).cast("int") for c in "rgb"}), 64)
+
+
+@query()
+def trace_auto(spark, sf_dir):
+    """Every image in the mode that its facts ask for."""
+    return trace.trace_auto(tables.colour(spark, sf_dir))
+
+
 @query()
 def image_palettes(spark, sf_dir):
     return trace.palettes(tables.colour(spark, sf_dir), 6)

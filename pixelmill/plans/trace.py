@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..operators import kernels as k
+from ..operators import palette as pal
 from ..sources.svg import format_number, serialise_path
 
 LARGEST_AREA = 16e6
@@ -20,7 +21,7 @@ LARGEST_AREA = 16e6
 
 def dense(pdf: pd.DataFrame, columns: list[str], fill: float = 0) -> np.ndarray:
     """Array (height, width, columns) of an image's rows; places without a row get fill."""
-    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+    y, x = pdf["y"].to_numpy(int), pdf["x"].to_numpy(int)
     out = np.full((int(y.max()) + 1, int(x.max()) + 1, len(columns)), float(fill))
     out[y, x] = pdf[columns].to_numpy(float)
     return out
@@ -78,14 +79,14 @@ STOPS = "array<struct<offset:double,r:double,g:double,b:double>>"
 MODEL = f"region int, kind string, r double, g double, b double, x1 double, y1 double, x2 double, y2 double, cx double, cy double, radius double, stops {STOPS}, rmse double, rmse_flat double, complex boolean, pixels long"
 
 
-def _models(a: np.ndarray, regions: np.ndarray, core: np.ndarray, sigma: float) -> dict[int, dict]:
+def _models(a: np.ndarray, regions: np.ndarray, core: np.ndarray, sigma: float, stops: int = 8) -> dict[int, dict]:
     out = {}
     order = np.argsort(regions, axis=None, kind="stable")
     ids, first = np.unique(regions.ravel()[order], return_index=True)
     for region, at in zip(ids, np.split(order, first[1:])):
         inner = at[core.ravel()[at]]
         ys, xs = np.divmod(inner if len(inner) else at, regions.shape[1])
-        out[int(region)] = k.fit_region(a, ys, xs, sigma) | {"pixels": len(at)}
+        out[int(region)] = k.fit_region(a, ys, xs, sigma, stops) | {"pixels": len(at)}
     return out
 
 
@@ -121,15 +122,37 @@ def palettes(pixels: DataFrame, colours: int = 8, rounds: int = 10) -> DataFrame
     """Palette of each image: median cut, then k-means."""
 
     def kernel(_, a):
-        found = _palette(a, colours, rounds)
+        found = _palette(_rgba(a), colours, rounds)
         return pd.DataFrame(found.astype(np.int32), columns=list("rgb")).assign(label=np.arange(len(found), dtype=np.int32))[["label", "r", "g", "b"]]
 
     return by_image(pixels, list("rgb"), kernel, "label int, r int, g int, b int")
 
 
+def exact_palettes(pixels: DataFrame, most: int = pal.MOST) -> DataFrame:
+    """The real colours of each image of flat colours with their pixels; no rows for an image that has more than `most`."""
+
+    def kernel(_, a):
+        found = pal.exact(a, most)
+        colours, n = found if found is not None else (np.zeros((0, 3)), np.zeros(0))
+        out = pd.DataFrame(colours.astype(np.int32), columns=list("rgb"))
+        return out.assign(label=np.arange(len(out), dtype=np.int32), n=n.astype(np.int64))[["label", "r", "g", "b", "n"]]
+
+    return by_image(pixels, list("rgba"), kernel, "label int, r int, g int, b int, n long")
+
+
+def _rgba(a: np.ndarray) -> np.ndarray:
+    """Four channels of levels, colours or pixels."""
+    if a.shape[2] == 4:
+        return a
+    rgb = np.repeat(a, 3, 2) if a.shape[2] == 1 else a
+    return np.concatenate([rgb, np.full((*a.shape[:2], 1), 255.0)], -1)
+
+
 def _palette(a: np.ndarray, colours: int, rounds: int = 10, least: float = 20.0) -> np.ndarray:
     """Colours that are nearer to one another than least are merged, those of most pixels first."""
-    seen, counts = np.unique(a[..., :3].reshape(-1, 3), axis=0, return_counts=True)
+    seen, counts = np.unique(a[pal.opaque(a)][:, :3], axis=0, return_counts=True)
+    if not len(seen):
+        return np.zeros((0, 3))
     found = k.kmeans(seen, counts, k.median_cut(seen, counts, colours), rounds)
     n = np.bincount(k.nearest(seen, found), counts, len(found))
     kept: list[np.ndarray] = []
@@ -142,8 +165,12 @@ def _palette(a: np.ndarray, colours: int, rounds: int = 10, least: float = 20.0)
 # Tracing
 
 
+def _largest(h: int, w: int) -> int:
+    return max(1, int(math.sqrt(LARGEST_AREA / (w * h))))
+
+
 def _upscale(h: int, w: int) -> int:
-    most = max(1, int(math.sqrt(LARGEST_AREA / (w * h))))
+    most = _largest(h, w)
     side = min(w, h)
     return min(most, 4 if side <= 512 else 2 if side <= 1024 else most)
 
@@ -174,83 +201,191 @@ def _stats(layers: list[list[list[tuple]]]) -> dict:
     return {"layers": len(layers), "paths": kinds.count("M"), "nodes": corners + curves, "corner_share": corners / (corners + curves) if corners + curves else 0.0}
 
 
-def _lines(gray: np.ndarray, u: int, blur_k: float, alphamax: float, turdsize: float, opttolerance: float, invert: bool = False):
-    """(mask at the image's size, outline at u times it)."""
-    level = k.threshold(gray)
-    up = k.blur(k.enlarge(gray, u), blur_k * u)
-    mask = (up >= level) if invert else (up < level)
-    return (gray >= level) if invert else (gray < level), _outline(mask, alphamax, turdsize * u * u, 0.4 + opttolerance)
+def _coverage(paths: list[list[tuple]], w: int, h: int, u: int) -> np.ndarray:
+    return k.rasterise([p / u for p in k.flatten_all(paths)], w, h, min(64, 4 * u))
 
 
-def _coverage(paths: list[list[tuple]], w: int, h: int, u: int) -> np.ndarray:
-    return k.rasterise([k.flatten(p) / u for p in paths], w, h, min(64, 4 * u))
+LUMA = [0.299, 0.587, 0.114]
 
 
-def _scores(original: np.ndarray, drawn: np.ndarray, overlap: float, stats: dict, edge: float) -> dict:
-    similar = k.ssim(k.blur(original, 0.8), k.blur(drawn, 0.8))
-    fidelity = 0.6 * similar + 0.4 * overlap
-    score = fidelity - 0.15 * stats["corner_share"] - 0.1 * min(1.0, stats["nodes"] / (2 * edge) if edge > 0 else 1.0)
-    return {"ssim": similar, "iou": overlap, "fidelity": fidelity, "score": score}
+def compare(original: np.ndarray, drawn: np.ndarray, ground: tuple[int, ...], level: float | None = None) -> dict:
+    """Similarity of two images on a colour, within the box of what isn't that colour: structural similarity after a
+    slight blur, and the overlap of the ink below a level or, without one, the share of pixels within 16 levels."""
+    a, b = pal.composite(original, ground)[..., :3], pal.composite(drawn, ground)[..., :3]
+    ga, gb = a @ LUMA, b @ LUMA
+    box = k.ink_box(ga, float(np.dot(LUMA, ground)))
+    similar = k.ssim(k.blur(ga, 0.8)[box], k.blur(gb, 0.8)[box])
+    if level is None:
+        overlap = float((np.abs(a - b).max(-1) <= 16)[box].mean())
+    else:
+        ink, own = (ga < level)[box], (gb < level)[box]
+        any_ink = (ink | own).sum()
+        overlap = float((ink & own).sum() / any_ink) if any_ink else 1.0
+    return {"ssim": similar, "iou": overlap, "fidelity": min(1.0, max(0.0, 0.6 * similar + 0.4 * overlap))}
+
+
+def _scores(found: dict, stats: dict, edge: float) -> dict:
+    return found | {"score": found["fidelity"] - 0.15 * stats["corner_share"] - 0.1 * min(1.0, stats["nodes"] / max(1.0, 2 * edge))}
 
 
 def _perimeter(mask: np.ndarray) -> float:
     return float(((mask[:, 1:] != mask[:, :-1]).sum() + (mask[1:] != mask[:-1]).sum()) * math.pi / 4)
 
 
-TRACED = "mode string, svg string, layers int, paths int, nodes int, corner_share double, ssim double, iou double, fidelity double, score double"
+TRACED = "mode string, svg string, layers int, paths int, nodes int, corner_share double, ssim double, iou double, fidelity double, score double, warnings array<string>"
+
+# Pixels of the image after enlargement, of rectangles before a warning, and of strokes that count as thin.
+LARGE, MANY_RECTS, THIN = 16e6, 10_000, 0.5
+
+
+def _row(mode: str, svg: str, stats: dict, scores: dict, warnings: list[str]) -> pd.DataFrame:
+    return pd.DataFrame([{"mode": mode, "svg": svg, **stats, **scores, "warnings": list(dict.fromkeys(warnings))}])
+
+
+def _size_warnings(h: int, w: int, u: int, wanted: int | None) -> list[str]:
+    return ["upscale-capped"] * (wanted is not None and wanted > u) + ["large-input"] * (h * w > LARGE)
+
+
+class _Canvas:
+    """Colours laid over one another, transparent at first."""
+
+    def __init__(self, h: int, w: int):
+        self.colour, self.alpha = np.zeros((h, w, 3)), np.zeros((h, w))
+
+    def lay(self, cover: np.ndarray, colour: np.ndarray, box: tuple = (slice(None), slice(None))) -> None:
+        c = cover[..., None]
+        self.colour[box] = self.colour[box] * (1 - c) + colour * c
+        self.alpha[box] = self.alpha[box] * (1 - cover) + cover
+
+    def image(self) -> np.ndarray:
+        rgb = self.colour / np.maximum(self.alpha, 1e-9)[..., None]
+        return np.concatenate([np.floor(np.clip(rgb, 0, 255) + 0.5), np.floor(255 * self.alpha + 0.5)[..., None]], -1)
+
+
+def _paper(a: np.ndarray) -> tuple[int, ...]:
+    """What an image is compared on: its background, or white where that is transparent."""
+    return pal.ground_of(a) or (255, 255, 255)
+
+
+def _thin(mask: np.ndarray) -> float:
+    m = np.pad(mask, 1)
+    core = mask & m[:-2, 1:-1] & m[2:, 1:-1] & m[1:-1, :-2] & m[1:-1, 2:]
+    return float(1 - core.sum() / mask.sum()) if mask.any() else 0.0
+
 
+class _Lines:
+    """One image's ink at each enlargement and blur; candidates that share them share the work."""
 
-def _row(mode: str, svg: str, stats: dict, scores: dict) -> pd.DataFrame:
-    return pd.DataFrame([{"mode": mode, "svg": svg, **stats, **scores}])
+    def __init__(self, a: np.ndarray, offset: float = 0.0, invert: bool = False):
+        self.a, self.invert, self.found = _rgba(a), invert, {}
+        ground = pal.ground_of(self.a)
+        self.masked = ground is None
+        self.paper = ground or pal.border_colour(self.a) or (255, 255, 255)
+        on_paper = pal.composite(self.a, self.paper)[..., :3] @ LUMA
+        self.luma = on_paper
+        if self.masked:  # the ink is what is opaque
+            self.gray, self.level, self.above = self.a[..., 3], 255 * min(0.98, max(0.02, 0.5 + offset)), not invert
+            self.fill = pal.dominant_ink(self.a, None)
+        else:
+            self.gray, self.level, self.above = on_paper, k.threshold(on_paper, offset, invert), invert
+            self.fill = pal.dominant_ink(self.a, self.paper)
 
+    def ink(self, gray: np.ndarray) -> np.ndarray:
+        return gray >= self.level if self.above else gray < self.level
 
-def _one_line_image(a: np.ndarray, blur_k: float, alphamax: float, turdsize: float, opttolerance: float, u: int | None = None) -> pd.DataFrame:
-    gray = a[..., :3] @ [0.299, 0.587, 0.114] if a.shape[2] >= 3 else a[..., 0]
-    h, w = gray.shape
-    u = u or _upscale(h, w)
-    mask, paths = _lines(gray, u, blur_k, alphamax, turdsize, opttolerance)
-    cover = _coverage(paths, w, h, u)
-    ink, paper = (np.median(gray[mask]) if mask.any() else 0.0), (np.median(gray[~mask]) if (~mask).any() else 255.0)
-    any_ink = np.maximum(cover, mask).sum()
-    overlap = float(np.minimum(cover, mask).sum() / any_ink) if any_ink else 1.0
-    stats = _stats([paths])
-    svg = _document([("#000000", "".join(map(serialise_path, paths)))], w, h, u)
-    return _row("lines", svg, stats, _scores(gray, cover * ink + (1 - cover) * paper, overlap, stats, _perimeter(mask)))
+    def mask(self, u: int, blur_k: float) -> np.ndarray:
+        if (u, blur_k) not in self.found:
+            self.found[u, blur_k] = self.ink(k.blur(k.enlarge(self.gray, u), blur_k * u))
+        return self.found[u, blur_k]
 
+    def empty(self, mask: np.ndarray, paths: list) -> list[str]:
+        """A warning if nothing was drawn though there is something to see."""
+        if mask.any():
+            return [] if paths else ["empty-trace"]
+        blank = np.ptp(self.luma) == 0 and np.ptp(self.a[..., 3]) == 0
+        return [] if blank else ["empty-trace"]
 
-def trace_lines(raster: DataFrame, blur_k: float = 0.35, alphamax: float = 1.0, turdsize: float = 2, opttolerance: float = 0.2) -> DataFrame:
-    """One dark ink on light paper, from levels (v) or pixels (r, g, b)."""
-    columns = ["v"] if "v" in raster.columns else list("rgb")
-    return by_image(raster, columns, lambda _, a: _one_line_image(a, blur_k, alphamax, turdsize, opttolerance), TRACED)
+    def trace(self, blur_k: float, alphamax: float, turdsize: float, opttolerance: float, wanted: int | None = None) -> pd.DataFrame:
+        h, w = self.gray.shape
+        u = min(wanted, _largest(h, w)) if wanted else _upscale(h, w)
+        mask = self.mask(u, blur_k)
+        paths = _outline(mask, alphamax, turdsize * u * u, 0.4 + opttolerance)
+        canvas, own = _Canvas(h, w), self.ink(self.gray)
+        if not self.masked:
+            canvas.lay(np.ones((h, w)), np.array(self.paper, float))
+        canvas.lay(_coverage(paths, w, h, u), np.array(self.fill, float))
+        paper = self.paper if not self.masked else (0, 0, 0) if np.dot(LUMA, self.fill) > 127 else (255, 255, 255)
+        stats = _stats([paths] if paths else [])
+        scores = compare(self.a, canvas.image(), paper, None if self.masked or self.invert else self.level)
+        svg = _document([(_hex(np.array(self.fill, float)), "".join(map(serialise_path, paths)))], w, h, u)
+        warnings = _size_warnings(h, w, u, wanted) + ["thin-strokes"] * (_thin(own) > THIN) + self.empty(mask, paths)
+        return _row("lines", svg, stats, _scores(scores, stats, _perimeter(own)), warnings)
 
 
-def _flat_image(a: np.ndarray, colours: int, blur_k: float, alphamax: float, turdsize: float, opttolerance: float) -> pd.DataFrame:
+def trace_lines(raster: DataFrame, blur_k: float = 0.35, alphamax: float = 1.0, turdsize: float = 2, opttolerance: float = 0.2, threshold_offset: float = 0.0, invert: bool = False) -> DataFrame:
+    """One ink, from levels (v) or pixels (r, g, b and perhaps a): dark on light paper, or the opaque part of a
+    transparent image; invert: light on dark."""
+    columns = ["v"] if "v" in raster.columns else [c for c in "rgba" if c in raster.columns]
+    return by_image(raster, columns, lambda _, a: _Lines(a, threshold_offset, invert).trace(blur_k, alphamax, turdsize, opttolerance), TRACED)
+
+
+def _enlarged(a: np.ndarray, u: int, sigma: float, transparent: bool) -> np.ndarray:
+    """The image u times as large and blurred; colours of transparent pixels don't reach opaque ones."""
+    alpha = a[..., 3:] / 255
+    rgb = a[..., :3] * alpha if transparent else a[..., :3]
+    up = np.stack([k.blur(k.enlarge(v, u), sigma) for v in (*np.moveaxis(rgb, -1, 0), a[..., 3])], -1)
+    if transparent:
+        up[..., :3] = np.clip(up[..., :3] * 255 / np.maximum(up[..., 3:], 1e-9), 0, 255)
+    return up
+
+
+def _flat_image(a: np.ndarray, colours: int | None, blur_k: float, alphamax: float, turdsize: float, opttolerance: float, layering: str = "stacked", warnings: tuple[str, ...] = ()) -> pd.DataFrame:
+    """colours: null for the exact palette, or 16 where there is none."""
+    a = _rgba(a)
     h, w = a.shape[:2]
     u = _upscale(h, w)
-    palette = _palette(a, colours)
-    up = np.stack([k.blur(k.enlarge(a[..., c], u), blur_k * u) for c in range(3)], -1)
-    labels = k.nearest(up, palette)
-    n = np.bincount(labels.ravel(), minlength=len(palette))
-    order = [j for j in np.lexsort((np.arange(len(n)), -n)) if n[j]]
-    rank = np.zeros(len(palette), int)
-    rank[order] = np.arange(len(order))
-    ranks = rank[labels]
-    layers = [_outline(ranks >= j, alphamax, turdsize * u * u, 0.4 + opttolerance) for j in range(len(order))]
-    drawn = np.zeros((h, w, 3))
-    for j, paths in zip(order, layers):
-        c = _coverage(paths, w, h, u)[..., None]
-        drawn = drawn * (1 - c) + palette[j] * c
-    same = float((np.abs(drawn - a[..., :3]).max(-1) <= 16).mean())
+    ground = pal.ground_of(a)
+    base = a if ground is None else pal.composite(a, ground)
+    exact = pal.exact(base) if colours is None else None
+    palette = exact[0] if exact is not None else _palette(base, colours or 16)
+    layers, fills, canvas = [], [], _Canvas(h, w)
+    if len(palette):
+        up = _enlarged(base, u, blur_k * u, ground is None)
+        seen = up[..., 3] >= 127.5 if ground is None else np.ones(up.shape[:2], bool)
+        labels = np.where(seen, k.nearest(up[..., :3], palette), -1)
+        n = np.bincount(labels[seen], minlength=len(palette))
+        order = [j for j in np.lexsort((np.arange(len(n)), -n)) if n[j]]
+        rank = np.full(len(palette) + 1, -1)
+        rank[order] = np.arange(len(order))
+        ranks = rank[labels]
+        for j, label in enumerate(order):
+            mask = _grown(ranks == j) & seen if layering == "cutout" else ranks >= j
+            paths = _outline(mask, alphamax, turdsize * u * u, 0.4 + opttolerance)
+            if paths:
+                layers.append(paths)
+                fills.append(palette[label])
+                canvas.lay(_coverage(paths, w, h, u), palette[label])
     stats = _stats(layers)
-    svg = _document([(_hex(palette[j]), "".join(map(serialise_path, p))) for j, p in zip(order, layers)], w, h, u)
-    luma = [0.299, 0.587, 0.114]
-    own = k.nearest(a[..., :3], palette)
-    return _row("flat", svg, stats, _scores(a[..., :3] @ luma, drawn @ luma, same, stats, _perimeter(own)))
+    svg = _document([(_hex(c), "".join(map(serialise_path, p))) for c, p in zip(fills, layers)], w, h, u)
+    own = np.where(pal.opaque(base), k.nearest(base[..., :3], palette), -1) if len(palette) else np.zeros((h, w), int)
+    scores = _scores(compare(a, canvas.image(), _paper(a)), stats, _perimeter(own))
+    return _row("flat", svg, stats, scores, [*_size_warnings(h, w, u, None), *warnings, *["empty-trace"] * bool(len(palette) and not layers)])
+
+
+def _grown(mask: np.ndarray) -> np.ndarray:
+    """A mask with its four neighbours."""
+    out = mask.copy()
+    out[1:] |= mask[:-1]
+    out[:-1] |= mask[1:]
+    out[:, 1:] |= mask[:, :-1]
+    out[:, :-1] |= mask[:, 1:]
+    return out
 
 
-def trace_flat(pixels: DataFrame, colours: int = 8, blur_k: float = 0.35, alphamax: float = 1.0, turdsize: float = 2, opttolerance: float = 0.2) -> DataFrame:
-    """Flat colours, stacked from the largest."""
-    return by_image(pixels, list("rgb"), lambda _, a: _flat_image(a, colours, blur_k, alphamax, turdsize, opttolerance), TRACED)
+def trace_flat(pixels: DataFrame, colours: int | None = 8, blur_k: float = 0.35, alphamax: float = 1.0, turdsize: float = 2, opttolerance: float = 0.2, layering: str = "stacked") -> DataFrame:
+    """Flat colours, stacked from the largest or cut out; transparent pixels stay so."""
+    columns = [c for c in "rgba" if c in pixels.columns]
+    return by_image(pixels, columns, lambda _, a: _flat_image(a, colours, blur_k, alphamax, turdsize, opttolerance, layering), TRACED)
 
 
 def _gradient_element(name: str, m: dict, u: int) -> str:
@@ -274,42 +409,94 @@ def fill_colours(m: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.stack([np.interp(np.clip(t, 0, 1), s[:, 0], s[:, c]) for c in (1, 2, 3)], -1)
 
 
+# Largest share of edges, of regions before and of complex area, and how far a deep pixel may be off.
+MOST_EDGES, MOST_REGIONS, MOST_COMPLEX, FOREIGN, FOREIGN_DEPTH = 0.6, 2000, 0.5, 2.0, 2
+
+
 def _gradient_image(a: np.ndarray, detail: float, alphamax: float, turdsize: float, opttolerance: float) -> pd.DataFrame:
+    a = _rgba(a)
     h, w = a.shape[:2]
-    regions, core, share = k.segment(a, detail)
-    if share > 0.6 or regions.max() >= 2000:
-        return _flat_image(a, 16, 0.35, alphamax, turdsize, opttolerance)
-    regions = k.split_regions(a, k.merge_regions(a, regions), k.noise(a))
-    models = _models(a, regions, core, k.noise(a))
+    ground = pal.ground_of(a)
+    base = a if ground is None else pal.composite(a, ground)
+    seen = pal.opaque(base)
+    rgb = _filled(base)
+    flat = lambda: _flat_image(a, 16, 0.35, alphamax, turdsize, opttolerance, warnings=("gradient-fallback",))
+    if not seen.any():
+        return flat()
+    regions, core, share = k.segment(rgb, detail)
+    if share > MOST_EDGES or regions.max() >= MOST_REGIONS:
+        return flat()
+    sigma = k.noise(rgb)
+    regions = k.merge_regions(rgb, regions)
+    models = _models(rgb, regions, core & seen, sigma)
+    if sum(m["pixels"] for m in models.values() if m["complex"]) > MOST_COMPLEX * h * w:
+        return flat()
+    regions = k.split_regions(rgb, regions, sigma)
+    models = _models(rgb, regions, core & seen, sigma)
     u = 2 if max(h, w) * 2 <= 4096 else 1
     y, x = np.mgrid[:h, :w] + 0.5
-    drawn, layers, out, defs = np.zeros((h, w, 3)), [], [], []
-    for j, region in enumerate(k.region_order(regions)):
+    cut = k.enlarge(a[..., 3], u) >= 127.5 if ground is None else None
+    canvas, layers, out, defs = _Canvas(h, w), [], [], []
+    order = [r for r in k.region_order(regions) if seen[regions == r].any()]
+    for j, region in enumerate(order):
         m = models[region]
         mask = regions == region
-        grown = mask.copy()  # under its later neighbours, so that no gap shows
-        if j < len(models) - 1:
-            grown[1:] |= mask[:-1]
-            grown[:-1] |= mask[1:]
-            grown[:, 1:] |= mask[:, :-1]
-            grown[:, :-1] |= mask[:, 1:]
-        paths = _outline(k.enlarge(grown.astype(float), u) >= 0.5, alphamax, turdsize * u * u, 0.4 + opttolerance)
-        cover = _coverage(paths, w, h, u)[..., None]
-        drawn = drawn * (1 - cover) + fill_colours(m, x, y) * cover
+        grown = _grown(mask) if j < len(order) - 1 else mask  # under its later neighbours, so that no gap shows
+        box = _box_of(grown, 4)  # beyond the reach of the enlargement
+        part = grown[box]
+        large = k.enlarge(part.astype(float), u) >= 0.5
+        if cut is not None:
+            large &= cut[box[0].start * u: box[0].stop * u, box[1].start * u: box[1].stop * u]
+        whole = part.shape == mask.shape
+        paths = _outline(large, alphamax, turdsize * u * u, 0.4 + opttolerance) if whole else _moved(k.trace(large, alphamax, turdsize * u * u, 0.4 + opttolerance), box[1].start * u, box[0].start * u)
+        if not paths:
+            continue
+        own = _moved(paths, -box[1].start * u, -box[0].start * u)
+        canvas.lay(_coverage(own, part.shape[1], part.shape[0], u), fill_colours(m, x[box], y[box]), box)
         layers.append(paths)
         fill = _hex(m["color"])
         if "stops" in m:
             defs.append(_gradient_element(f"g{j}", m, u))
             fill = f"url(#g{j})"
         out.append((fill, "".join(map(serialise_path, paths))))
-    same = float((np.abs(drawn - a[..., :3]).max(-1) <= 16).mean())
-    stats, luma = _stats(layers), [0.299, 0.587, 0.114]
-    return _row("gradient", _document(out, w, h, u, defs), stats, _scores(a[..., :3] @ luma, drawn @ luma, same, stats, _perimeter(regions)))
+    stats = _stats(layers)
+    scores = _scores(compare(a, canvas.image(), _paper(a)), stats, _perimeter(np.where(seen, regions, -1)))
+    return _row("gradient", _document(out, w, h, u, defs), stats, scores, [*_size_warnings(h, w, u, None), *["empty-trace"] * (not layers)])
+
+
+def _box_of(mask: np.ndarray, margin: int) -> tuple[slice, slice]:
+    """Rows and columns of the ink, and a margin around them."""
+    h, w = mask.shape
+    y, x = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    return slice(max(0, int(y[0]) - margin), min(h, int(y[-1]) + 1 + margin)), slice(max(0, int(x[0]) - margin), min(w, int(x[-1]) + 1 + margin))
+
+
+def _moved(paths: list[list[tuple]], dx: float, dy: float) -> list[list[tuple]]:
+    add = lambda v, d: None if v is None else v + d
+    return [[(s[0], add(s[1], dx), add(s[2], dy), add(s[3], dx), add(s[4], dy), add(s[5], dx), add(s[6], dy)) for s in p] for p in paths]
+
+
+def _filled(a: np.ndarray) -> np.ndarray:
+    """Colours with those of the nearest opaque pixel, along rows and then columns, where a pixel is transparent, so that
+    hidden colours make no edges."""
+    rgb, seen = a[..., :3].copy(), pal.opaque(a)
+    if seen.all() or not seen.any():
+        return rgb
+    for _ in range(2):
+        for i in np.flatnonzero(seen.any(1) & ~seen.all(1)):
+            at = np.flatnonzero(seen[i])
+            where = np.arange(seen.shape[1])
+            right = np.clip(np.searchsorted(at, where), 0, len(at) - 1)
+            left = np.clip(right - 1, 0, None)
+            rgb[i] = rgb[i, np.where(np.abs(where - at[left]) <= np.abs(at[right] - where), at[left], at[right])]
+        rgb, seen = np.swapaxes(rgb, 0, 1), np.repeat(seen.any(1)[None], seen.shape[1], 0)
+    return np.ascontiguousarray(rgb)
 
 
 def trace_gradient(pixels: DataFrame, detail: float = 1.0, alphamax: float = 1.0, turdsize: float = 2, opttolerance: float = 0.2) -> DataFrame:
-    """Regions with their own flat colour or gradient; images of edges alone are traced flat."""
-    return by_image(pixels, list("rgb"), lambda _, a: _gradient_image(a, detail, alphamax, turdsize, opttolerance), TRACED)
+    """Regions with their own flat colour or gradient; images of edges or of regions without a model are traced flat."""
+    columns = [c for c in "rgba" if c in pixels.columns]
+    return by_image(pixels, columns, lambda _, a: _gradient_image(a, detail, alphamax, turdsize, opttolerance), TRACED)
 
 
 def _grid(a: np.ndarray) -> int:
@@ -326,18 +513,23 @@ def _pixel_image(a: np.ndarray, most: int = 200_000) -> pd.DataFrame:
     h, w = a.shape[:2]
     g = _grid(a)
     rects = k.merge_rects(a[::g, ::g])
-    if len(rects) > most:
-        return _row("pixel", "", {"layers": 0, "paths": 0, "nodes": 0, "corner_share": 0.0}, {"ssim": 0.0, "iou": 0.0, "fidelity": 0.0, "score": 0.0})
+    many = ["too-many-rects"] * (len(rects) > MANY_RECTS)
     by: dict[int, list[str]] = {}
-    for x, y, rw, rh, c in rects:
-        by.setdefault(c, []).append(f"M{x} {y}h{rw}v{rh}h-{rw}z")
+    canvas = np.zeros((h, w, 4))
+    if len(rects) <= most:
+        for x, y, rw, rh, c in rects:
+            by.setdefault(c, []).append(f"M{x} {y}h{rw}v{rh}h-{rw}z")
+            canvas[y * g: (y + rh) * g, x * g: (x + rw) * g] = [c >> 24, c >> 16 & 255, c >> 8 & 255, c & 255]
+    scores = compare(a, canvas, _paper(a))
+    if len(rects) > most:
+        return _row("pixel", "", {"layers": 0, "paths": 0, "nodes": 0, "corner_share": 0.0}, scores | {"score": 0.0}, many)
     lines = [f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {w // g} {h // g}" width="{w}" height="{h}" shape-rendering="crispEdges">']
     for c, parts in by.items():
         alpha = c & 255
         opacity = f' fill-opacity="{format_number(alpha / 255)}"' if alpha < 255 else ""
         lines.append(f'  <path fill="#{c >> 8:06x}"{opacity} d="{"".join(parts)}"/>')
     stats = {"layers": len(by), "paths": len(rects), "nodes": 3 * len(rects), "corner_share": 1.0 if rects else 0.0}
-    return _row("pixel", "\n".join([*lines, "</svg>", ""]), stats, {"ssim": 1.0, "iou": 1.0, "fidelity": 1.0, "score": 1.0})
+    return _row("pixel", "\n".join([*lines, "</svg>", ""]), stats, _scores(scores, stats, _perimeter(pal.keys(a) * 256 + a[..., 3].astype(int))), many)
 
 
 def trace_pixel(pixels: DataFrame) -> DataFrame:
@@ -348,84 +540,136 @@ def trace_pixel(pixels: DataFrame) -> DataFrame:
 # Analysis
 
 
+FALLBACK_COLOURS, PROBE_COLOURS, PHOTO_SHARE, PROBE_SIDE, PROBE_STOPS = 8, 8, 0.15, 512, 4
+
+
 def facts(a: np.ndarray) -> dict:
-    """What the choice of a mode rests on."""
+    """What the choice of a mode rests on; colours and the probe's facts are null where the rules don't ask for them."""
     h, w = a.shape[:2]
-    rgb, alpha = a[..., :3], a[..., 3]
-    ground = np.where(alpha[..., None] >= 255, rgb, np.floor((rgb * alpha[..., None] + 255 * (255 - alpha[..., None]) + 127) / 255))
-    gray = ground @ [0.299, 0.587, 0.114]
+    transparent = pal.transparent_share(a)
+    border = pal.border_colour(a)
+    back = border or (255, 255, 255)
+    ground = pal.composite(a, back)
+    gray = ground[..., :3] @ LUMA
     around = k._around(gray)
     lo, hi = np.minimum.reduce(around), np.maximum.reduce(around)
     blended = (gray - lo > 12) & (hi - gray > 12)
     edge = k.sobel(gray) > 64
     soft = np.maximum.reduce(k._around(blended)) > 0
-    level = k.threshold(gray)
-    mask = gray < level
-    classes = [gray[mask], gray[~mask]]
-    two = [x.mean() for x in classes] if all(len(x) for x in classes) else None
-    bimodal = bool(two and max(x.std() for x in classes) <= 0.25 * (two[1] - two[0]) and gray.var() > 0 and len(classes[0]) * len(classes[1]) / gray.size**2 * (two[1] - two[0]) ** 2 / gray.var() >= 0.6)
-    palette = _palette(ground, 32)
-    n = np.bincount(k.nearest(ground, palette).ravel(), minlength=len(palette)) / gray.size
-    near = np.sqrt((((ground[:, :, None] - palette) * k.WEIGHTS) ** 2).sum(-1)).min(-1)
-    seen = n >= 0.0005
-    main = _exact_palette(ground, palette[seen], n[seen])
-    off = np.sqrt((((ground[:, :, None] - main) * k.WEIGHTS) ** 2).sum(-1)).min(-1) if len(main) else near
-    ink = mask.copy()
-    core = ink & np.pad(ink, 1)[:-2, 1:-1] & np.pad(ink, 1)[2:, 1:-1] & np.pad(ink, 1)[1:-1, :-2] & np.pad(ink, 1)[1:-1, 2:]
+    exact = pal.exact(a)
+    palette = exact[0] if exact is not None else pal.cut(a, FALLBACK_COLOURS)
+    off = pal.off_share(a, palette)
+    error = pal.distances(a, palette)
+    photo = exact is None or off * (1 - transparent) > PHOTO_SHARE
+    probed = photo or len(palette) >= PROBE_COLOURS
     return {
         "width": w, "height": h, "grid": _grid(a), "hard_edges": float((~soft[edge]).mean()) if edge.any() else 0.0,
-        "transparent": float((alpha < 8).mean()), "colours": int(len(main)), "off_palette": float((off > 24).mean()),
-        "bimodal": bimodal, "thin": float(1 - core.sum() / ink.sum()) if ink.any() else 0.0, "sigma": float(k.noise(ground)),
-    }
-
-
-def _exact_palette(rgb: np.ndarray, palette: np.ndarray, n: np.ndarray, tolerance: float = 12.0) -> np.ndarray:
-    """Colours of coherent areas, and of distinct pieces far from those; not those on the way between two commoner ones,
-    which smoothing makes."""
-    if not len(palette):
-        return palette
-    label = k.nearest(rgb, palette)
-    same = np.logical_and.reduce([a == label for a in k._around(label)])
-    core = np.bincount(label[same], minlength=len(palette))
-    population = np.bincount(label.ravel(), minlength=len(palette))
-    coherent = (core >= max(12, 2e-4 * label.size)) & (core >= 0.05 * population)
-    for i in np.flatnonzero(~coherent):
-        far = all(np.linalg.norm(palette[i] - palette[j]) >= 60 for j in np.flatnonzero(coherent))
-        piece = np.bincount(k.components(label == i, steps=k.EIGHT)[label == i]).max(initial=0)
-        coherent[i] = far and piece >= max(12, 0.5 * population[i])
-    kept: list[int] = []
-    for i in sorted(np.flatnonzero(coherent), key=lambda i: (-n[i], i)):
-        blend = False
-        for a in range(len(kept)):
-            for b in range(a):
-                d = palette[kept[b]] - palette[kept[a]]
-                t = (palette[i] - palette[kept[a]]) @ d / max(1e-9, d @ d)
-                blend |= bool(0.15 <= t <= 0.85 and np.linalg.norm(palette[kept[a]] + t * d - palette[i]) < tolerance and core[i] < 0.05 * population[i])
-        if not blend:
-            kept.append(i)
-    return palette[sorted(kept)]
-
-
-FACTS = "width int, height int, grid int, hard_edges double, transparent double, colours int, off_palette double, bimodal boolean, thin double, sigma double, explained double, gradient_share double, edge_share double, regions int"
+        "transparent": transparent, "partial": float(((a[..., 3] >= 8) & (a[..., 3] < 248)).mean()), "distinct": pal.distinct(a),
+        "colours": None if exact is None else len(palette), "off_palette": off, "quant_error": float(error.mean()) if len(error) else 0.0,
+        "two_tone_off": pal.off_share(a, pal.cut(a, 2), pal.TWO_TONE_OFF), "bimodal": pal.two_peaks_far(k.levels(gray)),
+        "thin": _thin(gray < k.threshold(gray)), "ink": _hex(np.array(pal.dominant_ink(a, back), float)), "border": _hex(np.array(border, float)) if border else None,
+        "sigma": float(k.noise(ground[..., :3])),
+    } | (_probe(a if transparent > 0.05 else ground) if probed else dict.fromkeys(("explained", "gradient_share", "edge_share", "regions")))
+
+
+FACTS = "width int, height int, grid int, hard_edges double, transparent double, partial double, distinct int, colours int, off_palette double, quant_error double, two_tone_off double, bimodal boolean, thin double, ink string, border string, sigma double, explained double, gradient_share double, edge_share double, regions int"
+
+
+def foreign_pixels(rgb: np.ndarray, regions: np.ndarray, models: dict[int, dict], seen: np.ndarray, tolerance: float, depth: int = FOREIGN_DEPTH) -> dict[int, int]:
+    """Pixels of each region, so deep inside it, whose colour is farther than tolerance from the region's model there."""
+    label = np.where(seen, regions, -1)
+    edge = label < 0
+    for a, b in (((slice(0, -1),), (slice(1, None),)), ((slice(None), slice(0, -1)), (slice(None), slice(1, None)))):
+        differ = label[a] != label[b]
+        edge[a] |= differ
+        edge[b] |= differ
+    h, w = label.shape
+    deep = ~edge
+    for dy in range(-depth, depth + 1):
+        for dx in range(-depth, depth + 1):
+            to, of = (slice(max(0, -dy), h - max(0, dy)), slice(max(0, -dx), w - max(0, dx))), (slice(max(0, dy), h - max(0, -dy)), slice(max(0, dx), w - max(0, -dx)))
+            deep[to] &= ~edge[of]
+    out = {}
+    for region, m in models.items():
+        y, x = np.nonzero(deep & (label == region))
+        out[region] = int((np.abs(rgb[y, x] - fill_colours(m, x + 0.5, y + 0.5)).max(-1) > tolerance).sum()) if len(y) else 0
+    return out
 
 
 def _probe(a: np.ndarray) -> dict:
-    f = max(1, math.ceil(max(a.shape[:2]) / 512))
-    h, w = a.shape[0] // f * f, a.shape[1] // f * f
-    small = a[:h, :w, :3].reshape(h // f, f, w // f, f, 3).mean((1, 3)) if h and w else a[..., :3]
-    regions, core, share = k.segment(small)
-    if share > 0.6:
-        return {"explained": 0.0, "gradient_share": 0.0, "edge_share": share, "regions": int(regions.max()) + 1}
-    regions = k.merge_regions(small, regions)
-    models = _models(small, regions, core, k.noise(small))
-    total = regions.size
-    part = lambda test: sum(m["pixels"] for m in models.values() if test(m)) / total
-    return {"explained": part(lambda m: not m["complex"]), "gradient_share": part(lambda m: m["kind"] != "solid" and not m["complex"]), "edge_share": share, "regions": len(models)}
+    """What gradients would explain of a reduced image."""
+    f = max(1, math.ceil(max(a.shape[:2]) / PROBE_SIDE))
+    small = _box(a, f)
+    rgb, seen = _filled(small), pal.opaque(small)
+    regions, core, share = k.segment(rgb)
+    nothing = {"explained": 0.0, "gradient_share": 0.0, "edge_share": share, "regions": int(regions.max()) + 1}
+    if share > MOST_EDGES or regions.max() >= MOST_REGIONS or not seen.any():
+        return nothing
+    sigma = k.noise(rgb)
+    regions = k.merge_regions(rgb, regions)
+    models = {r: m for r, m in _models(rgb, regions, core & seen, sigma, PROBE_STOPS).items() if seen[regions == r].any()}
+    area = {r: int((seen & (regions == r)).sum()) for r in models}
+    total = sum(area.values())
+    part = lambda test: sum(area[r] for r, m in models.items() if test(m)) / total
+    if part(lambda m: m["complex"]) > MOST_COMPLEX:
+        return nothing | {"regions": len(models)}
+    foreign = foreign_pixels(rgb, regions, models, seen, FOREIGN * max(24.0, 9 * sigma))
+    bound = max(2.5, 2 * sigma)
+    explained = sum(area[r] - foreign[r] for r, m in models.items() if m["rmse"] <= bound) / total
+    return {"explained": explained, "gradient_share": part(lambda m: "stops" in m), "edge_share": share, "regions": len(models)}
+
+
+def _box(a: np.ndarray, f: int) -> np.ndarray:
+    """Means of f by f blocks, smaller ones at the edges, of colours weighed by their opacity."""
+    if f == 1:
+        return a
+    h, w = a.shape[:2]
+    ys, xs = np.arange(0, h, f), np.arange(0, w, f)
+    n = np.outer(np.diff(np.append(ys, h)), np.diff(np.append(xs, w)))[..., None]
+    total = lambda v: np.add.reduceat(np.add.reduceat(v, ys, 0), xs, 1)
+    alpha = total(a[..., 3:])
+    rgb = total(a[..., :3] * a[..., 3:]) / np.maximum(alpha, 1e-9)
+    return np.concatenate([rgb, alpha / n], -1)
 
 
 def analyse(pixels: DataFrame) -> DataFrame:
     """One row of facts an image."""
-    return by_image(pixels, list("rgba"), lambda _, a: pd.DataFrame([facts(a) | _probe(a)]), FACTS)
+    return by_image(pixels, list("rgba"), lambda _, a: pd.DataFrame([facts(a)]), FACTS)
+
+
+def trace_as(pixels: DataFrame, modes: DataFrame) -> DataFrame:
+    """Each image (r, g, b, a) traced in its own mode: image_id, mode and perhaps photo_colours and warnings of modes."""
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    known = [c for c in ("photo_colours", "warnings") if c in modes.columns]
+
+    def run(key, image, chosen):
+        if not len(image) or not len(chosen):
+            return pd.DataFrame(columns=["image_id", *(c.split()[0] for c in TRACED.split(", "))])
+        a, one = dense(image, list("rgba")), chosen.iloc[0]
+        colours = one.get("photo_colours")
+        of = {
+            "lines": lambda: _Lines(a).trace(0.35, 1.0, 2, 0.2), "pixel": lambda: _pixel_image(a), "gradient": lambda: _gradient_image(a, 1.0, 1.0, 2, 0.2),
+            "flat": lambda: _flat_image(a, None if colours is None or pd.isna(colours) else int(colours), 0.35, 1.0, 2, 0.2),
+        }
+        found = of[one["mode"]]()
+        before = one.get("warnings")
+        found["warnings"] = [list(dict.fromkeys([*(before if before is not None else []), *found["warnings"][0]]))]
+        found.insert(0, "image_id", key[0])
+        return found
+
+    images = pixels.select("image_id", "y", "x", *"rgba").groupBy("image_id")
+    return images.cogroup(modes.select("image_id", "mode", *known).groupBy("image_id")).applyInPandas(run, f"image_id {kind}, {TRACED}")
+
+
+def trace_auto(pixels: DataFrame, boards: DataFrame | None = None) -> DataFrame:
+    """Each image traced in the mode that the rules choose for it. boards: the painted checkerboards that checker.detect
+    found, best read from a table as they are asked for twice; they become transparent first."""
+    from ..operators import checker
+    from . import rules
+
+    bare = pixels if boards is None else checker.remove(pixels, boards)
+    decided = rules.warnings(rules.decide_mode(analyse(bare)), boards)
+    return trace_as(bare, decided.select("image_id", "mode", "photo_colours", "warnings"))
 
 
 # Tuning
@@ -436,11 +680,15 @@ CANDIDATE = "seq int, upscale int, blur_k double, alphamax double, turdsize int,
 TUNED = "seq int, paths int, nodes int, corner_share double, ssim double, iou double, fidelity double, score double"
 
 
+#: Candidates are tried on images reduced to this side.
+TUNED_SIDE = 256
+
+
 def _tried(a: np.ndarray, candidates: list[dict]) -> pd.DataFrame:
-    out = []
+    lines, out = _Lines(_box(_rgba(a), max(1, math.ceil(max(a.shape[:2]) / TUNED_SIDE)))), []
     for c in candidates:
-        row = _one_line_image(a, c["blur_k"], c["alphamax"], c["turdsize"], c["opttolerance"], min(c["upscale"], _upscale(*a.shape[:2])))
-        out.append(row.drop(columns=["mode", "svg", "layers"]).assign(seq=c["seq"]))
+        row = lines.trace(c["blur_k"], c["alphamax"], c["turdsize"], c["opttolerance"], c["upscale"])
+        out.append(row.drop(columns=["mode", "svg", "layers", "warnings"]).assign(seq=c["seq"]))
     return pd.concat(out)[["seq", "paths", "nodes", "corner_share", "ssim", "iou", "fidelity", "score"]]
 
 

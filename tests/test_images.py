@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelmill.functions import formats, numeric, params
-from pixelmill.operators import checker, colour, histogram, kernels, masks, metrics, pointwise, resample, stencil, vector
+from pixelmill.operators import checker, colour, histogram, kernels, masks, metrics, palette, pointwise, resample, stencil, vector
 from pixelmill.plans import rules, trace
 from pixelmill.sources import images, svg, synth
 from pixelmill.streaming import requests
@@ -364,3 +364,107 @@ def test_complex_regions_are_split():
     parts = kernels.split_regions(a, np.zeros((40, 40), int))
     assert len(np.unique(parts)) == 2 and parts[20, 20] != parts[0, 0]
     assert len(np.unique(kernels.split_regions(np.full((20, 20, 3), 9.0), np.zeros((20, 20), int)))) == 1
+
+
+# Palettes, modes, alpha
+
+
+def opaque(rgb):
+    rgb = np.asarray(rgb, float)
+    rgb = np.repeat(rgb[..., None], 3, 2) if rgb.ndim == 2 else rgb
+    return np.concatenate([np.clip(np.floor(rgb + 0.5), 0, 255), np.full((*rgb.shape[:2], 1), 255.0)], -1)
+
+
+def test_exact_palette_has_the_real_colours_and_no_blends():
+    found, n = palette.exact(synth.three_shapes().astype(float) if synth.three_shapes().shape[2] == 4 else opaque(synth.three_shapes()))
+    assert {tuple(int(v) for v in c) for c in found} == {(0xF2, 0xE8, 0xD5), (0x2A, 0x6F, 0x97), (0xE0, 0x7A, 0x5F)} and n.sum() > 0.95 * 96 * 96
+    assert palette.exact(np.zeros((8, 8, 4)))[0].shape == (0, 3)
+    many = opaque(np.kron(np.random.default_rng(0).permutation(64)[:, None] // [16, 4, 1] % 4 * 80, np.ones((1, 1))).reshape(8, 8, 3).repeat(8, 0).repeat(8, 1))
+    assert palette.exact(many) is None and len(palette.exact(many, 64)[0]) == 64
+
+
+def test_noise_is_no_line_drawing_and_a_noisy_scan_is_one(spark):
+    rng = np.random.default_rng(1)
+    noise = opaque(rng.normal(128, 25, (96, 96)))
+    ink = np.zeros((96, 96))
+    ink[20:70, 30:60] = 1
+    scan = opaque(np.where(ink[..., None] > 0, (60, 40, 30), (215, 200, 170)) + rng.uniform(-30, 30, (96, 96, 3)))
+    ramp = np.clip(np.stack([np.add.outer(np.arange(96), np.arange(96)) * 1.3] * 3, -1) + rng.uniform(-40, 40, (96, 96, 3)), 0, 255)
+    px = pixels(spark, ("noise", noise), ("scan", scan), ("ramp", opaque(ramp)))
+    facts = trace.analyse(px)
+    got = {r.image_id: r for r in rules.warnings(rules.decide_mode(facts)).collect()}
+    assert got["noise"].colours == 1 and got["noise"].off_palette > 0.5 and got["noise"].mode != "lines"
+    assert got["scan"].colours is None and got["scan"].bimodal and got["scan"].two_tone_off < 0.1 and got["scan"].reason == "two tones"
+    assert got["ramp"].reason != "two tones"
+
+
+def test_two_tones_need_two_colours_that_cover_the_image(spark):
+    base = dict(width=500, height=500, grid=1, hard_edges=0.0, transparent=0.0, colours=None, off_palette=0.9, two_tone_off=0.4, bimodal=True, thin=0.6, explained=0.0, gradient_share=0.0, edge_share=1.0, regions=1)
+    rows = [("a", base), ("b", base | {"two_tone_off": 0.51}), ("c", base | {"transparent": 0.06}), ("d", base | {"bimodal": False}), ("e", base | {"colours": 2, "off_palette": 0.2}), ("f", base | {"width": 5000, "height": 5000})]
+    schema = "image_id string, width int, height int, grid int, hard_edges double, transparent double, colours int, off_palette double, two_tone_off double, bimodal boolean, thin double, explained double, gradient_share double, edge_share double, regions int"
+    df = spark.createDataFrame([(i, *v.values()) for i, v in rows], schema)
+    got = {r.image_id: (r.reason, r.warnings) for r in rules.warnings(rules.decide_mode(df)).collect()}
+    assert got["a"] == ("two tones", ["thin-strokes"]) and got["b"] == got["c"] == got["d"] == ("photo", ["photo"])
+    assert got["e"] == ("few colours", ["thin-strokes"]) and got["f"][1] == ["thin-strokes", "large-input"]
+
+
+def test_transparent_images_keep_their_transparency(spark):
+    y, x = np.mgrid[:64, :64]
+    disc = np.zeros((64, 64, 4))
+    disc[...] = (0, 200, 0, 0)  # a hidden colour
+    disc[(y - 32) ** 2 + (x - 32) ** 2 < 400] = (200, 30, 60, 255)
+    disc[(y - 32) ** 2 + (x - 32) ** 2 < 80] = (20, 30, 160, 255)
+    px = pixels(spark, ("disc", disc))
+    flat = one(trace.trace_flat(px, None))
+    assert flat.layers == 2 and "#c81e3c" in flat.svg and "#141ea0" in flat.svg and "#00c800" not in flat.svg and flat.fidelity > 0.95
+    lines = one(trace.trace_lines(px))
+    assert lines.iou > 0.8 and 'fill="#c81e3c"' in lines.svg
+    gradient = one(trace.trace_gradient(px))
+    assert "#00c800" not in gradient.svg and gradient.layers == 2 and gradient.fidelity > 0.95
+    empty = disc.copy()
+    empty[..., 3] = 0
+    assert one(trace.trace_lines(pixels(spark, ("empty", empty)))).warnings == []
+    white = np.full((32, 32, 4), 255.0)
+    white[..., 3] = 200 + 55 * (x[:32, :32] > 20)
+    assert one(trace.trace_lines(pixels(spark, ("white", white)))).warnings == ["empty-trace"]
+
+
+def test_each_image_is_traced_in_its_own_mode(spark):
+    sprite = synth.replicate(synth.sprite(16, 3), 3)
+    px = pixels(spark, ("circle", synth.circle()), ("sprite", sprite), ("three", synth.three_shapes()))
+    got = {r.image_id: r for r in trace.trace_auto(px).collect()}
+    assert got["circle"].mode == "lines" and got["sprite"].mode == "pixel" and got["three"].mode == "flat" and all(r.fidelity > 0.9 for r in got.values())
+    assert got["three"].layers == 3
+
+
+def test_pixel_mode_is_scored_by_what_it_draws(spark):
+    half = synth.replicate(synth.sprite(16, 3), 2)
+    assert one(trace.trace_pixel(pixels(spark, ("s", half)))).fidelity == 1.0
+    noise = opaque(np.random.default_rng(2).integers(0, 255, (110, 110, 3)))
+    assert one(trace.trace_pixel(pixels(spark, ("n", noise)))).warnings == ["too-many-rects"]
+
+
+def test_foreign_pixels_are_far_from_their_region_inside_it():
+    rgb = np.full((20, 20, 3), 100.0)
+    rgb[9, 8] = 255
+    rgb[9, 9] = 255  # too near to the other region
+    rgb[0, 5] = 255
+    regions = np.zeros((20, 20), int)
+    regions[:, 12:] = 1
+    models = {0: {"color": [100, 100, 100], "kind": "solid"}, 1: {"color": [10, 10, 10], "kind": "solid"}}
+    seen = np.ones((20, 20), bool)
+    assert trace.foreign_pixels(rgb, regions, models, seen, 48) == {0: 2, 1: 20 * (8 - 3)}
+
+
+def test_stencils_over_images_of_different_sizes(spark):
+    rng = np.random.default_rng(3)
+    images_ = {"a": rng.integers(0, 255, (7, 4)), "b": rng.integers(0, 255, (5, 3)), "c": rng.integers(0, 255, (1, 6))}
+    g = spark.createDataFrame([(n, y, x, int(v[y, x])) for n, v in images_.items() for y in range(v.shape[0]) for x in range(v.shape[1])], "image_id string, y int, x int, v int").repartition(3)
+    got = {(r.image_id, r.y, r.x): r.magnitude for r in stencil.sobel(g).collect()}
+    for n, v in images_.items():
+        want = kernels.sobel(v)
+        assert all(abs(got[n, y, x] - want[y, x]) < 1e-9 for y in range(v.shape[0]) for x in range(v.shape[1])), n
+    edges = {r.image_id: r.perimeter for r in stencil.perimeter(g.select("image_id", "y", "x", (F.col("v") < 128).cast("int").alias("m"))).collect()}
+    for n, v in images_.items():
+        m = v < 128
+        assert abs(edges[n] - math.pi / 4 * ((m[1:] != m[:-1]).sum() + (m[:, 1:] != m[:, :-1]).sum())) < 1e-9
