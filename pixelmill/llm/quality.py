@@ -4,8 +4,9 @@ Rules are evaluated for each line; failing lines go; a document that loses too m
 The statistics over the whole text (word characters, symbols, repeated lines and word windows) are those that
 corpus reports use, and two of them reject a document whatever its lines look like.
 
-Defined results: a null text counts as empty; an empty text has no words and fails the base rule; a line without
-a word is kept and weighs nothing; equal documents get equal results; an empty table gives an empty table;
+Defined results: a null text counts as empty; an empty text has no words and fails the base rule; a very long text is
+judged whole; rows without an id are judged like any other; a line without a word is kept and weighs nothing; of equal
+lines the first is judged by the other rules; equal documents get equal results; an empty table gives an empty table;
 further columns of the input, whatever their names, don't matter.
 """
 
@@ -26,14 +27,18 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 
-# Phrases of page furniture, lower case.
+# Phrases of page furniture, lower case, in English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service",
     "javascript is disabled", "enable javascript", "click here", "read more", "sign up for our newsletter",
     "subscribe to our", "lorem ipsum", "skip to content", "add to cart", "share this page", "back to top",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookie-richtlinie", "allgemeine geschäftsbedingungen", "hier klicken", "weiterlesen", "in den warenkorb", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "politique de cookies", "conditions d'utilisation", "cliquez ici", "lire la suite", "ajouter au panier", "aller au contenu",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos de uso", "haga clic aquí", "leer más", "añadir al carrito", "ir al contenido",
 )
 NAVIGATION = re.compile(r"(?:^|\s)[|»›•·>]+(?=\s|$)")
 PUNCTUATION = re.compile(r"[.,;:!?…。！？，、؟।\"'”»)\]]")
+END = re.compile(r"[.!?:;…。！？؟।\"'”»)\]]\s*$")
 
 
 @dataclass(frozen=True)
@@ -48,6 +53,8 @@ class LineRules:
     menu_separators: int = 4
     boilerplate_words: int = 30
     unpunctuated_words: int = 60
+    fragment_words: int = 4
+    fragment_chars: int = 30
     max_loss: float = 0.4
 
 
@@ -68,6 +75,8 @@ def line_fails(line: str, words: list[str], rules: LineRules) -> str | None:
             return "boilerplate"
     elif len(words) >= rules.unpunctuated_words and not PUNCTUATION.search(line):
         return "punctuation"
+    if len(words) <= rules.fragment_words and sum(map(len, words)) <= rules.fragment_chars and not END.search(line):
+        return "punctuation"  # a label or a heading, not a sentence
     return None
 
 

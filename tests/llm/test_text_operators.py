@@ -200,6 +200,33 @@ def test_toxicity_blocks_equal_the_whole(monkeypatch):
     assert np.allclose(pool, model.pool_of(np.array([model.row_of[x] for x in texts[0] for _ in range(3)]).reshape(-1, 3)))
 
 
+def plain_score(model, text):
+    """The classifier written out: sums of embeddings, each filter at each place, the largest response, the logistic layer."""
+    import numpy as np
+
+    x = [sum(model.embeddings[model.row_of.get(h, 0)] for h in toxicity.word_hashes(w)) for w in text.lower().split()]
+    pooled = []
+    for w, b in model.filters:
+        for f in range(w.shape[2]):
+            at = [sum(float(x[i + j] @ w[j][:, f]) for j in range(len(w)) if i + j < len(x)) + float(b[f]) for i in range(len(x))]
+            pooled.append(max([0.0, *at]))
+    return 1 / (1 + np.exp(-(float(np.dot(pooled, model.out)) + model.bias)))
+
+
+def test_toxicity_scores_equal_a_plain_convolution():
+    import numpy as np
+
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 7)))
+    vocabulary = [word() for _ in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    labels = np.array([int(vocabulary[3] in t.split() or f"{vocabulary[5]} {vocabulary[6]}" in t) for t in texts])
+    hashed = [np.array([h for w in toxicity.words(t) for h in toxicity.word_hashes(w)]) for t in texts]
+    model = toxicity.fit(hashed, labels, ["en"] * len(texts))
+    for t in [*texts[:60], "", vocabulary[3], "unseen words only", (vocabulary[3] + "! ") * 3, " ".join(texts)]:
+        assert abs(model.score(t) - plain_score(model, t)) < 1e-4
+
+
 # 8: quality
 
 
@@ -223,6 +250,7 @@ def test_quality_lines():
     good, other, third = (" ".join(f"{k}{i * i}" for i in range(40)) + "." for k in ("word", "other", "third"))
     judged = quality.judge("\n".join([good, "Home | News | Sport | About | Contact", "All rights reserved.", other, third, "Short line.", "Short line."]), quality.LineRules())
     assert judged[6] and judged[9] == "\n".join([good, other, third, "Short line."])
+    assert quality.judge("\n".join([good, "Startseite", "Lire la suite ici", "Chapter one:", "Yes.", other]), quality.LineRules())[9] == "\n".join([good, "Chapter one:", "Yes.", other])
     junk = quality.judge("\n".join([good] + [" ".join(f"word{i}{j} $$$ |" for j in range(30)) for i in range(9)]), quality.LineRules())
     assert not junk[6] and junk[8] == "symbols"
 
