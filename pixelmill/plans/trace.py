@@ -27,6 +27,13 @@ def dense(pdf: pd.DataFrame, columns: list[str], fill: float = 0) -> np.ndarray:
     return out
 
 
+def dealt(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with all of an image's together. Images are few bytes and much work, so their partitions are a number that was
+    asked for, which adaptive execution doesn't put together by size."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select("image_id", *columns).repartition(n, "image_id")
+
+
 def by_image(df: DataFrame, columns: list[str], kernel: Callable, schema: str) -> DataFrame:
     """kernel(image id, array) gives a frame with the schema's columns but image_id, once an image."""
     kind = df.schema["image_id"].dataType.simpleString()
@@ -36,7 +43,7 @@ def by_image(df: DataFrame, columns: list[str], kernel: Callable, schema: str) -
         found.insert(0, "image_id", key[0])
         return found
 
-    return df.select("image_id", "y", "x", *columns).groupBy("image_id").applyInPandas(run, f"image_id {kind}, {schema}")
+    return dealt(df, ["y", "x", *columns]).groupBy("image_id").applyInPandas(run, f"image_id {kind}, {schema}")
 
 
 def _pixels(**arrays: np.ndarray) -> pd.DataFrame:
@@ -657,8 +664,8 @@ def trace_as(pixels: DataFrame, modes: DataFrame) -> DataFrame:
         found.insert(0, "image_id", key[0])
         return found
 
-    images = pixels.select("image_id", "y", "x", *"rgba").groupBy("image_id")
-    return images.cogroup(modes.select("image_id", "mode", *known).groupBy("image_id")).applyInPandas(run, f"image_id {kind}, {TRACED}")
+    images = dealt(pixels, ["y", "x", *"rgba"]).groupBy("image_id")
+    return images.cogroup(dealt(modes, ["mode", *known]).groupBy("image_id")).applyInPandas(run, f"image_id {kind}, {TRACED}")
 
 
 def trace_auto(pixels: DataFrame, boards: DataFrame | None = None) -> DataFrame:
@@ -709,7 +716,8 @@ def tune_each(raster: DataFrame, candidates: DataFrame) -> DataFrame:
         found.insert(0, "image_id", key[0])
         return found
 
-    return raster.select("image_id", "y", "x", "v").groupBy("image_id").cogroup(candidates.groupBy("image_id")).applyInPandas(run, f"image_id {kind}, {TUNED}")
+    own = dealt(candidates, [c for c in candidates.columns if c != "image_id"])
+    return dealt(raster, ["y", "x", "v"]).groupBy("image_id").cogroup(own.groupBy("image_id")).applyInPandas(run, f"image_id {kind}, {TUNED}")
 
 
 def search(raster: DataFrame, first: DataFrame, seeds: int = 3, guard: float = 0.005) -> DataFrame:
