@@ -4,8 +4,10 @@ Texts of one set of shingles are one entry. The byte-position index of `simhash`
 same shingles that differ in a few bits are copies with little changed, and large groups of them become one component
 at once. At similarity 0.8 fingerprints differ in ten bits on average, more than the index can guarantee to find, so
 entries that are not in one component yet are posted under BANDS keys of ROWS minima; a pair of similarity 0.8 shares
-no key with a probability of 5e-8. Lists are gone through in blocks of pivots, so a large group of copies is linked
-by its first pivots and not expanded into its pairs. Only an exact comparison links.
+no key with a probability of 5e-8. Each list's first entry is compared with the others next. What then is in a list of
+several components goes to that list's task with its shingles and is compared there, in the first list that two have in
+common, until it is linked. So candidates are rows of lists, never of pairs, and only an exact comparison links. Lists
+of more than HOT entries are dealt over tasks as pairs of blocks.
 
 Defined results: a null text counts as empty, and texts without words are copies of one another; fewer words than a
 shingle make one shingle of them all; the minima of a very long text are taken in blocks; rows without an id stay.
@@ -30,8 +32,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Of 128 bits of a pair of similarity 0.8, 115 agree on average and fewer than 92 with a probability below 1e-8.
 AGREE = 92
-#: Pivots of a posting list by round.
-PIVOTS = [(0, 1), (1, 8), (8, None)]
+#: Entries from which a posting list is split.
+HOT = 2048
 #: Shingles whose minima are taken at once.
 BLOCK = 1 << 12
 _RANDOM = np.random.default_rng(SEED)
@@ -96,42 +98,76 @@ def _sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_rows(whole_text(df, id_col, text_col), run, "node long, h binary")
 
 
-def _pairs(node: np.ndarray, comp: np.ndarray, sign: np.ndarray, lo: int, hi: int | None):
-    """Candidates of one posting list, in order of its nodes, whose first is one of the pivots."""
-    if (comp == comp[0]).all():
-        return
-    for t in range(lo, min(len(node) - 1, hi or len(node))):
-        near = comp[t + 1:] != comp[t]
-        near[near] = 128 - np.bitwise_count(sign[t + 1:][near] ^ sign[t]).sum(1, dtype=np.int64) >= AGREE
-        if near.any():
-            yield np.full(near.sum(), node[t]), node[t + 1:][near]
-
-
-def _candidates(spark, entries: DataFrame, lo: int, hi: int | None) -> DataFrame:
-    """Pairs (a, b) of entries (node, component, keys, s0, s1) that share a key and aren't in one component."""
+def _first(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's first entry, by node, and those that aren't in its component; a row a posting at most."""
+    posted = entries.select(F.explode("keys").alias("k"), "node", "component", "s0", "s1")
+    least = posted.groupBy("k").agg(F.min(F.struct("node", "component", "s0", "s1")).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rows = posted.join(least.where("lo <> hi"), "k").where(F.col("component") != F.col("p.component"))
+    differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("p.s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("p.s1")))
+    return rows.where(128 - differ >= AGREE).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _members(entries: DataFrame) -> DataFrame:
+    """k, cell, band, node: the entries of each list that has several components; every two of them meet in a cell."""
+    posted = entries.select(F.posexplode("keys").alias("band", "k"), "node", "component")
+    lists = posted.groupBy("k").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    rows = posted.join(lists.select("k", "blocks"), "k")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+    pair = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(pair, own * F.col("blocks") + own))
+    return rows.select("k", "band", "node", F.explode(pair).alias("cell"))
+
+
+def _list_links(node: np.ndarray, comp: np.ndarray, keys: np.ndarray, sign: np.ndarray, sets: list[np.ndarray], band: int):
+    """Links (a, b) that join the components of one list."""
+    label = np.unique(comp, return_inverse=True)[1]
+    for i in range(len(node) - 1):
+        j = np.arange(i + 1, len(node))
+        j = j[label[j] != label[i]]
+        j = j[128 - np.bitwise_count(sign[j] ^ sign[i]).sum(1, dtype=np.int64) >= AGREE]
+        j = j[~(keys[j, :band] == keys[i, :band]).any(1)]  # those met in an earlier list
+        if not len(j):
+            continue
+        own, sizes = sets[i], np.array([len(sets[x]) for x in j])
+        long_enough = 5 * np.minimum(sizes, len(own)) >= 4 * np.maximum(sizes, len(own))
+        j, sizes = j[long_enough], sizes[long_enough]
+        for s in range(0, len(j), 256):  # a bound for what is laid side by side
+            part, size = j[s: s + 256], sizes[s: s + 256]
+            every = np.concatenate([sets[x] for x in part])
+            at = np.searchsorted(own, every)
+            both = np.add.reduceat((own[np.minimum(at, len(own) - 1)] == every).astype(np.int64), np.cumsum(size) - size)
+            for x in part[5 * both >= 4 * (size + len(own) - both)].tolist():
+                if label[x] != label[i]:
+                    yield node[i], node[x]
+                    label[label == label[x]] = label[i]
+
+
+def _compared(spark, members: DataFrame, entries: DataFrame) -> DataFrame:
+    """Links (a, b) within the lists; entries: node, component, keys, s0, s1, h."""
 
     def compare(batches):
-        rest = None
+        held, at = [], None
 
-        def lists(now, bounds):
-            for s, e in zip(bounds, bounds[1:]):
-                if e - s > 1 and e - s > lo:
-                    for a, b in _pairs(now[1][s:e], now[2][s:e], np.stack([now[3][s:e], now[4][s:e]], 1).view(np.uint64), lo, hi):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        def judge():
+            rows, band = held, at[2]
+            links_ = [] if len(rows) < 2 else list(_list_links(
+                np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.int64), np.array([x[2] for x in rows], np.int64),
+                np.array([x[3:5] for x in rows], np.int64).view(np.uint64), [np.frombuffer(x[5], np.uint64) for x in rows], band))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links_], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            now = [batch.column(i).to_numpy() for i in range(5)]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-            if len(now[0]):
-                bounds = [0, *(np.flatnonzero(np.diff(now[0])) + 1).tolist()]
-                yield from lists(now, bounds)
-                rest = [x[bounds[-1]:] for x in now]  # the last list may go on
-        if rest is not None:
-            yield from lists(rest, [0, len(rest[0])])
+            for k, cell, band, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (k, cell, band):
+                    if at is not None:
+                        yield judge()
+                    held, at = [], (k, cell, band)
+                held.append(row)
+        if at is not None:
+            yield judge()
 
-    posted = entries.select(F.explode("keys").alias("k"), "node", "component", "s0", "s1")
-    return posted.repartition(partitions(spark), "k").sortWithinPartitions("k", "node").mapInArrow(compare, "a long, b long").distinct()
+    rows = members.join(entries, "node").select("k", "cell", "band", "node", "component", "keys", "s0", "s1", "h")
+    by = ["k", "cell", "band"]
+    return rows.repartition(partitions(spark), *by).sortWithinPartitions(*by, "node").mapInArrow(compare, "a long, b long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,27 +198,35 @@ def near_classes(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_c
     scratch.drop(prints)
     classes, edges = nodes.withColumn("component", F.col("node")), None
 
-    def propose():
-        alike = nodes.groupBy("fp").agg(F.min("node").alias("id"))  # an entry of the index for each fingerprint
-        alike = scratch.table(alike, "alike")
-        same = nodes.join(alike, "fp").where("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
-        yield links(scratch, alike).unionByName(same)
-        for lo, hi in PIVOTS:
-            yield _candidates(scratch.spark, classes, lo, hi)
-
-    for candidates in propose():
-        pairs = scratch.table(candidates, "pairs")
-        if pairs.isEmpty():
-            continue
-        active = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = nodes.join(active, "node", "left_semi").select("first.id", "first.digest")
+    def sets_of(wanted):
+        """node, h of the wanted nodes, from the texts that stand for them."""
+        ids = nodes.join(wanted, "node", "left_semi").select("first.id", "first.digest")
         rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("digest", _digest(F.col("text")))
-        sets = scratch.table(_sets(rows.join(wanted, ["id", "digest"], "left_semi"), "id", "text").dropDuplicates(["node"]), "sets")
-        new = scratch.table(_similar(pairs, sets), "edges")
-        scratch.drop(sets)
+        return scratch.table(_sets(rows.join(ids, ["id", "digest"], "left_semi"), "id", "text").dropDuplicates(["node"]), "sets")
+
+    def link(new):
+        nonlocal edges, classes
         edges = new if edges is None else edges.unionByName(new)
         moved = scratch.table(components(scratch, edges).withColumnRenamed("component", "to"), "moved")
         classes = scratch.table(nodes.join(moved, "node", "left").withColumn("component", F.coalesce("to", "node")).drop("to"), "classes")
+
+    def verify(candidates):
+        pairs = scratch.table(candidates, "pairs")
+        if not pairs.isEmpty():
+            sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+            link(scratch.table(_similar(pairs, sets), "edges"))
+            scratch.drop(sets)
+        scratch.drop(pairs)
+
+    alike = scratch.table(nodes.groupBy("fp").agg(F.min("node").alias("id")), "alike")  # an entry of the index for each fingerprint
+    same = nodes.join(alike, "fp").where("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    verify(links(scratch, alike).unionByName(same))
+    verify(_first(classes))
+    members = scratch.table(_members(classes), "members")
+    if not members.isEmpty():
+        sets = sets_of(members.select("node").distinct())
+        link(scratch.table(_compared(scratch.spark, members, classes.select("node", "component", "keys", "s0", "s1").join(sets, "node")), "edges"))
+        scratch.drop(sets)
     return classes.select("node", "first", "component"), again
 
 

@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from test_text_operators import brute_components
 
 import corpus_pipeline
+from pixelmill.llm import nearcopies
 
 
 def brute_shingles(text, width=5):
@@ -14,7 +16,9 @@ def similar(a, b):
     return a == b or len(a & b) >= 0.8 * len(a | b)
 
 
-def test_stage_drops_near_copies_from_similarity_0_8(spark):
+@pytest.mark.parametrize("hot", [2048, 3])
+def test_stage_drops_near_copies_from_similarity_0_8(spark, monkeypatch, hot):
+    monkeypatch.setattr(nearcopies, "HOT", hot)
     rng = random.Random(3)
     texts = []
     for _ in range(30):
