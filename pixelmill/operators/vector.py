@@ -71,6 +71,11 @@ def mean_colour(stops: Column, channel: str) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.get(stops, F.lit(0))[channel] * F.get(stops, F.lit(0))["offset"] + inner + F.get(stops, n - 1)[channel] * (1 - F.get(stops, n - 1)["offset"]))
 
 
+def degenerate_radial(r: Column, stops: Column) -> Column:
+    """The same for a radial gradient: its radius is its length."""
+    return degenerate(F.lit(0.0), F.lit(0.0), r, F.lit(0.0), stops) | (r < 0)
+
+
 def degenerate(x1: Column, y1: Column, x2: Column, y2: Column, stops: Column) -> Column:
     """No gradient to speak of: fewer than two stops, no length, or stops within a level of one another."""
     span = lambda k: F.array_max(F.transform(stops, lambda s: s[k])) - F.array_min(F.transform(stops, lambda s: s[k]))
@@ -79,9 +84,15 @@ def degenerate(x1: Column, y1: Column, x2: Column, y2: Column, stops: Column) ->
 
 
 def normalised_stops(stops: Column) -> Column:
-    """Offsets within 0..1 that never fall."""
+    """Offsets within 0..1 that never fall; of three or more stops at one offset the first and the last."""
     clipped = F.transform(stops, lambda s: F.least(F.lit(1.0), F.greatest(F.lit(0.0), s["offset"])))
-    return F.transform(stops, lambda s, i: F.struct(F.array_max(F.slice(clipped, 1, i + 1)).alias("offset"), s["r"].alias("r"), s["g"].alias("g"), s["b"].alias("b")))
+    rising = F.transform(stops, lambda s, i: F.struct(F.array_max(F.slice(clipped, 1, i + 1)).alias("offset"), s["r"].alias("r"), s["g"].alias("g"), s["b"].alias("b")))
+
+    def ends(s: Column, i: Column) -> Column:
+        same = lambda j: F.coalesce(F.get(rising, j)["offset"] == s["offset"], F.lit(False))
+        return ~(same(i - 1) & same(i + 1))
+
+    return F.filter(rising, ends)
 
 
 def coverage(edges: DataFrame, ss: int = 4) -> DataFrame:

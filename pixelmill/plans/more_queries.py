@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, numeric, params
 from ..operators import checker, colour, masks, stencil, vector
-from ..sources import images, synth, tables
+from ..sources import images, svg, synth, tables
 from ..sources.tables import COLOUR_SQL, DENSITY_SQL, GRAY_SQL
 from ..streaming import requests
 from . import rules, trace
@@ -218,6 +218,27 @@ def latest_requests(spark, sf_dir):
     return requests.latest_wins(e).drop("channel")
 
 
+@query(f"WITH {RESULTS_SQL} SELECT image_id, seq, count(*) OVER w AS done, count(*) OVER (PARTITION BY image_id) AS total, max(score) OVER w AS best FROM res WINDOW w AS (PARTITION BY image_id ORDER BY seq)")
+def progress_events(spark, sf_dir):
+    return requests.progress(made_up_results(spark, sf_dir))
+
+
+@query()
+def served_requests(spark, sf_dir):
+    """Events as requests of ten sessions; tests hold the answers against a simulation."""
+    k = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("trace", "classify", "tune", "compare", "setSource", "cancel", "init", "other"))), (k * 7 % 8 + 1).cast("int"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return requests.serve(e.select((F.col("user_id") % 10).alias("session"), k.alias("id"), kind.alias("kind"), F.when(kind == "cancel", k - k % 5).alias("target"), (k * 3.0).alias("at"), (F.col("value") / 10).alias("takes")))
+
+
+@query("""SELECT image_id, key FROM (SELECT p_partkey AS image_id, '{' || concat_ws(',', CASE WHEN p_partkey % 3 = 0 THEN '"colors":' || p_size END, CASE WHEN p_partkey % 5 > 0 THEN '"mode":"' || CASE WHEN p_size > 25 THEN 'flat' ELSE 'lines' END || '"' END, '"turdsize":' || p_size * 3) || '}' AS key FROM part)""")
+def canonical_keys(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    given = _part(spark, sf_dir).select(k.alias("image_id"), (s * 3).alias("turdsize"), F.when(k % 5 > 0, F.when(s > 25, "flat").otherwise("lines")).alias("mode"), F.when(k % 3 == 0, s).alias("colors"))
+    return requests.canonical_key(given, ["image_id"]).select("image_id", "key")
+
+
 # Whole images; SQL can't express these
 
 
@@ -324,6 +345,25 @@ def svg_documents(spark, sf_dir):
     return vector.svg_document(paths.select("image_id", F.col("colour").alias("rank"), "d", F.concat(F.lit("#00000"), "colour").alias("fill"), F.lit(60).alias("width"), F.lit(20).alias("height")))
 
 
+@query(f"""WITH {RECTS_SQL} SELECT image_id, '#00000' || colour AS fill, count(*) AS moves, 3 * count(*) AS lines, count(*) AS closes, CAST(min(x) AS DOUBLE) AS x0, CAST(min(y) AS DOUBLE) AS y0, CAST(max(x + w) AS DOUBLE) AS x1, CAST(max(y + h) AS DOUBLE) AS y1 FROM q GROUP BY image_id, colour""")
+def svg_read_back(spark, sf_dir):
+    """The documents of svg_documents, parsed again: their paths, segments counted in the text, and the segments' bounds."""
+    paths = svg.paths_of(svg_documents(spark, sf_dir))
+    s = svg.segments_of(paths).groupBy("image_id", "path").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    counts = svg.counts_of(paths).select("image_id", "path", *(F.col(c).cast("long").alias(c) for c in ("moves", "lines", "closes")))
+    return paths.select("image_id", "path", "fill").join(counts, ["image_id", "path"]).join(s, ["image_id", "path"]).drop("path")
+
+
+@query("""WITH q AS (SELECT p_partkey, p_size / 8e0 AS x, (p_partkey % 13) / 2e0 AS y FROM part), t AS (SELECT p_partkey, least(1, sqrt((x - 3) ** 2 + (y - 2) ** 2) / 5e0) AS t FROM q)
+SELECT p_partkey, round(t, 6) AS t, round(CASE WHEN t < 0.5e0 THEN 200 * t ELSE 100 + 300 * (t - 0.5e0) END, 6) AS r FROM t""")
+def radial_colours(spark, sf_dir):
+    rows = [(0.0, 0.0), (0.5, 100.0), (0.5, 7.0), (0.5, 100.0), (1.0, 250.0)]  # the middle one of three at one offset goes
+    stops = vector.normalised_stops(F.array(*(F.struct(F.lit(o).alias("offset"), F.lit(v).alias("r"), F.lit(v).alias("g"), F.lit(v).alias("b")) for o, v in rows)))
+    x, y = F.col("p_size") / F.lit(8.0), (F.col("p_partkey") % 13) / F.lit(2.0)
+    q = _part(spark, sf_dir).select("p_partkey", vector.radial_t(x, y, F.lit(3.0), F.lit(2.0), F.lit(5.0)).alias("t"), stops.alias("stops"))
+    return q.where(~vector.degenerate_radial(F.lit(5.0), F.col("stops"))).select("p_partkey", r("t").alias("t"), r(vector.stop_colour(F.col("t"), F.col("stops"), "r")).alias("r"))
+
+
 @query()
 def painted_checkerboards(spark, sf_dir):
     board = synth.chessboard(10, 12)

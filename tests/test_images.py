@@ -468,3 +468,16 @@ def test_stencils_over_images_of_different_sizes(spark):
     for n, v in images_.items():
         m = v < 128
         assert abs(edges[n] - math.pi / 4 * ((m[1:] != m[:-1]).sum() + (m[:, 1:] != m[:, :-1]).sum())) < 1e-9
+
+
+def test_a_worker_serves_in_line_and_cancels_jump_the_queue(spark):
+    rows = [
+        ("a", 1, "trace", None, 0.0, 5.0), ("a", 2, "setSource", None, 0.0, 1.0), ("a", 3, "trace", None, 0.0, 5.0), ("a", 4, "tune", None, 1.0, 5.0), ("a", 5, "classify", None, 1.0, 1.0),
+        ("a", 6, "cancel", 4, 2.0, 0.0), ("a", 7, "trace", None, 7.0, 4.0), ("a", 8, "cancel", 7, 9.0, 0.0), ("a", 9, "compare", None, 8.0, 1.0), ("a", 10, "cancel", 9, 99.0, 0.0), ("a", 11, "what", None, 20.0, 1.0), ("b", 12, "init", None, 3.0, 1.0),
+    ]
+    df = spark.createDataFrame(rows, "session string, id long, kind string, target long, at double, takes double")
+    got = {r.id: (r.response, r.began, r.ended) for r in requests.serve(df).collect()}
+    assert got == {
+        1: ("error", 0, 0), 2: ("sourceSet", 0, 1), 3: ("traced", 1, 6), 4: ("cancelled", 2, 2), 5: ("classified", 6, 7), 7: ("cancelled", 7, 9), 9: ("compared", 9, 10), 11: ("error", 20, 20), 12: ("ready", 3, 4),
+    }
+    assert {r[0] for r in got.values()} <= set(requests.RESPONSES) and {r[2] for r in rows} - {"what"} <= set(requests.REQUESTS)
