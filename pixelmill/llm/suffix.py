@@ -12,11 +12,14 @@ agree so far are the windows that different phrases share.
 
 Phrases are resolved within a task first, so a passage that a third of all documents have moves once a task. Hashes
 move as packed arrays. A trigger with very many distinct phrases is split: its windows are dealt by their own hashes.
-Long texts are parsed in blocks; a phrase cut by a block's edge is resolved like any other.
+Long texts are parsed in blocks; a phrase cut by a block's edge is resolved like any other. Documents are judged in
+homes, whose number follows the bytes of the input, so that a home's texts stay few however large the corpus is; rows
+without an id are spread over all homes by their texts.
 
 Defined results: a null text counts as empty; a null id is larger than all others; rows of equal id are one
 document to all others and none to each other; texts shorter than `length` bytes lose nothing; an empty table gives
-an empty table; further columns of the input don't matter.
+an empty table; further columns of the input don't matter. The last values of a long, as many as there are homes, count
+as null ids.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ BLOCK, HOLD, LONGEST = 1 << 19, 1 << 24, 255
 GATHER = 1 << 19
 #: Distinct phrases of a trigger from which its windows are dealt by their own hashes.
 HOT = 4096
+#: Bytes of stored input for each home of documents.
+HOME = 32 << 20
 LAST = (1 << 63) - 1
 
 _random = np.random.default_rng(20240501)
@@ -199,6 +204,10 @@ class Parser:
         """Home of a document; equal to that of _home."""
         return doc % self.homes
 
+    def rank(self, doc: np.ndarray) -> np.ndarray:
+        """The number that documents are compared by: one for all rows without an id."""
+        return np.minimum(doc, LAST - self.homes + 1)
+
     def sent(self, verdicts: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
         """Gathered verdicts (kind, columns with the phrase and the document first) as rows for their homes."""
         rows = []
@@ -215,7 +224,7 @@ class Parser:
             trigger, phrase, doc = (np.concatenate(x) for x in zip(*held))
             order, owner = _owners(trigger, phrase, doc)
             trigger, phrase, doc = trigger[order], phrase[order], doc[order]
-            own = doc == owner
+            own = self.rank(doc) == self.rank(owner)
             t = trigger[own]
             low = t.view(np.uint8).reshape(-1, 8)[:, :5].copy().view("V5").reshape(-1)
             rows = [*_dealt(PHRASES, (t >> np.uint64(40)).astype(np.int64) % self.parts, low, phrase[own], doc[own]), *_dealt(GONE, self.home(doc[~own]), phrase[~own], doc[~own])]
@@ -244,7 +253,7 @@ class Parser:
             trigger = np.pad(trigger.view(np.uint8).reshape(-1, 5), ((0, 0), (0, 3))).view(np.uint64).reshape(-1)
             order, owner = _owners(trigger, phrase, doc)
             trigger, phrase, doc = trigger[order], phrase[order], doc[order]
-            own = doc == owner
+            own = self.rank(doc) == self.rank(owner)
             group = np.cumsum(_heads(trigger)) - 1
             n_phrases = np.bincount(group, _heads(trigger, phrase)).astype(np.int64)[group]
             ask, hot = own & (n_phrases > 1), n_phrases > HOT
@@ -357,7 +366,7 @@ class Parser:
             new = _heads(keys[order])
             smallest = np.minimum.reduceat(doc[owner][order], np.flatnonzero(new))[np.cumsum(new) - 1]
             gone = np.zeros(len(order), bool)
-            gone[order] = doc[owner][order] > smallest
+            gone[order] = self.rank(doc[owner][order]) > self.rank(smallest)
             run = gone.copy()
             run[1:] &= ~(gone[:-1] & (owner[1:] == owner[:-1]))
             s = np.flatnonzero(run)
@@ -401,14 +410,22 @@ def _home(doc: Column, homes: int) -> Column:
     return F.pmod(doc, F.lit(homes)).cast("int")
 
 
+def _stored_bytes(df: DataFrame) -> int:
+    """Size of the tables that df reads, as the planner knows it; none for rows that aren't stored."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(n for n in sizes if n < LAST)  # the planner's number for an unknown size
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None, kept: str | None = None) -> DataFrame:
     """n_bytes, n_removed, n_spans, kept_sha256 of each row. carry: columns that stay (the id); kept: bytes or text, to have the rest too."""
     spark = df.sparkSession
     scratch = Scratch(spark, "suffix")
-    p = Parser(length, gram, _prime(4 * partitions(spark)), _prime(2 * partitions(spark)))
+    homes = _prime(max(2 * partitions(spark), _stored_bytes(df) // HOME))
+    p = Parser(length, gram, _prime(4 * partitions(spark)), homes)
     carry = [id_col] if carry is None else carry
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     text = F.coalesce(F.col(text_col), F.lit(""))
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST) - F.pmod(F.xxhash64(text), F.lit(homes)))
 
     by_part = lambda rows: rows.repartition(partitions(spark), "part").sortWithinPartitions("part")
     parsed = df.select(doc.alias("id"), text.alias("text")).mapInArrow(p.parse, ROWS)

@@ -44,6 +44,7 @@ def corpus(seed, n=60):
             parts += [p[a: rng.randint(a, len(p))] if rng.random() < 0.7 else p, text(rng.randint(0, 60), "abcdefghé ")]
         rows.append((rng.randrange(10 * n), "".join(parts), "t", 1))
     rows += [rows[0], rows[3], (None, rows[5][1], None, None), (rows[7][0], rows[8][1], "a", 2), (5, None, None, None), (6, "", None, None)]
+    rows += [(None, text(60) + passages[k % 3] + text(70, "uvwxyz ") * 2, None, None) for k in range(9)]  # rows without an id share passages
     return rows
 
 
@@ -66,7 +67,7 @@ def local(rows, length, gram, hot, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "HOLD", 3000)
     p = suffix.Parser(length, gram, 7, 3)
-    ids, texts = [suffix.LAST if r[0] is None else r[0] for r in rows], [r[1] or "" for r in rows]
+    ids, texts = [suffix.LAST - k % 3 if r[0] is None else r[0] for k, r in enumerate(rows)], [r[1] or "" for r in rows]
     batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["id", "text"])
 
     def dealt(batches):
@@ -81,7 +82,7 @@ def local(rows, length, gram, hot, monkeypatch):
     out = []
     raw = [t.encode() for t in texts]
     for i, t, g in zip(ids, raw, p.removed(np.array(ids), raw, p.verdicts(gone))):
-        out.append((i, len(t), int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes()).hexdigest()))
+        out.append((suffix.LAST if i > suffix.LAST - 3 else i, len(t), int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes()).hexdigest()))
     return sorted(out, key=repr)
 
 
@@ -89,3 +90,13 @@ def test_empty_table_and_carried_columns(spark, documents, empty):
     assert suffix.remove_repeats(empty).count() == 0
     got = suffix.remove_repeats(documents, carry=documents.columns, kept="bytes")
     assert got.columns[: len(documents.columns)] == documents.columns and got.count() == documents.count()
+
+
+def test_homes_follow_the_bytes_stored(spark, documents, tmp_path, monkeypatch):
+    documents.write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    size = suffix._stored_bytes(stored)
+    assert size > 1000 and suffix._stored_bytes(stored.select("doc_id").crossJoin(stored.select("text"))) == 2 * size
+    want = run(stored)
+    monkeypatch.setattr(suffix, "HOME", size // 200)
+    assert run(stored) == want
