@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import Scratch, map_rows, partitions, whole_text
-from .components import Forest, components
+from .components import Forest, components, forest
 
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 FOLD = bytes.maketrans(UPPER, LOWER)
@@ -89,19 +89,38 @@ def _near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
 
 
 def _within(fp: np.ndarray, ids: np.ndarray, max_bits: int, found: Forest) -> None:
-    """Spanning links of one posting list: entries are compared with all that none before them has reached."""
-    left, frontier = np.arange(len(fp)), np.empty(0, np.int64)
+    """Spanning links of one posting list. PIVOTS entries at a time are compared with one another and with all that are left.
+    What they reach is followed one component at a time, so that only entries known to be in one component aren't compared."""
+    left, alive = np.arange(len(fp)), np.ones(len(fp), bool)
     while len(left):
-        if not len(frontier):  # new entries, compared with one another
-            frontier, left = left[:PIVOTS], left[PIVOTS:]
-            i, j = np.nonzero(np.triu(_near(fp[frontier], fp[frontier], max_bits), 1))
-            found.add(ids[frontier[i]], ids[frontier[j]])
-        now, frontier = frontier[:PIVOTS], frontier[PIVOTS:]
-        near = _near(fp[now], fp[left], max_bits)
+        pivots, left = left[:PIVOTS], left[PIVOTS:]
+        near = _near(fp[pivots], fp[left], max_bits)
         hit = near.any(0)
-        if hit.any():
-            found.add(ids[now[near[:, hit].argmax(0)]], ids[left[hit]])
-            frontier, left = np.concatenate([frontier, left[hit]]), left[~hit]
+        near, reached = near[:, hit], left[hit]
+        shared = near.astype(np.float32)
+        i, j = np.nonzero(np.triu(_near(fp[pivots], fp[pivots], max_bits) | (shared @ shared.T > 0), 1))
+        found.add(ids[pivots[i]], ids[pivots[j]])
+        if not len(reached):
+            continue
+        first = near.argmax(0)
+        found.add(ids[pivots[first]], ids[reached])
+        component = np.arange(len(pivots))
+        moved, to = forest(i, j)
+        component[moved] = to
+        of = component[first]
+        for c in np.unique(of):
+            frontier = reached[(of == c) & alive[reached]]
+            alive[frontier] = False
+            while len(frontier):
+                now, frontier = frontier[:PIVOTS], frontier[PIVOTS:]
+                rest = left[alive[left]]
+                near = _near(fp[now], fp[rest], max_bits)
+                hit = near.any(0)
+                if hit.any():
+                    found.add(ids[now[near[:, hit].argmax(0)]], ids[rest[hit]])
+                    alive[rest[hit]] = False
+                    frontier = np.concatenate([frontier, rest[hit]])
+        left = left[alive[left]]
 
 
 def _depth(n: int, need: int) -> int:

@@ -316,6 +316,38 @@ def test_simhash_links_of_chains_and_balls(spark, monkeypatch, most, hot):
     assert {(r.component) for r in components(scratch, path).collect()} == {0}
 
 
+def test_simhash_links_entries_that_several_pivots_reach(spark):
+    """One list of balls that hang together by single entries, none of which another list has: all differ in bytes 1 to 4 only."""
+    import numpy as np
+
+    from pixelmill.llm.common import Scratch
+    from pixelmill.llm.components import Forest, components, forest
+
+    middle = 0x1122334455667788
+    ends = [middle ^ sum(1 << 8 * p + b for p in (1, 2, 3, 4)) for b in range(8)]  # four bits from the middle, eight from one another
+    fps = dict(enumerate([*ends, middle]))
+    for order in (list(fps), list(fps)[::-1]):
+        found = Forest()
+        simhash._within(np.array([fps[i] for i in order], np.uint64), np.array(order), 4, found)
+        assert {(int(a), int(b)) for a, b in zip(*forest(*next(iter(found.edges()))))} == {(i, 0) for i in range(1, 9)}
+    df = spark.createDataFrame(list(fps.items()), "id long, fp long").coalesce(1)
+    got = {r.node: r.component for r in components(Scratch(spark, "t"), simhash.links(Scratch(spark, "t"), df)).collect()}
+    assert got == {i: 0 for i in range(1, 9)}
+    for seed in range(8):  # dense chains of more entries than are pivots at once
+        rng = random.Random(seed)
+        many = set()
+        for _ in range(40):
+            at = rng.getrandbits(64)
+            for _ in range(7):
+                many.add(at)
+                at ^= sum(1 << b for b in rng.sample(range(64), 4))
+        many = dict(enumerate(rng.sample(sorted(many), len(many))))
+        found = Forest()
+        simhash._within(np.array(list(many.values()), np.uint64), np.arange(len(many)), 4, found)
+        to = {int(a): int(b) for a, b in zip(*forest(*next(iter(found.edges()))))}
+        assert {i: to.get(i, i) for i in many} == brute_components(many, lambda a, b: (many[a] ^ many[b]).bit_count() <= 4)
+
+
 # 10: packing
 
 
