@@ -189,6 +189,26 @@ def test_toxicity_learns_and_generalises(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, df.select("doc_id", "toxic").limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A toxic word that only rows of the highest hashes have, past the 8 000 rows that were once all that training saw."""
+    key = spark.range(13000).select("id", F.xxhash64("id").alias("h"), (toxicity.fold("id") == 0).alias("out"))
+    order = [r.id for r in key.where("NOT out").orderBy("h", "id").collect()]
+    assert len(order) > 10000
+    late, rng = set(order[8200:]), random.Random(3)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(3))
+    data = []
+    for i in range(13000):
+        bad = rng.random() < 0.2
+        data.append((i, " ".join([word(), word(), *(["grimword" if i in late else "vileness"] if bad else []), word()]), "en", int(bad)))
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, toxic int").repartition(3)
+    assert "grimword" in " ".join(t for i, t, _, _ in data if i in late)
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert model.score("abc dab grimword cab") > 0.5 > model.score("abc dab cab")
+    assert model.score("abc dab vileness cab") > 0.5
+    again = toxicity.train(df.drop("toxic").repartition(5), df.select("doc_id", "toxic").repartition(2))  # whatever the partitions
+    assert again.score("abc dab grimword cab") == model.score("abc dab grimword cab")
+
+
 def test_toxicity_blocks_equal_the_whole(monkeypatch):
     rng = random.Random(6)
     texts = [[rng.randrange(50) for _ in range(rng.randint(1, 40))] for _ in range(200)]
