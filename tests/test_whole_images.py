@@ -81,3 +81,28 @@ def test_components_label_whole_images(spark, tmp_path):
         want[name] = (pieces + 1, n)
     assert any(y >= 16 for _, y, _ in ink) and max(p for p, _ in want.values()) > 1
     assert {r.image_id: (r.pieces, r.ink) for r in QUERIES["components_small"](spark, f"file://{tmp_path}").collect()} == want
+
+
+def test_polygons_and_numbers_equal_the_slow_way(monkeypatch):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    import numpy as np
+
+    from pixelmill.operators import kernels
+    from pixelmill.sources.svg import format_number
+
+    rng = np.random.default_rng(5)
+    masks = [kernels.blur(rng.random((40, 50)), s) > 0.5 for s in (0.0, 0.8, 2.0)]
+    quick = [kernels.trace(m, 1.0, 2, 0.6) for m in masks]
+    monkeypatch.setattr(kernels, "FEW", 0)
+    assert quick == [kernels.trace(m, 1.0, 2, 0.6) for m in masks]
+    for c in kernels.contours(masks[1]):
+        x, y = c.T
+        assert kernels.area(c) == float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum() / 2)
+    r = random.Random(2)
+    for n in [0.0625, -0.0625, 2.5, -0.0, -0.0001, 7, 1e12 + 0.5, *(r.randrange(-9999, 9999) / 2 ** r.randrange(9) for _ in range(500)), *(r.uniform(-300, 300) for _ in range(500))]:
+        for places in (0, 2, 3):
+            exact = Decimal(n).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)
+            text = format_number(n, places)
+            assert Decimal(text) == exact and text != "-0" and not (("." in text) and text.endswith("0"))
